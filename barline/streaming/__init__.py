@@ -1,0 +1 @@
+"""Empty on purpose: the workload is batch only, it defines no stream, watermark or stateful operator."""
