@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from barline.functions.columns import ema_lookback, ratio
 from barline.functions.windows import WindowLayer
 from barline.operators import indicators as ind
-from barline.operators.layout import SEGMENT, SERIES, SO_FAR, drop_copies, lay_out, positions
+from barline.operators.layout import segment, series, so_far, drop_copies, lay_out, positions
 
 SHORT_SERIES = 100  # usable rows below which gaps are forward-filled and incomplete rows dropped
 
@@ -101,7 +101,7 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
     columns = [*KEYS, "open", "high", "low", "close", *(["volume"] if spec.volume else [])]
     laid = lay_out(bars.select(*columns), back, ahead)
 
-    one = WindowLayer(SERIES)
+    one = WindowLayer(series())
     first = one.apply(laid, {
         "_row": one.row(),
         "target": one.lead(spec.target, spec.horizon),
@@ -114,7 +114,7 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
         **(volume_features(one, spec) if spec.volume else {}),
         **ind.bar_shape(),
     })
-    two = WindowLayer(SERIES)
+    two = WindowLayer(series())
     second = two.apply(first, {
         **ind.exponential_moving_averages(two, "close", sorted({*spec.spans, fast, slow}), back, ahead),
         **ind.rolling_spread(two, "returns", stats, extremes=False),
@@ -122,7 +122,7 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
         "RSI": ind.rsi(two, spec.rsi_window),
         "Stoch_D": two.full("Stoch_K", spec.stochastic[1], "avg"),
     }).withColumn("MACD", F.col(f"EMA_{fast}") - F.col(f"EMA_{slow}"))
-    three = WindowLayer(SERIES)
+    three = WindowLayer(series())
     third = three.apply(second, {
         "MACD_signal": ind.ema(three, "MACD", signal, back, ahead),
         **{f"EMA_{s}_ratio": ratio("close", f"EMA_{s}") for s in spec.spans},
@@ -155,13 +155,12 @@ def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
         counted = features.join(per_symbol, "symbol")
 
     short = F.col("usable_rows") < SHORT_SERIES
-    fill_frame = SO_FAR
     # Only rows with a target take part in the fill.
     filled = {
-        c: F.when(short, F.last(F.when(usable, F.col(c)), ignorenulls=True).over(fill_frame)).otherwise(F.col(c))
+        c: F.when(short, F.last(F.when(usable, F.col(c)), ignorenulls=True).over(so_far())).otherwise(F.col(c))
         for c in names
     }
-    has_volume = F.max(F.col("price_volume").isNotNull()).over(SEGMENT) if spec.volume else F.lit(False)
+    has_volume = F.max(F.col("price_volume").isNotNull()).over(segment()) if spec.volume else F.lit(False)
     flagged = counted.withColumns({"has_volume": has_volume, "usable": usable})
     flagged = flagged.withColumns(filled)
     complete = F.lit(True)
@@ -173,8 +172,8 @@ def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
         complete = complete & (~active | F.col(name).isNotNull())
     flagged = flagged.withColumn("kept", F.col("usable") & (~short | complete))
     kept = flagged.withColumns({
-        "kept_pos": F.sum(F.col("kept").cast("bigint")).over(SO_FAR),
-        "kept_n": F.sum(F.col("kept").cast("bigint")).over(SEGMENT),
+        "kept_pos": F.sum(F.col("kept").cast("bigint")).over(so_far()),
+        "kept_n": F.sum(F.col("kept").cast("bigint")).over(segment()),
     }).where("kept")
     if spec.target not in prices:
         rows = kept.drop("kept", "kept_pos", "kept_n", "usable", "usable_rows", "has_volume", "pos", "n", "segment")
@@ -189,7 +188,7 @@ def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
 def supervised_frame(bars: DataFrame, target: str = "close", horizon: int = 1) -> DataFrame:
     """Raw columns as features, `target` moved to the label `horizon` rows ahead; the last rows fall away."""
     laid = lay_out(bars, ahead=horizon)
-    moved = laid.withColumn("label", F.lead(target, horizon).over(SERIES))
+    moved = laid.withColumn("label", F.lead(target, horizon).over(series()))
     others = [c for c in bars.columns if c not in (*KEYS, target)]
     return drop_copies(moved).where(F.col("label").isNotNull()).select(
         *KEYS, *others, F.col("label").alias("target"), F.col("pos"), (F.col("n") - horizon).alias("n")

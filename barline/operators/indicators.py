@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from barline.functions.columns import ema_lookback, ratio
 from barline.functions.windows import WindowLayer
-from barline.operators.layout import SERIES, SO_FAR, widest_segment
+from barline.operators.layout import series, so_far, widest_segment
 
 
 def moving_averages(layer: WindowLayer, c: str = "close", windows: Sequence[int] = (5, 10, 20, 50)):
@@ -44,14 +44,14 @@ def ema(layer: WindowLayer, c: str, span: int, back: int, ahead: int = 0) -> Col
     """
     x = F.col(c)
     if span <= 1:
-        return layer.add(f"_ema_{c}_{span}", F.last(x, ignorenulls=True).over(SO_FAR))
+        return layer.add(f"_ema_{c}_{span}", F.last(x, ignorenulls=True).over(so_far()))
     if _weights_stay_finite(span, back, ahead):
         weight = F.pow(F.lit(1.0 / _decay(span)), F.col("_row"))
-        num = layer.add(f"_ema_num_{c}_{span}", F.sum(x * weight).over(SO_FAR))
-        den = layer.add(f"_ema_den_{c}_{span}", F.sum(F.when(x.isNotNull(), weight)).over(SO_FAR))
+        num = layer.add(f"_ema_num_{c}_{span}", F.sum(x * weight).over(so_far()))
+        den = layer.add(f"_ema_den_{c}_{span}", F.sum(F.when(x.isNotNull(), weight)).over(so_far()))
         return num / den
     decay = _decay(span)
-    recent = F.collect_list(F.struct(x.alias("x"))).over(SERIES.rowsBetween(-ema_lookback(span), 0))
+    recent = F.collect_list(F.struct(x.alias("x"))).over(series().rowsBetween(-ema_lookback(span), 0))
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
     return F.aggregate(
         layer.add(f"_recent_{c}_{span}", recent), zero,

@@ -8,16 +8,24 @@ parallel as the rest. The cut is planned on row counts per calendar chunk, a tab
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 CHUNK_SHIFT = 6  # a chunk is 2**6 = 64 calendar days
 CHUNK_ROWS = 1 << CHUNK_SHIFT
 SEGMENT_ROWS = 1920
 
-SERIES = Window.partitionBy("symbol", "segment").orderBy("date")
-SEGMENT = Window.partitionBy("symbol", "segment")
-SO_FAR = SERIES.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+def segment() -> WindowSpec:
+    return Window.partitionBy("symbol", "segment")
+
+
+def series() -> WindowSpec:
+    return segment().orderBy("date")
+
+
+def so_far() -> WindowSpec:
+    return series().rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
 def chunk_of(date: str | Column = "date") -> Column:
@@ -70,7 +78,7 @@ def lay_out(bars: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
         .withColumn("segment", F.explode("targets"))
     )
     return planned.withColumn(
-        "pos", F.first("before").over(SO_FAR) + F.row_number().over(SERIES)
+        "pos", F.first("before").over(so_far()) + F.row_number().over(series())
     ).withColumn("core", F.col("segment") == F.col("home")).drop("chunk", "before", "home", "targets")
 
 
