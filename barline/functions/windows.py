@@ -17,14 +17,19 @@ class WindowLayer:
     def __init__(self, series: WindowSpec):
         self.series = series
         self.columns: dict[str, Column] = {}
+        self.frames: dict[int, WindowSpec] = {}
 
     def add(self, name: str, expression: Column) -> Column:
         self.columns.setdefault(name, expression)
         return F.col(name)
 
     def rolling(self, c: str, n: int, kind: str) -> Column:
-        frame = self.series.rowsBetween(-(n - 1), 0)
-        return self.add(f"_{kind}_{c}_{n}", ROLLING[kind](F.col(c)).over(frame))
+        name = f"_{kind}_{c}_{n}"
+        if name not in self.columns:
+            if n not in self.frames:
+                self.frames[n] = self.series.rowsBetween(-(n - 1), 0)
+            self.columns[name] = ROLLING[kind](F.col(c)).over(self.frames[n])
+        return F.col(name)
 
     def full(self, c: str, n: int, kind: str) -> Column:
         """Rolling aggregate over the last n rows, NULL until the frame holds n non-null values."""

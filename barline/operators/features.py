@@ -143,45 +143,41 @@ def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
     without any volume, do not count). Such a series lies in one segment, so the fill needs no further shuffle.
     """
     names = spec.names
-    some = F.greatest(*[F.col(c).isNotNull() for c in names])
-    usable = F.col("target").isNotNull() & some
+    usable = F.col("target").isNotNull()  # the exponential means exist on every row, so no row is without features
     # Prices are never NULL, so the rows without a target are the last `horizon` ones; other targets are counted.
     prices = {"open", "high", "low", "close"}
     if spec.target in prices:
         usable_rows = F.greatest(F.col("n") - spec.horizon, F.lit(0))
-        counted = features.withColumn("usable_rows", usable_rows)
     else:
-        per_symbol = features.groupBy("symbol").agg(F.count_if(usable).alias("usable_rows"))
-        counted = features.join(per_symbol, "symbol")
-
-    short = F.col("usable_rows") < SHORT_SERIES
-    # Only rows with a target take part in the fill.
-    filled = {
-        c: F.when(short, F.last(F.when(usable, F.col(c)), ignorenulls=True).over(so_far())).otherwise(F.col(c))
-        for c in names
-    }
-    has_volume = F.max(F.col("price_volume").isNotNull()).over(segment()) if spec.volume else F.lit(False)
-    flagged = counted.withColumns({"has_volume": has_volume, "usable": usable})
-    flagged = flagged.withColumns(filled)
-    complete = F.lit(True)
+        features = features.join(features.groupBy("symbol").agg(F.count_if(usable).alias("usable_rows")), "symbol")
+        usable_rows = F.col("usable_rows")
+
+    # One window pass: last known value of every feature among the usable rows, used by short series only.
+    upto = so_far()
+    windows = {f"_last_{c}": F.last(F.when(usable, F.col(c)), ignorenulls=True).over(upto) for c in names}
+    if spec.volume:
+        windows["_has_volume"] = F.max(F.col("price_volume").isNotNull()).over(segment())
+    seen = features.withColumns({**windows, "_short": usable_rows < SHORT_SERIES, "_usable_rows": usable_rows})
+    gaps = []
     for name in names:
-        gate = spec.gate(name)
-        active = F.lit(True) if gate is None else gate
+        active = spec.gate(name)
         if "volume" in name:
-            active = active & F.col("has_volume")
-        complete = complete & (~active | F.col(name).isNotNull())
-    flagged = flagged.withColumn("kept", F.col("usable") & (~short | complete))
-    kept = flagged.withColumns({
-        "kept_pos": F.sum(F.col("kept").cast("bigint")).over(so_far()),
-        "kept_n": F.sum(F.col("kept").cast("bigint")).over(segment()),
-    }).where("kept")
+            active = F.col("_has_volume") if active is None else active & F.col("_has_volume")
+        missing = F.col(f"_last_{name}").isNull()
+        gaps.append(missing if active is None else active & missing)
+    filled = {c: F.when(F.col("_short"), F.col(f"_last_{c}")).otherwise(F.col(c)) for c in names}
+    complete = ~F.array_contains(F.array(*gaps), True)
+    kept = seen.where(usable & (~F.col("_short") | complete)).withColumns({
+        **filled,
+        "_kept_pos": F.row_number().over(series()),
+        "_kept_n": F.count("*").over(segment()),
+    })
     if spec.target not in prices:
-        rows = kept.drop("kept", "kept_pos", "kept_n", "usable", "usable_rows", "has_volume", "pos", "n", "segment")
-        return positions(rows)
+        return positions(kept.select(*KEYS, "close", *names, "target"))
     return kept.select(
         *KEYS, "close", *names, "target",
-        F.when(short, F.col("kept_pos")).otherwise(F.col("pos")).alias("pos"),
-        F.when(short, F.col("kept_n")).otherwise(F.col("usable_rows")).alias("n"),
+        F.when(F.col("_short"), F.col("_kept_pos")).otherwise(F.col("pos")).cast("bigint").alias("pos"),
+        F.when(F.col("_short"), F.col("_kept_n")).otherwise(F.col("_usable_rows")).alias("n"),
     )
 
 

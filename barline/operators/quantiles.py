@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
+MARGIN = 3  # half width of a bracket in units of the sketch's rank error
 
 
 def exact_quantiles(
@@ -25,7 +26,9 @@ def exact_quantiles(
     ).where(F.col("value").isNotNull())
     freq = values.groupBy(key, "column", "value").agg(F.count("*").alias("held"))
 
-    margin = 3.0 / accuracy
+    margin = MARGIN / accuracy
+    # Below this size the bracket could miss the neighbour that interpolation needs, and ranking all values is cheap.
+    small = F.col("n") < 2 * accuracy
     edges = []
     for p in fractions:
         edges += [max(p - margin, 0.0), min(p + margin, 1.0)]
@@ -41,9 +44,8 @@ def exact_quantiles(
             F.struct(
                 F.lit(float(p)).alias("fraction"),
                 (F.lit(float(p)) * (F.col("n") - 1)).alias("place"),
-                # The first and last bracket are open-ended, the sketch is exact there only up to its accuracy.
-                (F.col("least") if p <= margin else F.col("edges")[2 * i]).alias("low"),
-                (F.col("most") if p >= 1 - margin else F.col("edges")[2 * i + 1]).alias("high"),
+                F.when(small | F.lit(p <= margin), F.col("least")).otherwise(F.col("edges")[2 * i]).alias("low"),
+                F.when(small | F.lit(p >= 1 - margin), F.col("most")).otherwise(F.col("edges")[2 * i + 1]).alias("high"),
             )
             for i, p in enumerate(fractions)
         ])),

@@ -135,8 +135,12 @@ def digits_of(name: str) -> int:
         return 6
     if "mse" in name or name == "price_volume":
         return 2
+    if name.startswith("MA_") or name == "BB_middle":
+        return 4
     starts = ("MA_", "EMA_", "MACD", "BB_upper", "BB_middle", "BB_lower", "BB_width", "close_", "open", "high", "low",
               "close", "target", "prediction", "predicted_value", "actual_value", "confidence_", "median", "mean", "std", "quantile")
+    if name.startswith(("EMA_", "MACD")):
+        return 5
     return 3 if name.startswith(starts) else 6
 
 
@@ -267,7 +271,7 @@ ORACLES["p9_supervised"] = ctes(FLAG, NUM) + f"""
 SELECT symbol, date, {rounded('open', 'high', 'low', 'volume')}, {rounded('target')}, pos, n - 3 AS n
 FROM (SELECT *, lead(close, 3) OVER ({SER}) AS target FROM num) WHERE target IS NOT NULL"""
 ORACLES["f1_upper"] = ctes(EVENTS) + "SELECT upper(symbol) AS symbol, date FROM bars"
-ORACLES["f2_file_names"] = "SELECT n_nationkey, 'coin_' || n_name AS stem, n_name AS token FROM nation"
+ORACLES["f2_file_names"] = "SELECT n_nationkey, 'coin_' || n_name AS stem, string_split(n_name, '_')[-1] AS token FROM nation"
 ORACLES["f3_key_prefix"] = "SELECT 'exp_' || n_name || '_' || n_regionkey AS key FROM nation"
 ORACLES["f4_timestamps"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, strftime(ts, '%Y-%m-%d') AS day FROM events"
 ORACLES["f5_date_arithmetic"] = ctes(SUPP) + """
@@ -310,7 +314,7 @@ PAIRS = f"""pairs AS (
     pos * 10 + ascii(symbol) % 10 AS id, target AS y_real, close AS y_pred
   FROM (SELECT *, lead(close) OVER ({SER}) AS target FROM num) WHERE target IS NOT NULL)"""
 ALIGN = """
-SELECT dataset, count(*) AS real_rows, count_if(id % 10 <> 0) AS pred_rows, count_if(id % 10 = 0) AS unmatched,
+SELECT dataset, count(*) AS real_rows, count_if(id % 7 <> 0) AS pred_rows, count_if(id % 7 = 0) AS unmatched,
   CAST(0 AS BIGINT) AS real_missing, CAST(0 AS BIGINT) AS pred_missing{extra} FROM pairs GROUP BY 1"""
 ORACLES["j7_alignment"] = ctes(FLAG, NUM, PAIRS) + ALIGN.format(extra="")
 ORACLES["j8_symbols_in_both"] = "SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS symbol FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE s_acctbal > 0)"
@@ -353,7 +357,7 @@ ORACLES["a3_conditional_counts"] = ctes(*RAW) + "SELECT dataset, " + ", ".join(
     [f"count_if({c} < 0) AS {c}__negative, count_if({c} = 0) AS {c}__zero" for c in PRICES]
     + [f"count_if({a} < {b}) AS {name}" for name, (a, b) in STRUCTURE.items()]) + " FROM raw GROUP BY 1"
 ORACLES["a4_exact_quantiles"] = ctes(SUPP) + " UNION ALL ".join(
-    f"""SELECT symbol, '{c}' AS "column", {p} AS fraction, round(quantile_cont({c}, {p}), 3) + 0.0 AS quantile FROM bars GROUP BY 1"""
+    f"""SELECT symbol, '{c}' AS "column", {p} AS fraction, round(quantile_cont({c}, {p}), 4) + 0.0 AS quantile FROM bars GROUP BY 1"""
     for c in ("open", "close") for p in ("1e-2", "25e-2", "75e-2", "99e-2"))
 
 
@@ -480,13 +484,13 @@ SELECT dataset, count(*) AS rows, 7 AS columns, 'date,open,high,low,close,volume
 # ---- windows -----------------------------------------------------------------------------------------------------
 
 ORACLES["w1_moving_averages"] = ctes(SUPP) + "SELECT symbol, date, " + ", ".join(
-    f"{r(full('avg', 'close', w), 3, f'MA_{w}')}, {r(div('close', '(' + full('avg', 'close', w) + ')'), 6, f'MA_{w}_ratio')}" for w in (5, 10, 20, 50)) + " FROM bars"
+    f"{r(full('avg', 'close', w), 4, f'MA_{w}')}, {r(div('close', '(' + full('avg', 'close', w) + ')'), 6, f'MA_{w}_ratio')}" for w in (5, 10, 20, 50)) + " FROM bars"
 ORACLES["w2_exponential_averages"] = feature_sql("EMA_12", "EMA_12_ratio", "EMA_26", "EMA_26_ratio", exponential=True)
 ORACLES["w3_rsi"] = feature_sql("RSI", bars=SUPP)
 ORACLES["w4_macd"] = feature_sql("MACD", "MACD_signal", "MACD_histogram", exponential=True)
 MID, SD = f"({full('avg', 'close', 20)})", f"(2 * ({full('stddev_samp', 'close', 20)}))"
 ORACLES["w5_bollinger"] = ctes(SUPP, f"b AS (SELECT *, {MID} AS m, {SD} AS s FROM bars)") + f"""
-SELECT symbol, date, {r('m + s', 3, 'BB_upper')}, {r('m', 3, 'BB_middle')}, {r('m - s', 3, 'BB_lower')}, {r('(m + s) - (m - s)', 3, 'BB_width')},
+SELECT symbol, date, {r('m + s', 3, 'BB_upper')}, {r('m', 4, 'BB_middle')}, {r('m - s', 3, 'BB_lower')}, {r('(m + s) - (m - s)', 3, 'BB_width')},
   {r(div('close - (m - s)', '((m + s) - (m - s))'), 6, 'BB_position')} FROM b"""
 ORACLES["w6_stochastic"] = feature_sql("Stoch_K", "Stoch_D", bars=SUPP)
 ORACLES["w7_returns"] = feature_sql("returns", "log_returns", bars=SUPP)
