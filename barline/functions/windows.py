@@ -2,47 +2,50 @@
 
 The optimizer does not merge equal window expressions, so indicators ask a layer for what they need and get a
 plain column back; two indicators that need the same rolling mean share it. All expressions of a layer run in
-one Window node, and all frames of equal bounds in one pass over the frame.
+one Window node, and all frames of equal bounds in one pass over the frame. Expressions are SQL text, which
+builds a plan of a hundred columns many times faster than chained Column calls.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-ROLLING = {"avg": F.avg, "std": F.stddev_samp, "min": F.min, "max": F.max, "sum": F.sum, "n": F.count}
+SERIES = "PARTITION BY symbol, segment ORDER BY date"
+SO_FAR = f"{SERIES} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+SEGMENT = "PARTITION BY symbol, segment"
+
+ROLLING = {"avg": "avg", "std": "stddev_samp", "min": "min", "max": "max", "sum": "sum", "n": "count"}
 
 
 class WindowLayer:
-    def __init__(self, series: WindowSpec):
+    def __init__(self, series: str = SERIES):
         self.series = series
-        self.columns: dict[str, Column] = {}
-        self.frames: dict[int, WindowSpec] = {}
+        self.columns: dict[str, str] = {}
 
-    def add(self, name: str, expression: Column) -> Column:
+    def add(self, name: str, expression: str) -> Column:
         self.columns.setdefault(name, expression)
         return F.col(name)
 
-    def rolling(self, c: str, n: int, kind: str) -> Column:
+    def rolling(self, c: str, n: int, kind: str) -> str:
         name = f"_{kind}_{c}_{n}"
-        if name not in self.columns:
-            if n not in self.frames:
-                self.frames[n] = self.series.rowsBetween(-(n - 1), 0)
-            self.columns[name] = ROLLING[kind](F.col(c)).over(self.frames[n])
-        return F.col(name)
+        frame = f"{self.series} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW"
+        self.columns.setdefault(name, f"{ROLLING[kind]}(`{c}`) OVER ({frame})")
+        return name
 
     def full(self, c: str, n: int, kind: str) -> Column:
         """Rolling aggregate over the last n rows, NULL until the frame holds n non-null values."""
-        return F.when(self.rolling(c, n, "n") == n, self.rolling(c, n, kind))
+        return F.expr(f"CASE WHEN `{self.rolling(c, n, 'n')}` = {n} THEN `{self.rolling(c, n, kind)}` END")
 
     def lag(self, c: str, k: int) -> Column:
-        return self.add(f"_lag_{c}_{k}", F.lag(c, k).over(self.series))
+        return self.add(f"_lag_{c}_{k}", f"lag(`{c}`, {k}) OVER ({self.series})")
 
     def lead(self, c: str, k: int) -> Column:
-        return self.add(f"_lead_{c}_{k}", F.lead(c, k).over(self.series))
+        return self.add(f"_lead_{c}_{k}", f"lead(`{c}`, {k}) OVER ({self.series})")
 
     def row(self) -> Column:
-        return self.add("_row", F.row_number().over(self.series))
+        return self.add("_row", f"row_number() OVER ({self.series})")
 
     def apply(self, df: DataFrame, derived: dict[str, Column]) -> DataFrame:
-        return df.withColumns(self.columns).withColumns(derived)
+        windows = df.selectExpr("*", *[f"{e} AS `{name}`" for name, e in self.columns.items()])
+        return windows.withColumns(derived)

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.functions.columns import ema_lookback, ratio
-from barline.functions.windows import WindowLayer
+from barline.functions.windows import SEGMENT, SERIES, SO_FAR, WindowLayer
 from barline.operators import indicators as ind
-from barline.operators.layout import segment, series, so_far, drop_copies, lay_out, positions
+from barline.operators.layout import drop_copies, lay_out, positions, series
 
 SHORT_SERIES = 100  # usable rows below which gaps are forward-filled and incomplete rows dropped
 
@@ -63,22 +63,21 @@ class FeatureSpec:
             out += [f"close_std_{n}", f"returns_std_{n}", f"close_min_{n}", f"close_max_{n}"]
         return out
 
-    def gate(self, name: str) -> Column | None:
-        """Condition on the series length `n` under which a feature exists; None where it always does."""
-        n = F.col("n")
+    def gate(self, name: str) -> str:
+        """Condition on the series length `n` under which a feature exists."""
         long_only = {f"MA_{w}{tail}" for w in self.long_ma_windows for tail in ("", "_ratio")} | {
             f"{kind}_{w}" for w in self.long_stat_windows
             for kind in ("close_std", "returns_std", "close_min", "close_max")
         }
         if name in long_only:
-            return n >= self.long_series
+            return f"n >= {self.long_series}"
         if name == "RSI" or name.startswith("Stoch"):
-            return n > 20
+            return "n > 20"
         if name.startswith("MACD"):
-            return n > 30
+            return "n > 30"
         if name.startswith("BB_"):
-            return n > 25
-        return None
+            return "n > 25"
+        return "true"
 
 
 KEYS = ["symbol", "date"]
@@ -101,7 +100,7 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
     columns = [*KEYS, "open", "high", "low", "close", *(["volume"] if spec.volume else [])]
     laid = lay_out(bars.select(*columns), back, ahead)
 
-    one = WindowLayer(series())
+    one = WindowLayer()
     first = one.apply(laid, {
         "_row": one.row(),
         "target": one.lead(spec.target, spec.horizon),
@@ -114,7 +113,7 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
         **(volume_features(one, spec) if spec.volume else {}),
         **ind.bar_shape(),
     })
-    two = WindowLayer(series())
+    two = WindowLayer()
     second = two.apply(first, {
         **ind.exponential_moving_averages(two, "close", sorted({*spec.spans, fast, slow}), back, ahead),
         **ind.rolling_spread(two, "returns", stats, extremes=False),
@@ -122,17 +121,14 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
         "RSI": ind.rsi(two, spec.rsi_window),
         "Stoch_D": two.full("Stoch_K", spec.stochastic[1], "avg"),
     }).withColumn("MACD", F.col(f"EMA_{fast}") - F.col(f"EMA_{slow}"))
-    three = WindowLayer(series())
+    three = WindowLayer()
     third = three.apply(second, {
         "MACD_signal": ind.ema(three, "MACD", signal, back, ahead),
         **{f"EMA_{s}_ratio": ratio("close", f"EMA_{s}") for s in spec.spans},
     }).withColumn("MACD_histogram", F.col("MACD") - F.col("MACD_signal"))
 
-    gated = []
-    for name in spec.names:
-        gate = spec.gate(name)
-        gated.append((F.col(name) if gate is None else F.when(gate, F.col(name))).alias(name))
-    return drop_copies(third).select(*KEYS, "close", *gated, "target", "pos", "n", "segment")
+    gated = [f"CASE WHEN {spec.gate(c)} THEN `{c}` END AS `{c}`" for c in spec.names]
+    return drop_copies(third).selectExpr(*KEYS, "close", *gated, "target", "pos", "n", "segment")
 
 
 def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
@@ -143,42 +139,30 @@ def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
     without any volume, do not count). Such a series lies in one segment, so the fill needs no further shuffle.
     """
     names = spec.names
-    usable = F.col("target").isNotNull()  # the exponential means exist on every row, so no row is without features
-    # Prices are never NULL, so the rows without a target are the last `horizon` ones; other targets are counted.
-    prices = {"open", "high", "low", "close"}
-    if spec.target in prices:
-        usable_rows = F.greatest(F.col("n") - spec.horizon, F.lit(0))
+    # The exponential means exist on every row, so no row is without features. Prices are never NULL, so the rows
+    # without a target are the last `horizon` ones; for other targets they are counted.
+    usable = "target IS NOT NULL"
+    priced = spec.target in ("open", "high", "low", "close")
+    if priced:
+        usable_rows = f"greatest(n - {spec.horizon}, 0L)"
     else:
-        features = features.join(features.groupBy("symbol").agg(F.count_if(usable).alias("usable_rows")), "symbol")
-        usable_rows = F.col("usable_rows")
+        counts = features.groupBy("symbol").agg(F.expr(f"count_if({usable}) AS _counted"))
+        features, usable_rows = features.join(counts, "symbol"), "_counted"
 
     # One window pass: last known value of every feature among the usable rows, used by short series only.
-    upto = so_far()
-    windows = {f"_last_{c}": F.last(F.when(usable, F.col(c)), ignorenulls=True).over(upto) for c in names}
-    if spec.volume:
-        windows["_has_volume"] = F.max(F.col("price_volume").isNotNull()).over(segment())
-    seen = features.withColumns({**windows, "_short": usable_rows < SHORT_SERIES, "_usable_rows": usable_rows})
-    gaps = []
-    for name in names:
-        active = spec.gate(name)
-        if "volume" in name:
-            active = F.col("_has_volume") if active is None else active & F.col("_has_volume")
-        missing = F.col(f"_last_{name}").isNull()
-        gaps.append(missing if active is None else active & missing)
-    filled = {c: F.when(F.col("_short"), F.col(f"_last_{c}")).otherwise(F.col(c)) for c in names}
-    complete = ~F.array_contains(F.array(*gaps), True)
-    kept = seen.where(usable & (~F.col("_short") | complete)).withColumns({
-        **filled,
-        "_kept_pos": F.row_number().over(series()),
-        "_kept_n": F.count("*").over(segment()),
-    })
-    if spec.target not in prices:
-        return positions(kept.select(*KEYS, "close", *names, "target"))
-    return kept.select(
-        *KEYS, "close", *names, "target",
-        F.when(F.col("_short"), F.col("_kept_pos")).otherwise(F.col("pos")).cast("bigint").alias("pos"),
-        F.when(F.col("_short"), F.col("_kept_n")).otherwise(F.col("_usable_rows")).alias("n"),
+    last = [f"last(CASE WHEN {usable} THEN `{c}` END, true) OVER ({SO_FAR}) AS `_last_{c}`" for c in names]
+    volume = f"max(price_volume IS NOT NULL) OVER ({SEGMENT})" if spec.volume else "false"
+    seen = features.selectExpr("*", *last, f"{volume} AS _has_volume", f"{usable_rows} AS _usable_rows")
+    active = {c: spec.gate(c) + (" AND _has_volume" if "volume" in c else "") for c in names}
+    gaps = ", ".join(f"{active[c]} AND `_last_{c}` IS NULL" for c in names)
+    short = f"_usable_rows < {SHORT_SERIES}"
+    kept = seen.where(f"{usable} AND (NOT {short} OR NOT array_contains(array({gaps}), true))")
+    numbered = kept.selectExpr(
+        *KEYS, "close", *[f"CASE WHEN {short} THEN `_last_{c}` ELSE `{c}` END AS `{c}`" for c in names], "target",
+        f"CASE WHEN {short} THEN row_number() OVER ({SERIES}) ELSE pos END AS pos",
+        f"CASE WHEN {short} THEN count(*) OVER ({SEGMENT}) ELSE _usable_rows END AS n",
     )
+    return numbered if priced else positions(numbered.drop("pos", "n"))
 
 
 def supervised_frame(bars: DataFrame, target: str = "close", horizon: int = 1) -> DataFrame:
@@ -193,11 +177,7 @@ def supervised_frame(bars: DataFrame, target: str = "close", horizon: int = 1) -
 
 def null_budget(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """Per symbol: rows, NULLs over all features that exist for the series, NULL targets."""
-    blanks = F.lit(0)
-    for name in spec.names:
-        gate = spec.gate(name)
-        missing = F.col(name).isNull() if gate is None else gate & F.col(name).isNull()
-        blanks = blanks + missing.cast("int")
+    blanks = F.expr(" + ".join(f"int({spec.gate(c)} AND `{c}` IS NULL)" for c in spec.names))
     return features.groupBy("symbol").agg(
         F.count("*").alias("rows"),
         F.sum(blanks).alias("feature_nulls"),

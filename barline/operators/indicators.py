@@ -13,8 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from barline.functions.columns import ema_lookback, ratio
-from barline.functions.windows import WindowLayer
-from barline.operators.layout import series, so_far, widest_segment
+from barline.functions.windows import SERIES, SO_FAR, WindowLayer
+from barline.operators.layout import widest_segment
 
 
 def moving_averages(layer: WindowLayer, c: str = "close", windows: Sequence[int] = (5, 10, 20, 50)):
@@ -42,16 +42,16 @@ def ema(layer: WindowLayer, c: str, span: int, back: int, ahead: int = 0) -> Col
     history that still carries weight is short and is folded directly. Reads the column `_row`, the row's
     number in its segment. Missing values keep their place in the decay and repeat the last mean.
     """
-    x = F.col(c)
     if span <= 1:
-        return layer.add(f"_ema_{c}_{span}", F.last(x, ignorenulls=True).over(so_far()))
+        return layer.add(f"_ema_{c}_{span}", f"last(`{c}`, true) OVER ({SO_FAR})")
     if _weights_stay_finite(span, back, ahead):
-        weight = F.pow(F.lit(1.0 / _decay(span)), F.col("_row"))
-        num = layer.add(f"_ema_num_{c}_{span}", F.sum(x * weight).over(so_far()))
-        den = layer.add(f"_ema_den_{c}_{span}", F.sum(F.when(x.isNotNull(), weight)).over(so_far()))
+        weight = f"pow({1.0 / _decay(span)!r}D, _row)"
+        num = layer.add(f"_ema_num_{c}_{span}", f"sum(`{c}` * {weight}) OVER ({SO_FAR})")
+        den = layer.add(f"_ema_den_{c}_{span}", f"sum(CASE WHEN `{c}` IS NOT NULL THEN {weight} END) OVER ({SO_FAR})")
         return num / den
     decay = _decay(span)
-    recent = F.collect_list(F.struct(x.alias("x"))).over(series().rowsBetween(-ema_lookback(span), 0))
+    frame = f"{SERIES} ROWS BETWEEN {ema_lookback(span)} PRECEDING AND CURRENT ROW"
+    recent = f"collect_list(named_struct('x', `{c}`)) OVER ({frame})"
     zero = F.struct(F.lit(0.0).alias("num"), F.lit(0.0).alias("den"))
     return F.aggregate(
         layer.add(f"_recent_{c}_{span}", recent), zero,

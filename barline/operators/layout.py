@@ -16,12 +16,8 @@ CHUNK_ROWS = 1 << CHUNK_SHIFT
 SEGMENT_ROWS = 1920
 
 
-def segment() -> WindowSpec:
-    return Window.partitionBy("symbol", "segment")
-
-
 def series() -> WindowSpec:
-    return segment().orderBy("date")
+    return Window.partitionBy("symbol", "segment").orderBy("date")
 
 
 def so_far() -> WindowSpec:

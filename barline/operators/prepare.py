@@ -8,13 +8,9 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.columns import ratio
-
-SCALERS = ("standard", "minmax", "robust")
-
 
 def _fit_rows(frame: DataFrame, fit_on: str) -> DataFrame:
     if fit_on == "all":
@@ -25,59 +21,60 @@ def _fit_rows(frame: DataFrame, fit_on: str) -> DataFrame:
 
 
 def outlier_stats(frame: DataFrame, features: Sequence[str]) -> DataFrame:
-    aggs = []
-    for c in features:
-        aggs += [F.avg(c).alias(f"{c}__mean"), F.stddev_samp(c).alias(f"{c}__std"), F.median(c).alias(f"{c}__median")]
-    return frame.groupBy("symbol").agg(*aggs)
+    kinds = {"mean": "avg", "std": "stddev_samp", "median": "median"}
+    return frame.groupBy("symbol").agg(
+        *[F.expr(f"{f}(`{c}`) AS `{c}__{name}`") for c in features for name, f in kinds.items()]
+    )
+
+
+def _per_feature(frame: DataFrame, joined: DataFrame, features: Sequence[str], pattern: str) -> DataFrame:
+    """The columns of `frame` with `pattern`, a SQL text over {c}, in place of each feature."""
+    names = set(features)
+    return joined.selectExpr(*[
+        f"{pattern.format(c=c)} AS `{c}`" if c in names else f"`{c}`" for c in frame.columns
+    ])
+
+
+def apply_outlier_stats(frame: DataFrame, stats: DataFrame, features: Sequence[str], threshold: float = 3.0) -> DataFrame:
+    """Values further than `threshold` sample deviations from the mean become the median."""
+    far = f"abs(try_divide(`{{c}}` - `{{c}}__mean`, `{{c}}__std`)) > {float(threshold)!r}D"
+    pattern = f"CASE WHEN {far} THEN `{{c}}__median` ELSE `{{c}}` END"
+    return _per_feature(frame, frame.join(stats, "symbol", "left"), features, pattern)
 
 
 def replace_outliers(
     frame: DataFrame, features: Sequence[str], threshold: float = 3.0, fit_on: str = "train"
 ) -> DataFrame:
-    """Values further than `threshold` sample deviations from the mean become the median.
+    """Fit on the train rows, or with fit_on="all" on the whole series, and apply to every row."""
+    return apply_outlier_stats(frame, outlier_stats(_fit_rows(frame, fit_on), features), features, threshold)
 
-    fit_on="train" keeps later rows out of the statistics; "all" takes the whole series.
-    """
-    stats = outlier_stats(_fit_rows(frame, fit_on), features)
-    joined = frame.join(stats, "symbol", "left")
-    out = {
-        c: F.when(
-            F.abs(ratio(F.col(c) - F.col(f"{c}__mean"), f"{c}__std")) > threshold, F.col(f"{c}__median")
-        ).otherwise(F.col(c))
-        for c in features
-    }
-    return joined.withColumns(out).select(*frame.columns)
+
+# Centre and spread of each scaling method.
+SCALERS = {
+    "standard": ("avg(`{c}`)", "stddev_pop(`{c}`)"),
+    "minmax": ("min(`{c}`)", "max(`{c}`) - min(`{c}`)"),
+    "robust": ("median(`{c}`)", "percentile(`{c}`, 0.75D) - percentile(`{c}`, 0.25D)"),
+}
 
 
 def scaler_stats(frame: DataFrame, features: Sequence[str], method: str = "standard") -> DataFrame:
     """Per symbol and feature a centre and a spread; a spread of zero counts as one."""
+    if method not in SCALERS:
+        raise ValueError(f"Unknown scaling method: {method}")
     aggs = []
     for c in features:
-        if method == "standard":
-            pair = (F.avg(c), F.stddev_pop(c))
-        elif method == "minmax":
-            pair = (F.min(c), F.max(c) - F.min(c))
-        elif method == "robust":
-            quartiles = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-            pair = (quartiles[1], quartiles[2] - quartiles[0])
-        else:
-            raise ValueError(f"Unknown scaling method: {method}")
-        constant = F.min(c) == F.max(c)
+        centre, spread = (x.format(c=c) for x in SCALERS[method])
         aggs += [
-            pair[0].alias(f"{c}__centre"),
-            F.when(constant | (pair[1] == 0), F.lit(1.0)).otherwise(pair[1]).alias(f"{c}__spread"),
+            F.expr(f"{centre} AS `{c}__centre`"),
+            F.expr(f"CASE WHEN min(`{c}`) = max(`{c}`) OR {spread} = 0 THEN 1D ELSE {spread} END AS `{c}__spread`"),
         ]
     return frame.groupBy("symbol").agg(*aggs)
 
 
 def apply_scaler(frame: DataFrame, stats: DataFrame, features: Sequence[str], fill: bool = True) -> DataFrame:
-    joined = frame.join(stats, "symbol", "left")
-
-    def scaled(c: str) -> Column:
-        value = (F.col(c) - F.col(f"{c}__centre")) / F.col(f"{c}__spread")
-        return F.coalesce(value, F.lit(0.0)) if fill else value
-
-    return joined.withColumns({c: scaled(c) for c in features}).select(*frame.columns)
+    scaled = "(`{c}` - `{c}__centre`) / `{c}__spread`"
+    pattern = f"coalesce({scaled}, 0D)" if fill else scaled
+    return _per_feature(frame, frame.join(stats, "symbol", "left"), features, pattern)
 
 
 def scale(
@@ -92,22 +89,21 @@ def f_scores(frame: DataFrame, features: Sequence[str], target: str = "target")
 
     NULL for a constant feature. A perfect correlation scores +infinity. One wide aggregate, unpivoted after it.
     """
-    y = F.col(target)
-    aggs = [F.count("*").alias("rows"), F.stddev_pop(y).alias("y__std")]
+    aggs = [F.expr("count(*) AS _rows"), F.expr(f"stddev_pop(`{target}`) AS _y")]
     for c in features:
         aggs += [
-            F.covar_pop(F.col(c), y).alias(f"{c}__cov"),
-            F.stddev_pop(c).alias(f"{c}__std"),
-            (F.min(c) == F.max(c)).alias(f"{c}__flat"),
+            F.expr(f"covar_pop(`{c}`, `{target}`) AS `{c}__cov`"),
+            F.expr(f"CASE WHEN min(`{c}`) < max(`{c}`) THEN stddev_pop(`{c}`) END AS `{c}__std`"),
         ]
-    stats = frame.groupBy("symbol").agg(*aggs)
-    scores = []
-    for i, c in enumerate(features):
-        r = F.when(~F.col(f"{c}__flat"), ratio(f"{c}__cov", F.col(f"{c}__std") * F.col("y__std")))
-        r2 = r * r
-        score = F.when(r2 >= 1, F.lit(float("inf"))).otherwise(ratio(r2, 1 - r2) * (F.col("rows") - 2))
-        scores.append(F.struct(F.lit(i).alias("position"), F.lit(c).alias("feature"), score.alias("score")))
-    return stats.select("symbol", F.inline(F.array(*scores)))
+    cells = ", ".join(
+        f"named_struct('position', {i}, 'feature', '{c}', 'r2', pow(try_divide(`{c}__cov`, `{c}__std` * _y), 2))"
+        for i, c in enumerate(features)
+    )
+    score = "CASE WHEN r2 >= 1 THEN double('Infinity') ELSE try_divide(r2, 1 - r2) * (_rows - 2) END AS score"
+    return (
+        frame.groupBy("symbol").agg(*aggs).selectExpr("symbol", "_rows", f"inline(array({cells}))")
+        .selectExpr("symbol", "position", "feature", score)
+    )
 
 
 def top_features(scores: DataFrame, k: int = 50) -> DataFrame:
@@ -127,6 +123,4 @@ def mask_features(frame: DataFrame, selected: DataFrame, features: Sequence[str]
     """Keep one schema for all symbols: features a symbol did not select become NULL."""
     chosen = selected.groupBy("symbol").agg(F.collect_set("feature").alias("chosen"))
     joined = frame.join(chosen, "symbol", "left")
-    return joined.withColumns(
-        {c: F.when(F.array_contains("chosen", c), F.col(c)) for c in features}
-    ).drop("chosen")
+    return _per_feature(frame, joined, features, "CASE WHEN array_contains(chosen, '{c}') THEN `{c}` END")

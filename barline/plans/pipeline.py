@@ -59,15 +59,8 @@ class Prepared:
 
     def transform(self, features: DataFrame, threshold: float) -> DataFrame:
         """Apply the fitted outlier rule and scaler to other feature rows (forecast rows)."""
-        names = self.spec.names
-        joined = features.join(self.outliers, "symbol")
-        clean = {
-            c: F.when(
-                F.abs(F.try_divide(F.col(c) - F.col(f"{c}__mean"), F.col(f"{c}__std"))) > threshold,
-                F.col(f"{c}__median"),
-            ).otherwise(F.col(c)) for c in names
-        }
-        return prepare.apply_scaler(joined.withColumns(clean).select(*features.columns), self.scaler, names)
+        clean = prepare.apply_outlier_stats(features, self.outliers, self.spec.names, threshold)
+        return prepare.apply_scaler(clean, self.scaler, self.spec.names)
 
 
 def preprocess(
@@ -75,7 +68,8 @@ def preprocess(
 ) -> Prepared:
     """Features, usable rows, split, outliers, scaling, selection: every symbol at once.
 
-    Two tables are staged, one after the windows and one after the scaling, because several aggregates and many fits read them.
+    The rows after the windows and after the scaling are staged, because several aggregates and many fits read
+    them; so are the fitted statistics (one row per symbol), which are what is saved and applied to forecasts.
     """
     spec = config.spec
     names = spec.names
@@ -86,11 +80,11 @@ def preprocess(
         rows = splits.split_by_fraction(rows, config.test_size, config.validation_size)
     rows = stage(rows, "features")
     fitting = rows if config.fit_outliers_on == "all" else rows.where(F.col("split") == "train")
-    outliers = prepare.outlier_stats(fitting, names)
-    clean = prepare.replace_outliers(rows, names, config.outlier_threshold, config.fit_outliers_on)
-    scaler = prepare.scaler_stats(clean.where(F.col("split") == "train"), names, config.scaling_method)
+    outliers = stage(prepare.outlier_stats(fitting, names), "outlier-stats")
+    clean = prepare.apply_outlier_stats(rows, outliers, names, config.outlier_threshold)
+    scaler = stage(prepare.scaler_stats(clean.where(F.col("split") == "train"), names, config.scaling_method), "scaler-stats")
     frame = stage(prepare.apply_scaler(clean, scaler, names), "prepared")
-    selected = prepare.select_features(frame, names, config.max_features)
+    selected = stage(prepare.select_features(frame, names, config.max_features), "selected")
     return Prepared(frame, selected, spec, scaler, outliers)
 
 

@@ -16,7 +16,7 @@ from barline.functions.columns import days_between, first_token, last_token, rat
 from barline.functions.windows import WindowLayer
 from barline.operators import evaluate, forecast, indicators as ind, models, prepare, search, splits, validate
 from barline.operators.features import FeatureSpec, engineer_features, null_budget, supervised_frame, training_rows
-from barline.operators.layout import series, drop_copies, lay_out, positions
+from barline.operators.layout import drop_copies, lay_out, positions
 from barline.operators.quantiles import exact_quantiles
 from barline.plans import pipeline
 from barline.sources import bars as B
@@ -62,7 +62,7 @@ def tidy(df: DataFrame, **digits: int) -> DataFrame:
 
 def with_layer(bars: DataFrame, back: int, build: Callable[[WindowLayer], dict[str, Column]], ahead: int = 0) -> DataFrame:
     """Keys, close and the columns of one window layer."""
-    layer = WindowLayer(series())
+    layer = WindowLayer()
     columns = build(layer)
     out = drop_copies(layer.apply(lay_out(bars, back, ahead), columns))
     return tidy(out.select("symbol", "date", *columns))
