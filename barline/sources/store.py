@@ -37,8 +37,9 @@ class BarTable:
         )
 
     def _write(self, rows: DataFrame) -> None:
+        # Rebalancing splits a (bucket, year) that is larger than the advisory size and merges small ones.
         (
-            rows.repartition("bucket", "year").sortWithinPartitions("bucket", "year", "symbol", "date")
+            rows.hint("rebalance", "bucket", "year").sortWithinPartitions("bucket", "year", "symbol", "date")
             .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
             .partitionBy("bucket", "year").parquet(self.path)
         )
