@@ -72,7 +72,7 @@ def _tree_args(p: dict, seed: int) -> dict:
         "maxDepth": DEEPEST if depth is None else min(depth, DEEPEST),
         # A node too small to split under min_samples_split has no leaf rule in Spark ML; leaves bound it instead.
         "minInstancesPerNode": p.get("min_samples_leaf") or 1,
-        "seed": seed, "featuresCol": "features", "labelCol": "target", "maxBins": 64,
+        "seed": seed, "featuresCol": "features", "labelCol": "target", "maxBins": 32,
     }
 
 
