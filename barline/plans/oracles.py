@@ -271,7 +271,7 @@ ORACLES["p9_supervised"] = ctes(FLAG, NUM) + f"""
 SELECT symbol, date, {rounded('open', 'high', 'low', 'volume')}, {rounded('target')}, pos, n - 3 AS n
 FROM (SELECT *, lead(close, 3) OVER ({SER}) AS target FROM num) WHERE target IS NOT NULL"""
 ORACLES["f1_upper"] = ctes(EVENTS) + "SELECT upper(symbol) AS symbol, date FROM bars"
-ORACLES["f2_file_names"] = "SELECT n_nationkey, 'coin_' || n_name AS stem, string_split(n_name, '_')[-1] AS token FROM nation"
+ORACLES["f2_file_names"] = "SELECT n_nationkey, 'series_' || n_name AS stem, string_split(n_name, '_')[-1] AS token FROM nation"
 ORACLES["f3_key_prefix"] = "SELECT 'exp_' || n_name || '_' || n_regionkey AS key FROM nation"
 ORACLES["f4_timestamps"] = "SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS text, strftime(ts, '%Y-%m-%d') AS day FROM events"
 ORACLES["f5_date_arithmetic"] = ctes(SUPP) + """

@@ -122,9 +122,10 @@ def import_bars(
     """
     found = stage(validate.findings(raw, min_years), "findings")
     verdict = validate.verdicts(raw, found)
-    good = raw.join(verdict.where("is_valid"), "dataset", "left_semi")
-    incoming = stage(bar_source.latest_bars(
-        bar_source.normalise(good).withColumn("version", F.monotonically_increasing_id()), "version"), "incoming")
+    # Of rows for the same day the last one read wins; the rank is taken at the scan, before any shuffle.
+    ranked = raw.withColumn("version", F.monotonically_increasing_id())
+    good = ranked.join(verdict.where("is_valid"), "dataset", "left_semi")
+    incoming = stage(bar_source.latest_bars(bar_source.normalise(good, keep=("version",)), "version"), "incoming")
     added = stage(store.new_keys(target.read(), incoming).groupBy("symbol").agg(F.count("*").alias("records_inserted")), "added")
     inserted = target.upsert(incoming, at)
 
@@ -193,7 +194,7 @@ def run_experiment(
     summary = evaluate.experiment_overview(comparison).join(
         evaluate.prediction_summary(predictions).select("symbol", "total_predictions", "predictions_with_actuals", "mean_prediction", "mse", "mae"),
         "symbol", "left")
-    names = [s for s in prepared.features_by_symbol()] if isinstance(prepared.features_by_symbol(), dict) else ["panel"]
+    names = ["panel" if s == "*" else s for s in panel.features]
     eid = experiment_id(names, list(config.model_types), started)
     if out_dir:
         sinks.save_experiment(eid, comparison, summary, out_dir)

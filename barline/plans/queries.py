@@ -7,7 +7,9 @@ be compared by value with another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from datetime import datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -318,7 +320,7 @@ def f1_upper(spark, sf):
 
 @query
 def f2_file_names(spark, sf):
-    name = F.concat(F.lit("data/raw/coin_"), F.col("n_name"), F.lit(".csv"))
+    name = F.concat(F.lit("lake/series_"), F.col("n_name"), F.lit(".csv"))
     stem = first_token(name)
     return table(spark, sf, "nation").select("n_nationkey", stem.alias("stem"), last_token(stem).alias("token"))
 
@@ -938,6 +940,17 @@ def m5_select_apply(spark, sf):
     return out.groupBy("symbol").agg(*[F.count(c).alias(f"n_{c}") for c in SCORED])
 
 
+PREPARED_TABLES: dict[tuple[str, str], pipeline.Prepared] = {}
+
+
+def prepared_panel(spark: SparkSession, sf: str) -> pipeline.Prepared:
+    """The prepared table that all training queries read: staged by the first of them in an application."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in PREPARED_TABLES:
+        PREPARED_TABLES[key] = pipeline.preprocess(bars_flag(spark, sf))
+    return PREPARED_TABLES[key]
+
+
 def few_models() -> pipeline.PipelineConfig:
     """Whole pipeline with the cheaper model types and small ensembles of trees."""
     return pipeline.PipelineConfig(
@@ -952,7 +965,7 @@ def m6_preprocess(spark, sf):
 def one_type(model_type: str) -> Query:
     """Train one model type with its default parameters for every symbol; metrics per split."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        prepared = pipeline.preprocess(bars_flag(spark, sf))
+        prepared = prepared_panel(spark, sf)
         panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), [model_type])
         return evaluate.training_metrics(panel.predictions(prepared.frame))
     return run
@@ -968,7 +981,7 @@ QUERIES |= {
 
 @query
 def m12_search_folds(spark, sf):
-    prepared = pipeline.preprocess(bars_flag(spark, sf))
+    prepared = prepared_panel(spark, sf)
     out = None
     for symbol, names in prepared.features_by_symbol().items():
         train = prepared.frame.where((F.col("symbol") == symbol) & (F.col("split") == "train"))
@@ -989,7 +1002,7 @@ def m13_search_validation(spark, sf):
 
 @query
 def m14_train_and_score(spark, sf):
-    prepared = pipeline.preprocess(bars_flag(spark, sf))
+    prepared = prepared_panel(spark, sf)
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["decision_tree"], folds=3)
     metrics = evaluate.training_metrics(panel.predictions(prepared.frame))
     return evaluate.compare_models(metrics, panel.cv_frame(spark))
@@ -997,7 +1010,7 @@ def m14_train_and_score(spark, sf):
 
 @query
 def m15_train_all(spark, sf):
-    prepared = pipeline.preprocess(bars_flag(spark, sf))
+    prepared = prepared_panel(spark, sf)
     small = {"random_forest": {"n_estimators": 10, "max_depth": 5}, "xgboost": {"n_estimators": 5, "max_depth": 3}}
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), params=small)
     return panel.predictions(prepared.frame).groupBy("symbol", "model", "split").agg(F.count("*").alias("rows"), F.avg("prediction").alias("mean"))
@@ -1013,7 +1026,7 @@ def m15_pooled(spark, sf):
 
 @query
 def m16_predict(spark, sf):
-    prepared = pipeline.preprocess(bars_flag(spark, sf))
+    prepared = prepared_panel(spark, sf)
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["lasso"])
     return panel.predictions(prepared.frame.where(F.col("split") == "test"))
 
@@ -1053,8 +1066,8 @@ def m20_backtest(spark, sf):
 
 @query
 def m20_backtest_models(spark, sf):
-    """Backtest with trained models instead of SQL forecasters."""
-    return pipeline.run_experiment(bars_flag(spark, sf), few_models(), 30, at=T0).predictions
+    """Backtest with trained models instead of SQL forecasters, without cross-validation."""
+    return pipeline.run_experiment(bars_flag(spark, sf), replace(few_models(), cross_validation_folds=0), 30, at=T0).predictions
 
 
 @query
@@ -1092,7 +1105,7 @@ def m24_pipeline(spark, sf):
 
 @query
 def k8_importance(spark, sf):
-    prepared = pipeline.preprocess(bars_flag(spark, sf))
+    prepared = prepared_panel(spark, sf)
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["decision_tree"])
     out = None
     for (symbol, _), model in panel.models.items():
@@ -1133,7 +1146,7 @@ def s21_metrics_sink(spark, sf):
 @query
 def s22_model_sink(spark, sf):
     path = fresh_path(spark, "models")
-    prepared = pipeline.preprocess(bars_flag(spark, sf))
+    prepared = prepared_panel(spark, sf)
     pipeline.save_preprocessor(prepared, f"{path}/preprocessor")
     prepared = pipeline.load_preprocessor(spark, f"{path}/preprocessor", prepared.frame, prepared.spec)
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["lasso"])
@@ -1150,6 +1163,20 @@ def u1_metric_registry(spark, sf):
     return tidy(out, rmse=3)
 
 
+@query
+def u2_model_factory(spark, sf):
+    """Every model type by name, trained on the rows of all symbols at once; smallest useful parameters."""
+    prepared = prepared_panel(spark, sf)
+    train = prepared.frame.where(F.col("split") == "train")
+    quick = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "xgboost": {"n_estimators": 3, "max_depth": 2}}
+    parts = [
+        models.predict(models.fit(train, SCORED, t, quick.get(t)), prepared.frame).select(
+            "symbol", F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"), F.lit(t).alias("model"))
+        for t in models.MODEL_TYPES
+    ]
+    return evaluate.metric_rows(reduce(DataFrame.unionByName, parts), ("mape", "r2"), by=("model", "dataset"))
+
+
 @query
 def u3_objective(spark, sf):
     """Score of one parameter set as the search sees it: negative percentage error on validation rows, per symbol."""

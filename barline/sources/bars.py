@@ -7,6 +7,8 @@ source is; every builder here enforces that with an aggregate that combines befo
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,7 +50,7 @@ def read_text_bars(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     )
 
 
-def normalise(raw: DataFrame, symbol: str | Column = "dataset") -> DataFrame:
+def normalise(raw: DataFrame, symbol: str | Column = "dataset", keep: Sequence[str] = ()) -> DataFrame:
     """Raw bars -> panel columns: upper-case symbol, calendar day, NULL for NaN, rows without a price dropped."""
     have = {c.lower().replace(" ", "").replace("_", ""): c for c in raw.columns}
     missing = [c for c in ("date", *PRICES) if c not in have]
@@ -64,6 +66,7 @@ def normalise(raw: DataFrame, symbol: str | Column = "dataset") -> DataFrame:
         *[number(c).alias(c) for c in PRICES],
         number("volume").alias("volume"),
         number("marketcap").alias("market_cap"),
+        *keep,
     ).dropna(subset=["symbol", "date", *PRICES])
 
 
