@@ -191,10 +191,11 @@ def s10_import_jobs(spark, sf):
 
 
 def supplier_raw(spark: SparkSession, sf: str) -> DataFrame:
-    """Raw rows per supplier with faults: every seventh supplier has negative closes in 1997."""
+    """Raw rows per supplier with faults: every seventh supplier has negative closes in 1997. Staged, because
+    validation takes several passes over its input."""
     bars = bars_supp(spark, sf).withColumnRenamed("symbol", "dataset")
     bad = (F.col("dataset").cast("int") % 7 == 0) & (F.year("date") == 1997)
-    return bars.withColumn("close", F.when(bad, -F.col("close")).otherwise(F.col("close")))
+    return stage(bars.withColumn("close", F.when(bad, -F.col("close")).otherwise(F.col("close"))), "raw-supp")
 
 
 @query

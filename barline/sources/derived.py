@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.sources.bars import bars_from_ticks
+from barline.sources.scratch import stage
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,12 +28,13 @@ def _line_bars(spark: SparkSession, sf_dir: str, symbol: str) -> DataFrame:
 
 
 def bars_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Few long series: one per return flag."""
-    return _line_bars(spark, sf_dir, "l_returnflag")
+    """Few long series: one per return flag. The bars are tiny beside the lines and most queries read them more than
+    once (row counts, then windows), so they are staged: the lines are scanned once."""
+    return stage(_line_bars(spark, sf_dir, "l_returnflag"), "bars-flag")
 
 
 def bars_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Many series: one per supplier."""
+    """Many series: one per supplier. Nearly as many bars as lines, so nothing is staged here."""
     return _line_bars(spark, sf_dir, "l_suppkey")
 
 
