@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import decontaminate, shards, topk
+from barline.llm import decontaminate, packing, shards, topk
 from barline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -31,3 +31,8 @@ def op5_interleave_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_inner_products(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
