@@ -58,3 +58,22 @@ scores AS (
   FROM v q JOIN v c ON c.vec_id <> q.vec_id AND len(c.v) = len(q.v) WHERE q.vec_id % 20 = 0)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scores) WHERE rank <= 20"""
+
+
+ORACLES["op9_repeated_passages"] = r"""
+WITH split AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+windows AS (
+  SELECT row, doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS win
+  FROM (SELECT row, doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM split WHERE len(w) >= 50 AND doc_id IS NOT NULL)),
+owners AS (SELECT win, min(doc_id) AS owner FROM windows GROUP BY 1),
+gone AS (
+  SELECT DISTINCT row, p FROM (
+    SELECT row, unnest(range(i, i + 50)) AS p FROM windows JOIN owners USING (win) WHERE doc_id > owner)),
+lists AS (SELECT row, list(p) AS gone FROM gone GROUP BY 1),
+places AS (SELECT row, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM split WHERE row IN (SELECT row FROM lists)),
+kept AS (
+  SELECT row, string_agg(word, ' ' ORDER BY p) AS text FROM places ANTI JOIN gone USING (row, p) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
+  sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
+FROM split LEFT JOIN lists USING (row) LEFT JOIN kept USING (row)"""

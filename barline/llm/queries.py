@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import decontaminate, packing, shards, topk
+from barline.llm import decontaminate, packing, repeats, shards, topk
 from barline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,3 +36,8 @@ def op10_top_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), with_ids=False)
+
+
+@query
+def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.removal_report(table(spark, sf_dir, "documents"))
