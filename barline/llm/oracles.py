@@ -77,3 +77,21 @@ kept AS (
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(gone), 0) AS BIGINT) AS n_removed,
   sha256(CASE WHEN gone IS NULL THEN array_to_string(w, ' ') ELSE coalesce(kept.text, '') END) AS kept_sha256
 FROM split LEFT JOIN lists USING (row) LEFT JOIN kept USING (row)"""
+
+
+ORACLES["op8_jaccard_join"] = r"""
+WITH RECURSIVE split AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+shingles AS (
+  SELECT DISTINCT row, array_to_string(w[i : i + 4], ' ') AS s
+  FROM (SELECT row, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM split WHERE len(w) > 0)),
+sizes AS (SELECT row, count(*) AS n FROM shingles GROUP BY 1),
+links AS (
+  SELECT a, b FROM (SELECT x.row AS a, y.row AS b, count(*) AS c FROM shingles x JOIN shingles y ON x.s = y.s AND x.row <> y.row GROUP BY 1, 2)
+  JOIN sizes p ON p.row = a JOIN sizes q ON q.row = b WHERE 10 * c >= 8 * (p.n + q.n - c)),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+classes AS (SELECT a AS row, min(doc_id) AS other FROM reach JOIN split ON split.row = b GROUP BY 1),
+degrees AS (SELECT a AS row, count(*) AS n_links FROM links GROUP BY 1)
+SELECT doc_id, least(doc_id, other) AS class_id, coalesce(n_links, 0) AS n_links
+FROM split LEFT JOIN classes USING (row) LEFT JOIN degrees USING (row)"""

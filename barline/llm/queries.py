@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import decontaminate, packing, repeats, shards, topk
+from barline.llm import decontaminate, neardup, packing, repeats, shards, topk
 from barline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,3 +41,8 @@ def op7_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.removal_report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.duplicate_classes(table(spark, sf_dir, "documents"))
