@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import decontaminate, neardup, packing, repeats, shards, topk
+from barline.llm import decontaminate, language, neardup, packing, repeats, shards, topk
 from barline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,3 +46,8 @@ def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.duplicate_classes(table(spark, sf_dir, "documents"))
+
+
+@query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))

@@ -8,17 +8,45 @@ from pyspark.sql import DataFrame, SparkSession
 
 from barline.llm.common import staged, table
 from barline.llm.decontaminate import decontaminate
+from barline.llm.language import keep_identified
+from barline.llm.neardup import keep_one
+from barline.llm.packing import pack
+from barline.llm.repeats import remove_repeats
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a recognisable language go."""
+    return keep_identified(docs)
+
+
+def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents connected by near-duplicate links the one of least id stays."""
+    return keep_one(docs)
+
+
+def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more stay in the document of least id only."""
+    return remove_repeats(docs)
+
+
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a window of a benchmark item occurs go."""
     return decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token sequences: one row per piece of a document, with its ids."""
+    return pack(docs)
+
+
 STAGES: list[tuple[str, Stage]] = [
+    ("language_id", language_id),
+    ("jaccard_join", jaccard_join),
+    ("substring_dedup", substring_dedup),
     ("benchmark_decontamination", benchmark_decontamination),
+    ("packing", packing),
 ]
 
 #: Language models and tokenizer merges have no SQL; tests/llm holds the stages against brute force.
