@@ -58,22 +58,25 @@ def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
         [c if isinstance(c, pa.Array) else pa.array(c, f.type) for f, c in ((f, columns[f.name]) for f in schema)], schema=schema)
 
 
-def offsets_of_parts(totals: DataFrame, keys: list[str], order: str, value: str, out: str, run: int = 4096) -> DataFrame:
-    """Sum of `value` over the earlier parts of the same keys, as column `out`; no task sorts more than `run` parts of one
-    key, or one row for each run.
+def offsets_of_parts(totals: DataFrame, keys: list[str], order: str, value: str, out: str, run: int = 4096, how: str = "sum") -> DataFrame:
+    """`value` gathered over the earlier parts of the same keys, as column `out` (0 before the first): how is sum, bit_xor or
+    max. No task sorts more than `run` parts of one key, or one row for each run.
 
-    totals: one row per keys and `order` (a long from 0). Parts are summed in runs of `run` consecutive numbers; the
-    sums of runs are scanned, and each run is scanned by itself.
+    totals: one row per keys and `order` (a long). Parts are gathered in runs of `run` consecutive numbers; what the runs
+    have is scanned, and each run is scanned by itself.
     """
+    gather = {"sum": F.sum, "bit_xor": F.bit_xor, "max": F.max}[how]
+    both = {"sum": lambda a, b: a + b, "bit_xor": lambda a, b: a.bitwiseXOR(b), "max": F.greatest}[how]
+    nothing = F.lit(0).cast("long")
     group = [F.col(k) for k in keys]
-    in_runs = totals.withColumn("_run", F.expr(f"`{order}` div {run}"))
-    runs = in_runs.groupBy(*group, "_run").agg(F.sum(value).alias("_sum"))
+    in_runs = totals.withColumn("_run", F.expr(f"floor(`{order}` / {run})"))
+    runs = in_runs.groupBy(*group, "_run").agg(gather(value).alias("_sum"))
     before = Window.partitionBy(*(group or [F.lit(0)])).orderBy("_run").rowsBetween(Window.unboundedPreceding, -1)
-    runs = runs.withColumn("_base", F.coalesce(F.sum("_sum").over(before), F.lit(0))).drop("_sum")
+    runs = runs.withColumn("_base", F.coalesce(gather("_sum").over(before), nothing)).drop("_sum")
     inside = Window.partitionBy(*group, "_run").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return (
         in_runs.join(runs, [*keys, "_run"])
-        .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inside), F.lit(0)))
+        .withColumn(out, both(F.col("_base"), F.coalesce(gather(value).over(inside), nothing)))
         .drop("_run", "_base", value)
     )
 

@@ -95,3 +95,41 @@ classes AS (SELECT a AS row, min(doc_id) AS other FROM reach JOIN split ON split
 degrees AS (SELECT a AS row, count(*) AS n_links FROM links GROUP BY 1)
 SELECT doc_id, least(doc_id, other) AS class_id, coalesce(n_links, 0) AS n_links
 FROM split LEFT JOIN classes USING (row) LEFT JOIN degrees USING (row)"""
+
+
+ORACLES["op3_url_filter"] = r"""
+WITH parts AS (
+  SELECT page_id, DATE '2023-01-01' + CAST(page_id * 37 % 730 AS INTEGER) AS fetched,
+    nullif(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]+)', 1), '') AS host,
+    regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+captures AS (SELECT row_number() OVER () AS id, *, host || CASE WHEN path = '' THEN '/' ELSE path END AS page, string_split(host, '.') AS labels FROM parts),
+names AS (
+  SELECT DISTINCT 'hosts' AS list, host AS entry FROM captures UNION ALL SELECT DISTINCT 'pages', page FROM captures
+  UNION ALL SELECT DISTINCT 'domains', array_to_string(labels[greatest(len(labels) - 1, 1) :], '.') FROM captures),
+drawn AS (SELECT * FROM (SELECT *, CAST('0x' || md5(list || '|' || entry)[1:8] AS BIGINT) AS x FROM names WHERE entry IS NOT NULL) WHERE x % 5 = 0),
+events AS (
+  SELECT list, entry, 'add' AS action, x // 5 % 600 AS d FROM drawn
+  UNION ALL SELECT list, entry, 'remove', x // 5 % 600 + 20 + x // 7 % 150 FROM drawn
+  UNION ALL SELECT list, entry, 'add', x // 5 % 600 + 200 FROM drawn WHERE x // 11 % 2 = 0),
+days AS (SELECT list, entry, DATE '2023-01-01' + CAST(d AS INTEGER) AS day, max(action) AS action FROM events GROUP BY ALL),
+keys AS (
+  SELECT id, fetched, page AS k FROM captures
+  UNION SELECT id, fetched, array_to_string(labels[i:], '.') FROM (SELECT id, fetched, labels, unnest(range(1, len(labels) + 1)) AS i FROM captures)),
+found AS (
+  SELECT id, list || ':' || entry AS e FROM (
+    SELECT k.id, e.list, e.entry, arg_max(action, day) AS state FROM keys k JOIN days e ON e.entry = k.k AND e.day <= k.fetched GROUP BY ALL)
+  WHERE state = 'add'),
+lists AS (SELECT id, count(*) AS n, string_agg(e, ',' ORDER BY e) AS entries FROM found GROUP BY 1)
+SELECT page_id, fetched, host, n IS NOT NULL AS blocked, CAST(coalesce(n, 0) AS INTEGER) AS n_entries, coalesce(entries, '') AS entries
+FROM captures LEFT JOIN lists USING (id)"""
+
+ORACLES["op6_chat_format"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, role, text, '<|im_start|>' || replace(coalesce(role, ''), '<|im_', '< |im_') || chr(10)
+    || replace(coalesce(text, ''), '<|im_', '< |im_') || '<|im_end|>' || chr(10) AS shown FROM conversations),
+convs AS (
+  SELECT conv_id, list({'r': role, 't': text} ORDER BY turn, role, text) AS l, string_agg(shown, '' ORDER BY turn, role, text) AS text
+  FROM turns WHERE conv_id IS NOT NULL GROUP BY 1),
+one_each AS (SELECT min(conv_id) AS conv_id, l, any_value(text) AS text FROM convs GROUP BY l)
+SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, text FROM one_each a
+WHERE NOT EXISTS (SELECT 1 FROM one_each b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1 : len(a.l)] = a.l)"""
