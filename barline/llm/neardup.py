@@ -227,7 +227,7 @@ def _verified(similarity: Fraction):
             for p in packs:
                 one_each += [] if p[3] in seen else [p[:3]]
                 seen.add(p[3])
-            if one_each:
+            if one_each and (key[1] == key[2] or len({p[0] for p in one_each}) == 2):  # a block may have got no packs
                 done.append(verify(one_each, similarity))
 
         for batch in batches:

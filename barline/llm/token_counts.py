@@ -69,14 +69,14 @@ def count_tokens(blocks: DataFrame, block: int = BLOCK, separator: int = SEPARAT
     scanned = staged(blocks.mapInArrow(search, "file string, block long, last_block boolean, n long, ends array<long>"), "separators")
     keys = ["file", "block"]
     counts = scanned.select(*keys, F.size("ends").cast("long").alias("v"))
-    latest = scanned.select(*keys, F.coalesce(F.element_at("ends", -1) + 1, F.lit(0)).alias("v"))  # the token after it; 0: none yet
+    latest = scanned.select(*keys, F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, F.lit(0)).alias("v"))  # the token after it; 0: none yet
     state = offsets_of_parts(counts, ["file"], "block", "v", "docs").join(offsets_of_parts(latest, ["file"], "block", "v", "begin", how="max"), keys)
     stitched = scanned.join(state, keys)
     ended = stitched.select("file", "docs", "begin", "ends", F.posexplode("ends").alias("k", "end")).select(
         "file", (F.col("docs") + F.col("k")).alias("doc_index"),
         F.expr("IF(k = 0, begin, ends[k - 1] + 1)").alias("start"), "end", F.lit(True).alias("ended"))
     rest = stitched.filter("last_block").select(
-        "file", (F.col("docs") + F.size("ends")).alias("doc_index"), F.coalesce(F.element_at("ends", -1) + 1, "begin").alias("start"),
+        "file", (F.col("docs") + F.size("ends")).alias("doc_index"), F.coalesce(F.try_element_at("ends", F.lit(-1)) + 1, "begin").alias("start"),
         (F.col("block") * block + F.col("n")).alias("end"), F.lit(False).alias("ended")).filter("end > start")
     return ended.unionByName(rest).select("file", "doc_index", "start", (F.col("end") - F.col("start")).alias("n_tokens"), "ended")
 
