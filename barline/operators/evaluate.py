@@ -56,26 +56,27 @@ def alignment(real: DataFrame, pred: DataFrame) -> DataFrame:
 
 
 def check_input(real: DataFrame, pred: DataFrame) -> None:
-    """Rules on the data; collects one row per dataset (at most the three known ones)."""
+    """Rules on the data. With several faults the first dataset in order of its name decides, and in it the first rule."""
     for df, value in ((real, "y_real"), (pred, "y_pred")):
         if not isinstance(df, DataFrame):
             raise MetricInputError("wrong_type", f"{value} must come as a DataFrame")
         if not isinstance(df.schema[value].dataType, T.DoubleType):
             raise MetricInputError("wrong_values_type", f"{value} must be double")
-    facts = alignment(real, pred).limit(len(DATASETS) + 1).collect()
-    if not facts:
+    reason = (
+        F.when(~F.coalesce(F.col("dataset").isin(*DATASETS), F.lit(False)), "wrong_dataset_name")
+        .when((F.col("real_rows") == 0) | (F.col("pred_rows") == 0), "empty")
+        .when(F.col("real_rows") != F.col("pred_rows"), "incompatible_lengths")
+        .when(F.col("unmatched") > 0, "index_mismatch")
+        .when((F.col("real_missing") > 0) | (F.col("pred_missing") > 0), "missing_values")
+    )
+    facts = alignment(real, pred).withColumn("reason", reason).agg(
+        F.count("*").alias("datasets"),
+        F.min(F.when(F.col("reason").isNotNull(), F.struct(F.coalesce("dataset", F.lit("")).alias("dataset"), "reason"))).alias("first"),
+    ).first()
+    if not facts.datasets:
         raise MetricInputError("empty", "no rows")
-    for row in facts:
-        if row.dataset not in DATASETS:
-            raise MetricInputError("wrong_dataset_name", str(row.dataset))
-        if not row.real_rows or not row.pred_rows:
-            raise MetricInputError("empty", row.dataset)
-        if row.real_rows != row.pred_rows:
-            raise MetricInputError("incompatible_lengths", row.dataset)
-        if row.unmatched:
-            raise MetricInputError("index_mismatch", row.dataset)
-        if row.real_missing or row.pred_missing:
-            raise MetricInputError("missing_values", row.dataset)
+    if facts.first:
+        raise MetricInputError(facts.first.reason, facts.first.dataset)
 
 
 def metric_rows(

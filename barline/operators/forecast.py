@@ -34,22 +34,24 @@ def ensemble_weights(predictions: DataFrame, method: str = "performance_based")
     else:
         raise ValueError(f"Unknown ensemble method: {method}")
     scores = predictions.groupBy("symbol", "model").agg(F.count("*").alias("rows"), score.alias("score"))
-    total = scores.groupBy("symbol").agg(F.sum("score").alias("total"))
-    return scores.join(total, "symbol").select("symbol", "model", (F.col("score") / F.col("total")).alias("weight"))
+    total = F.sum("score").over(Window.partitionBy("symbol"))
+    return scores.select("symbol", "model", (F.col("score") / total).alias("weight"))
 
 
 def combine(
     predictions: DataFrame, weights: DataFrame | None = None, method: str = "weighted_average",
     by: Sequence[str] = ("symbol", "date"),
 ) -> DataFrame:
-    """One row per group: combined prediction, band of +-1.96 population deviations across models, model count."""
+    """One row per group: combined prediction, band of +-1.96 population deviations across models, model count.
+
+    Models without a weight count nothing beside weighted ones; where no model has a weight, all count alike."""
     if method not in ("weighted_average", "simple_average"):
         raise ValueError(f"Unknown ensemble method: {method}")
     p = F.col("prediction")
     if method == "weighted_average" and weights is not None:
         predictions = predictions.join(weights, ["symbol", "model"], "left")
         w = F.coalesce(F.col("weight"), F.lit(0.0))
-        value = F.when(F.sum(w) > 0, F.try_divide(F.sum(w * p), F.sum(w))).otherwise(F.lit(0.0))
+        value = F.when(F.sum(w) > 0, F.try_divide(F.sum(w * p), F.sum(w))).otherwise(F.avg(p))
     else:
         value = F.avg(p)
     spread = Z_95 * F.stddev_pop(p)
@@ -61,6 +63,14 @@ def combine(
     )
 
 
+def first_model(predictions: DataFrame, order: Sequence[str], by: Sequence[str] = ("symbol", "date")) -> DataFrame:
+    """One row per group: the prediction of the first model type in `order` that has one, without a band, and its name."""
+    place = F.array_position(F.array(*[F.lit(m) for m in order]), F.col("model"))
+    known = predictions.where((place > 0) & F.col("prediction").isNotNull())
+    first = F.min_by(F.struct(F.col("prediction").alias("predicted_value"), F.col("model").alias("model_used")), place)
+    return known.groupBy(*by).agg(first.alias("first")).select(*by, "first.*")
+
+
 def date_spine(symbols: DataFrame, start: str | Column, end: str | Column) -> DataFrame:
     """(symbol, date) for every calendar day in [start, end]; columns of `symbols` may give the bounds."""
     first = F.lit(start).cast("date") if isinstance(start, str) else start

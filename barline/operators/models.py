@@ -1,7 +1,8 @@
 """Spark ML regressors by name, training per symbol or pooled, cross-validation and prediction.
 
 Tree models follow Spark ML: splits are binned, a depth of at most 30, and the smallest leaf is the only size
-limit of a node, so their numbers are close to but not the same as those of other implementations.
+limit of a node, so their numbers are close to but not the same as those of other implementations. What has no
+counterpart there (min_samples_split, a greater depth) is refused instead of ignored.
 """
 
 from __future__ import annotations
@@ -16,45 +17,46 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import (
     DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
 )
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.operators.splits import expanding_folds
 
 MODEL_TYPES = ("decision_tree", "random_forest", "xgboost", "lasso")
 
-# Default parameters and search bounds per model.
+# Default parameters per model.
 DEFAULT_PARAMS: dict[str, dict[str, float]] = {
-    "decision_tree": {"max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2},
-    "random_forest": {"n_estimators": 100, "max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2},
+    "decision_tree": {"max_depth": 10, "min_samples_leaf": 2},
+    "random_forest": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 2},
     "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8},
     "lasso": {"alpha": 1.0, "max_iter": 1000},
 }
+# Search bounds of the search over folds.
 SEARCH_BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
-    "decision_tree": {"max_depth": (3, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 10)},
-    "random_forest": {
-        "n_estimators": (50, 200), "max_depth": (3, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 10),
-    },
+    "decision_tree": {"max_depth": (3, 20), "min_samples_leaf": (1, 10)},
+    "random_forest": {"n_estimators": (50, 200), "max_depth": (3, 20), "min_samples_leaf": (1, 10)},
     "xgboost": {
         "n_estimators": (50, 200), "max_depth": (3, 10), "learning_rate": (0.01, 0.3),
         "subsample": (0.6, 1.0), "colsample_bytree": (0.6, 1.0),
     },
     "lasso": {"alpha": (0.001, 10.0)},
 }
+# Search bounds of the search on validation rows.
 VALIDATION_SEARCH_BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
-    "decision_tree": {"max_depth": (2, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 20)},
-    "random_forest": {"n_estimators": (10, 200), "max_depth": (2, 20), "min_samples_split": (2, 20)},
+    "decision_tree": {"max_depth": (2, 20), "min_samples_leaf": (1, 20)},
+    "random_forest": {"n_estimators": (10, 200), "max_depth": (2, 20)},
     "xgboost": {"n_estimators": (10, 200), "max_depth": (2, 10), "learning_rate": (0.01, 0.3)},
     "lasso": {"alpha": (0.001, 10.0), "max_iter": (100, 5000), "tol": (0.0001, 0.01)},
 }
+# What a request that names no parameters gets.
 REQUEST_DEFAULTS: dict[str, dict[str, float | None]] = {
-    "decision_tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
-    "random_forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2},
+    "decision_tree": {"max_depth": None, "min_samples_leaf": 1},
+    "random_forest": {"n_estimators": 100, "max_depth": None},
     "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1},
     "lasso": {"alpha": 1.0, "max_iter": 1000, "tol": 0.0001},
 }
-WHOLE_NUMBERS = {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_iter"}
-DEEPEST = 30
+WHOLE_NUMBERS = {"n_estimators", "max_depth", "min_samples_leaf", "max_iter"}
+DEEPEST = 30  # of Spark ML; also what "no limit" means
 SEED = 42
 
 
@@ -68,9 +70,10 @@ def whole(params: Mapping[str, float | None]) -> dict[str, float | None]:
 
 def _tree_args(p: dict, seed: int) -> dict:
     depth = p.get("max_depth")
+    if depth is not None and depth > DEEPEST:
+        raise ValueError(f"max_depth is at most {DEEPEST}, not {depth}")
     return {
-        "maxDepth": DEEPEST if depth is None else min(depth, DEEPEST),
-        # A node too small to split under min_samples_split has no leaf rule in Spark ML; leaves bound it instead.
+        "maxDepth": DEEPEST if depth is None else depth,
         "minInstancesPerNode": p.get("min_samples_leaf") or 1,
         "seed": seed, "featuresCol": "features", "labelCol": "target", "maxBins": 32,
     }
@@ -110,6 +113,9 @@ def create_model(model_type: str, params: Mapping[str, float | None] | None = No
     """Estimator by name with defaults filled in; reads `features`, predicts `target`."""
     if model_type not in FACTORY:
         raise ValueError(f"Unknown model type: {model_type}")
+    known = {*DEFAULT_PARAMS[model_type], *VALIDATION_SEARCH_BOUNDS[model_type]}
+    if unknown := sorted({*(params or {})} - known):
+        raise ValueError(f"{model_type} has no parameter {', '.join(unknown)}; there are {', '.join(sorted(known))}")
     return FACTORY[model_type](whole({**DEFAULT_PARAMS[model_type], **(params or {})}), seed)
 
 
@@ -158,20 +164,37 @@ def load_model(path: str) -> PipelineModel:
     return PipelineModel.load(path)
 
 
+SYMBOL_BUCKETS = 64
+
+
+def symbol_bucket(symbol: str | Column) -> Column:
+    """Where a staged frame keeps a symbol: as column `symbol_bucket` it lets a fit read one bucket instead of all."""
+    return F.pmod(F.xxhash64(F.lit(symbol) if isinstance(symbol, str) else symbol), F.lit(SYMBOL_BUCKETS)).cast("int")
+
+
+def rows_of(frame: DataFrame, symbol: str) -> DataFrame:
+    own = frame.where(F.col("symbol") == symbol)
+    return own.where(F.col("symbol_bucket") == symbol_bucket(symbol)) if "symbol_bucket" in frame.columns else own
+
+
 @dataclass
 class TrainedPanel:
-    """Models of a panel; the key is (symbol, model type), the symbol is '*' for a pooled model."""
+    """Models of a panel; the key is (symbol, model type), the symbol is '*' for a pooled model.
+
+    `failures` holds (symbol, model type, step) -> reason, the step being search, fit or folds; `params` what was fitted.
+    """
 
     models: dict[tuple[str, str], PipelineModel]
     features: dict[str, list[str]]
     cv_scores: list[tuple[str, str, int, float]] = field(default_factory=list)
-    failures: dict[tuple[str, str], str] = field(default_factory=dict)
+    failures: dict[tuple[str, str, str], str] = field(default_factory=dict)
+    params: dict[tuple[str, str], dict] = field(default_factory=dict)
 
     def predictions(self, frame: DataFrame, keep: Sequence[str] = ("symbol", "date", "split", "target")) -> DataFrame:
         """Long rows: `keep`, model, prediction."""
         parts = []
         for (symbol, model_type), model in self.models.items():
-            rows = frame if symbol == "*" else frame.where(F.col("symbol") == symbol)
+            rows = frame if symbol == "*" else rows_of(frame, symbol)
             out = predict(model, rows)
             if symbol == "*":
                 out = out.withColumn("prediction", F.col("close") * (1 + F.col("prediction")))
@@ -182,44 +205,63 @@ class TrainedPanel:
         return spark.createDataFrame(self.cv_scores, "symbol string, model string, fold int, score double")
 
 
-MOST_SYMBOLS = 64
+MODES = ("per_symbol", "pooled")
 
 
 def train_panel(
     prepared: DataFrame, features: Mapping[str, Sequence[str]] | Sequence[str],
     model_types: Sequence[str] = MODEL_TYPES, params: Mapping[str, Mapping[str, float | None]] | None = None,
-    folds: int = 0, threads: int = 4, seed: int = SEED,
+    folds: int = 0, threads: int = 4, seed: int = SEED, mode: str = "per_symbol",
+    tune: Callable[[DataFrame, Sequence[str], str], Mapping[str, float | None]] | None = None,
 ) -> TrainedPanel:
-    """Train every model type for every symbol of a prepared frame (`split`, `target`, scaled features).
-
-    Up to 64 symbols get their own models: independent Spark jobs, a few at a time; a model that fails is
-    recorded and skipped. Above that a loop of jobs does not scale, and one pooled model per type is fitted on all
-    rows at once, with the relative change of the close as its label so that price levels do not matter.
+    """Train every model type on a prepared frame (`split`, `target`, scaled features).
+
+    mode "per_symbol": each symbol gets its own models, whatever other symbols there are: independent Spark jobs, `threads`
+    at a time, symbol after symbol. mode "pooled": one model per type on all rows at once, with the relative change
+    of the close as its label so that price levels do not matter; use it where a job per symbol is too many.
+    Both take folds and chosen features (pooled: the union of what symbols chose). `tune` gets train rows, features and
+    type, and returns parameters that override the given ones before the fit. A step that fails is recorded; a failing
+    cross-validation does not cost the model.
     """
-    spark = prepared.sparkSession
-    params = params or {}
-    names = [r.symbol for r in prepared.select("symbol").distinct().limit(MOST_SYMBOLS + 1).collect()]
-    if len(names) > MOST_SYMBOLS:
+    if mode not in MODES:
+        raise ValueError(f"mode is one of {MODES}, not {mode}")
+    spark, params = prepared.sparkSession, params or {}
+    train = prepared.where(F.col("split") == "train")
+    if mode == "pooled":
         shared = list(features) if not isinstance(features, Mapping) else sorted(set().union(*features.values()))
         label = F.try_divide(F.col("target"), F.col("close")) - 1
-        rows = prepared.where(F.col("split") == "train").withColumn("target", label).where(F.col("target").isNotNull())
-        pooled = {("*", t): fit(rows, shared, t, params.get(t), seed) for t in model_types}
-        return TrainedPanel(pooled, {"*": shared})
-
-    chosen = {s: list(features[s] if isinstance(features, Mapping) else features) for s in sorted(names)}
+        train = train.withColumn("target", label).where(F.col("target").isNotNull())
+        chosen = {"*": shared}
+    else:
+        names = sorted(r.symbol for r in train.select("symbol").distinct().toLocalIterator())
+        chosen = {s: list(features[s] if isinstance(features, Mapping) else features) for s in names}
     panel = TrainedPanel({}, chosen)
 
     def job(symbol: str, model_type: str) -> None:
-        rows = prepared.where((F.col("symbol") == symbol) & (F.col("split") == "train"))
-        try:
-            model = fit(rows, chosen[symbol], model_type, params.get(model_type), seed)
-            if folds:
-                train = rows.withColumn("n", F.lit(rows.count()))
-                scores = cross_validate(train, chosen[symbol], model_type, params.get(model_type), folds, seed)
-                panel.cv_scores += [(symbol, model_type, i, s) for i, s in enumerate(scores)]
-            panel.models[(symbol, model_type)] = model
-        except Exception as e:  # one failing model must not stop the others
-            panel.failures[(symbol, model_type)] = str(e)
+        rows = train if symbol == "*" else rows_of(train, symbol)
+        own = dict(params.get(model_type, {}))
+
+        def step(name: str, run: Callable) -> object:
+            try:
+                return run()
+            except Exception as e:  # one failing model must not stop the others
+                panel.failures[(symbol, model_type, name)] = str(e)
+                return None
+
+        counted = rows
+        if folds or tune:
+            by_symbol = rows.groupBy("symbol").agg(F.count("*").alias("n"))
+            counted = rows.drop("n").join(by_symbol, "symbol") if symbol == "*" else rows.withColumn("n", F.lit(rows.count()))
+        if tune:
+            own |= step("search", lambda: tune(counted, chosen[symbol], model_type)) or {}
+        model = step("fit", lambda: fit(rows, chosen[symbol], model_type, own, seed))
+        if model is None:
+            return
+        panel.models[(symbol, model_type)] = model
+        panel.params[(symbol, model_type)] = whole({**DEFAULT_PARAMS[model_type], **own})
+        if folds:
+            scores = step("folds", lambda: cross_validate(counted, chosen[symbol], model_type, own, folds, seed)) or []
+            panel.cv_scores += [(symbol, model_type, i, s) for i, s in enumerate(scores)]
 
     with ThreadPoolExecutor(max_workers=threads) as pool:
         for done in [pool.submit(job, s, t) for s in chosen for t in model_types]:

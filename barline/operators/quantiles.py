@@ -2,7 +2,8 @@
 
 `percentile` keeps every distinct value of a group in one task's memory, which is fine for a panel (a row per day)
 but not for raw input, where one source may hold a third of all rows. Here a mergeable sketch brackets each
-quantile, one aggregate counts what lies below the bracket, and only the narrow bracket is ranked.
+quantile, one aggregate counts what lies below the bracket, and the bracket is cut into CELLS ranges of equal width. Counts by
+range tell which range holds the place; only its values are ranked. A bracket that missed its place is an error, never a NULL.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SKETCH_ACCURACY = 10_000
+CELLS = 4096  # ranges of a bracket
 MARGIN = 3  # half width of a bracket in units of the sketch's rank error
 
 
@@ -51,20 +53,34 @@ def exact_quantiles(
         ])),
     )
     hits = freq.join(brackets, [key, "column"]).where(F.col("value") <= F.col("high"))
-    # Everything below a bracket collapses to one count before the shuffle.
-    inside = F.col("value") >= F.col("low")
-    ranked = hits.groupBy(
-        key, "column", "fraction", "place", F.when(inside, F.col("value")).alias("value")
-    ).agg(F.sum("held").alias("held"))
-    order = Window.partitionBy(key, "column", "fraction").orderBy(F.col("value").asc_nulls_first())
-    upto = F.sum("held").over(order.rowsBetween(Window.unboundedPreceding, 0))
-    ranked = ranked.withColumns({"upto": upto, "from": upto - F.col("held")})
+    # Everything below a bracket, and each of its ranges, collapses to one count before the shuffle.
+    share_of_width = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
+    cell = F.when(F.col("value") < F.col("low"), -1).otherwise(F.coalesce(F.floor(share_of_width * CELLS), F.lit(0)))
+    hits = hits.withColumn("cell", cell.cast("int"))
+    group = [key, "column", "fraction", "place"]
     low, high = F.floor("place"), F.ceil("place")
 
+    def holds(place):
+        return (F.col("from") <= place) & (place < F.col("upto"))
+
+    by_cell = hits.groupBy(*group, "cell").agg(F.sum("held").alias("held"))
+    cells = Window.partitionBy(key, "column", "fraction").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
+    counted = by_cell.withColumn("upto", F.sum("held").over(cells)).withColumn("from", F.col("upto") - F.col("held"))
+    wanted = counted.where((F.col("cell") >= 0) & (holds(low) | holds(high))).select(
+        key, "column", "fraction", "cell", F.col("from").alias("before"))
+
+    ranked = hits.join(wanted, [key, "column", "fraction", "cell"]).groupBy(*group, "cell", "before", "value").agg(F.sum("held").alias("held"))
+    order = Window.partitionBy(key, "column", "fraction", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = ranked.withColumn("upto", F.col("before") + F.sum("held").over(order)).withColumn("from", F.col("upto") - F.col("held"))
+
     def at(place):
-        return F.max(F.when((F.col("from") <= place) & (place < F.col("upto")), F.col("value")))
+        return F.max(F.when(holds(place), F.col("value")))
 
-    picked = ranked.groupBy(key, "column", "fraction", "place").agg(at(low).alias("a"), at(high).alias("b"))
+    found = ranked.groupBy(*group).agg(at(low).alias("a"), at(high).alias("b"))
+    missed = F.raise_error(F.concat(F.lit("The bracket of a quantile missed its place: "), F.to_json(F.struct(*group)))).cast("double")
+    # brackets without any hit are kept by the outer join, so that a miss can't vanish
+    picked = brackets.select(*group).join(found, group, "left").withColumns(
+        {c: F.coalesce(F.col(c), missed) for c in ("a", "b")})
     share = F.col("place") - F.floor("place")
     return picked.select(
         key, "column", "fraction", (F.col("a") + (F.col("b") - F.col("a")) * share).alias("quantile")

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Mapping, Sequence
-from dataclasses import dataclass
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,17 @@ from barline.operators import models
 from barline.operators.models import SEARCH_BOUNDS, SEED, VALIDATION_SEARCH_BOUNDS, cross_validate, fit, predict, whole
 from barline.operators.splits import split_by_ratio
 
-PRIMES = (2, 3, 5, 7, 11, 13)
+THREADS = 4
+
+
+def _primes(count: int) -> list[int]:
+    out: list[int] = []
+    n = 2
+    while len(out) < count:
+        if all(n % p for p in out):
+            out.append(n)
+        n += 1
+    return out
 
 
 def _digit_mirror(i: int, base: int) -> float:
@@ -32,7 +43,7 @@ def candidates(bounds: Mapping[str, tuple[float, float]], count: int, seed: int
     out = []
     for i in range(count):
         point = {}
-        for (name, (low, high)), base in zip(bounds.items(), PRIMES):
+        for (name, (low, high)), base in zip(bounds.items(), _primes(len(bounds)), strict=True):
             point[name] = low + (high - low) * _digit_mirror(seed + 1 + i, base)
         out.append(point)
     return out
@@ -43,24 +54,36 @@ class SearchResult:
     best_params: dict[str, float | None]
     best_score: float
     trials: list[tuple[int, dict[str, float | None], float]]
+    failures: dict[int, str] = field(default_factory=dict)
 
     def frame(self, spark: SparkSession) -> DataFrame:
         rows = [(i, {k: float(v) for k, v in p.items() if v is not None}, s) for i, p, s in self.trials]
         return spark.createDataFrame(rows, "trial int, params map<string,double>, score double")
 
 
-def search(score: Callable[[dict[str, float | None]], float], trials: Sequence[dict[str, float]]) -> SearchResult:
-    """Evaluate all trials; the highest score wins, the earliest on a tie; a failing trial scores -infinity."""
-    done = []
-    for i, trial in enumerate(trials):
-        params = whole(trial)
+def search(
+    score: Callable[[dict[str, float | None]], float], trials: Sequence[dict[str, float]], threads: int = THREADS,
+) -> SearchResult:
+    """Evaluate all trials, a few at a time; the highest score wins, the earliest on a tie. A trial that fails, or scores
+    NaN, counts as -infinity and keeps its reason; if no trial succeeds there is no best set, and that is an error."""
+    failures: dict[int, str] = {}
+
+    def run(numbered: tuple[int, dict[str, float]]) -> tuple[int, dict[str, float | None], float]:
+        i, params = numbered[0], whole(numbered[1])
         try:
             value = score(params)
-        except Exception:
-            value = -math.inf
-        done.append((i, params, value))
-    best = max(done, key=lambda t: (t[2], -t[0]))
-    return SearchResult(best[1], best[2], done)
+            if value is None or math.isnan(value):
+                failures[i], value = "no score", -math.inf
+        except Exception as e:
+            failures[i], value = str(e), -math.inf
+        return i, params, value
+
+    with ThreadPoolExecutor(max_workers=threads) as pool:
+        done = list(pool.map(run, enumerate(trials)))
+    best = max(done, key=lambda t: (t[2], -t[0]), default=None)
+    if best is None or best[2] == -math.inf:
+        raise RuntimeError(f"No trial of {len(done)} succeeded: {failures}")
+    return SearchResult(best[1], best[2], done, failures)
 
 
 def tune_by_folds(

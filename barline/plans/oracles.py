@@ -189,8 +189,8 @@ ORACLES["s9_sources"] = (
 ORACLES["s10_import_jobs"] = ctes(SUPP) + """,
 t AS (SELECT symbol, count(*) AS c, CAST(symbol AS INTEGER) % 7 = 0 AS bad FROM bars GROUP BY 1)
 SELECT 'csv_import' AS source, symbol, CASE WHEN bad THEN 'failed' ELSE 'completed' END AS status,
-  CASE WHEN bad THEN 0 ELSE c END AS records_processed, CASE WHEN bad THEN 0 ELSE c - 1 END AS records_inserted,
-  CASE WHEN bad THEN 0 ELSE 1 END::BIGINT AS records_updated,
+  CASE WHEN bad THEN 0 ELSE c END AS records_processed, CASE WHEN bad THEN 0 ELSE c - 3 END AS records_inserted,
+  CASE WHEN bad THEN 0 ELSE 1 END::BIGINT AS records_updated, CASE WHEN bad THEN 0 ELSE 2 END::BIGINT AS records_skipped,
   CASE WHEN bad THEN 'Validation failed: negative close' END AS error_message,
   CASE WHEN bad THEN '{"errors":["negative close"],"warnings":[]}' ELSE '{"errors":[],"warnings":[]}' END AS validation_errors
 FROM t"""
@@ -201,14 +201,20 @@ VALID = """valid AS (
   SELECT dataset, count_if(close < 0) AS negative, count_if(high < close) AS hc, count_if(close < low) AS lc,
     max(date) - min(date) AS days, count(*) AS c, count_if(date >= DATE '1996-01-01') AS later
   FROM raw GROUP BY 1)"""
-ORACLES["s11_import_files"] = ctes(SUPP, BAD_SUPP, VALID) + """
+ORACLES["s11_import_files"] = ctes(SUPP, BAD_SUPP, """facts AS (
+  SELECT dataset, count(*) AS c, count_if(close < 0) AS negative, max(date) - min(date) AS days,
+    count_if(dayofyear(date) % 40 = 0) AS gaps, count_if(dayofyear(date) % 40 <> 0 AND date >= DATE '1996-01-01') AS fresh,
+    count_if(dayofyear(date) % 40 <> 0 AND date < DATE '1996-01-01') AS again,
+    min(date) FILTER (WHERE dayofyear(date) % 40 <> 0) AS first_day, max(date) FILTER (WHERE dayofyear(date) % 40 <> 0) AS last_day
+  FROM raw GROUP BY 1)""") + """
 SELECT dataset AS symbol, CASE WHEN ok THEN 'completed' ELSE 'failed' END AS status,
-  CASE WHEN ok THEN c ELSE 0 END AS records_processed, CASE WHEN ok THEN later ELSE 0 END AS records_inserted
-FROM (SELECT *, negative = 0 AND hc = 0 AND lc = 0 AND days / 365.25 >= 2 AS ok FROM valid)"""
-ORACLES["s12_filter_length"] = ctes(SUPP) + f""",
-cut AS (SELECT * FROM bars WHERE date < make_date(1998 + CAST(symbol AS INTEGER) % 4, 1, 1))
-SELECT symbol, date, {rounded('open', 'high', 'low', 'close')} FROM cut
-WHERE symbol IN (SELECT symbol FROM cut GROUP BY 1 HAVING max(date) - min(date) > 365 * 5)"""
+  CASE WHEN ok THEN c ELSE 0 END AS records_processed, CASE WHEN ok THEN fresh ELSE 0 END AS records_inserted,
+  CASE WHEN ok THEN again ELSE 0 END AS records_updated, CASE WHEN ok THEN gaps ELSE 0 END AS records_skipped,
+  CASE WHEN ok THEN first_day END AS data_start_date, CASE WHEN ok THEN last_day END AS data_end_date
+FROM (SELECT *, negative = 0 AND gaps * 100.0 / c <= 10 AND days / 365.25 >= 2 AS ok FROM facts)"""
+ORACLES["s12_filter_length"] = ctes(SUPP, EVENTS.replace("bars AS", "short AS"), "panel AS (SELECT * FROM bars UNION ALL SELECT * FROM short)") + f"""
+SELECT symbol, date, {rounded('open', 'high', 'low', 'close')} FROM panel
+WHERE symbol IN (SELECT symbol FROM panel GROUP BY 1 HAVING max(date) - min(date) > 365 * 5)"""
 ORACLES["s13_available_datasets"] = ctes(SUPP) + "SELECT DISTINCT symbol AS dataset FROM bars"
 ORACLES["s14_load_validated"] = ctes(SUPP, BAD_SUPP) + f"""
 SELECT dataset AS symbol, date, {rounded('open', 'high', 'low', 'close')} FROM raw
@@ -254,16 +260,17 @@ ROWS = """rows_ AS (
 ROWS2, ROWS3 = ROWS.format(source="f2"), ROWS.format(source="f3")
 
 
-def scaled_sql(names: list[str], centre: str, spread: str, keys: str = "symbol, date, split") -> str:
+def scaled_sql(names: list[str], centre: str, spread: str, keys: str = "symbol, date, split", digits: int = 6) -> str:
     """centre and spread are patterns over {c}; statistics come from the train rows."""
+    source = (*feats(), ROWS2) if len(names) < 10 else (*feats(), EMA, F3, ROWS3)
     stats = ", ".join(f"{centre.format(c=c)} AS {c}_m, {spread.format(c=c)} AS {c}_s" for c in names)
-    out = ", ".join(f"round(coalesce(({c} - {c}_m) / CASE WHEN {c}_s = 0 THEN 1 ELSE {c}_s END, 0), 6) + 0.0 AS {c}" for c in names)
-    return ctes(*feats(), ROWS2) + f""",
+    out = ", ".join(f"round(coalesce(({c} - {c}_m) / CASE WHEN {c}_s = 0 THEN 1 ELSE {c}_s END, 0), {2 if c == 'price_volume' and digits == 4 else digits}) + 0.0 AS {c}" for c in names)
+    return ctes(*source) + f""",
 stats AS (SELECT symbol, {stats} FROM rows_ WHERE split = 'train' GROUP BY 1)
 SELECT {keys}, {out} FROM rows_ JOIN stats USING (symbol)"""
 
 
-PREPARED = ["returns", "RSI", "close_std_10", "volume_ma_ratio", "MA_20_ratio"]
+PREPARED = FEATURE_NAMES
 ORACLES["p7_fill_after_scaling"] = scaled_sql(["MA_20_ratio", "returns"], "avg({c})", "stddev_pop({c})")
 ORACLES["p8_coalesce_volume"] = ctes(EVENTS) + (
     "SELECT upper(symbol) AS symbol, date, CASE WHEN day(date) % 3 <> 0 THEN volume END AS volume, CAST(NULL AS DOUBLE) AS market_cap FROM bars")
@@ -369,7 +376,9 @@ def stats_list(names: list[str], digits: dict[str, tuple[int, int, int]]) -> str
     return ", ".join(out)
 
 
-ORACLES["a5_mean_std_median"] = ctes(*feats()) + f"SELECT symbol, {stats_list(['returns', 'close_std_10', 'RSI'], {'close_std_10': (4, 4, 3)})} FROM f2 GROUP BY 1"
+ORACLES["a5_mean_std_median"] = ctes(*feats(), EMA, F3) + "SELECT symbol, " + ", ".join(
+    f"round({f}({c}), {2 if c == 'price_volume' else 4}) + 0.0 AS {c}__{s}"
+    for c in FEATURE_NAMES for s, f in (("mean", "avg"), ("std", "stddev_samp"), ("median", "median"))) + " FROM f3 GROUP BY 1"
 ORACLES["a6_spans"] = ctes(*RAW) + """
 SELECT dataset, min(date) AS first_date, max(date) AS last_date, CAST(max(date) - min(date) AS INTEGER) AS span_days,
   round((max(date) - min(date)) / 365.25, 6) AS span_years FROM raw GROUP BY 1"""
@@ -466,17 +475,16 @@ SELECT symbol, model, {r('test_mse', 2)}, {r('test_r2', 6)} FROM (
 ORACLES["a17_experiment_overview"] = ctes(*COMPARE) + f"""
 SELECT symbol, count(DISTINCT symbol) AS symbols, count(*) AS models, {r('avg(test_mse)', 2, 'avg_test_mse')}, {r('avg(test_mae)', 3, 'avg_test_mae')},
   {r('avg(test_r2)', 6, 'avg_test_r2')}, {r('avg(test_mape_pct)', 6, 'avg_test_mape_pct')} FROM wide GROUP BY ROLLUP (symbol)"""
-SCORED = ["returns", "price_range", "price_change", "volume_ma_ratio", "MA_5", "MA_20_ratio", "RSI", "BB_position",
-          "Stoch_K", "close_lag_1", "close_std_5", "close_min_10"]
-SCORES = (*feats(), ROWS2, "scores AS (" + " UNION ALL ".join(
+SCORED = FEATURE_NAMES
+SCORES = (*feats(), EMA, F3, ROWS3, "scores AS (" + " UNION ALL ".join(
     f"""SELECT symbol, {i} AS position, '{c}' AS feature, x * x / (1 - x * x) * (c - 2) AS score FROM (
     SELECT symbol, corr(coalesce({c}, 0), target) AS x, count(*) AS c FROM rows_ WHERE split = 'train' GROUP BY 1)"""
     for i, c in enumerate(SCORED)) + ")", """ranked AS (
   SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY score DESC NULLS LAST, position DESC) AS rank FROM scores)""")
-ORACLES["a18_f_scores"] = ctes(*SCORES) + "SELECT symbol, position, feature, round(score, 4) + 0.0 AS score FROM scores"
-ORACLES["k3_top_features"] = ctes(*SCORES) + "SELECT symbol, feature, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 6"
+ORACLES["a18_f_scores"] = ctes(*SCORES) + "SELECT symbol, position, feature, round(score, 2) + 0.0 AS score FROM scores"
+ORACLES["k3_top_features"] = ctes(*SCORES) + "SELECT symbol, feature, CAST(rank AS INTEGER) AS rank FROM ranked WHERE rank <= 50"
 ORACLES["m5_select_apply"] = ctes(*SCORES, "sizes AS (SELECT symbol, count(*) AS c FROM rows_ GROUP BY 1)") + "SELECT symbol, " + ", ".join(
-    f"coalesce(max(CASE WHEN feature = '{c}' AND rank <= 6 THEN c END), 0) AS n_{c}" for c in SCORED) + " FROM ranked JOIN sizes USING (symbol) GROUP BY 1"
+    f"coalesce(max(CASE WHEN feature = '{c}' AND rank <= 50 THEN c END), 0) AS n_{c}" for c in SCORED) + " FROM ranked JOIN sizes USING (symbol) GROUP BY 1"
 ORACLES["a19_dataset_info"] = ctes(*RAW) + """
 SELECT dataset, count(*) AS rows, 7 AS columns, 'date,open,high,low,close,volume,note' AS column_names, min(date) AS first_date, max(date) AS last_date,
   CAST(max(date) - min(date) AS INTEGER) AS span_days, round((max(date) - min(date)) / 365.25, 6) AS span_years FROM raw GROUP BY 1"""
@@ -618,15 +626,15 @@ ORACLES["v12_metric_input"] = ctes(FLAG, NUM, PAIRS) + ALIGN.format(extra=", 'in
 
 def outlier_replace_sql(threshold: str, where: str) -> str:
     stats = ", ".join(f"avg({c}) AS {c}_m, stddev_samp({c}) AS {c}_s, median({c}) AS {c}_d" for c in PREPARED)
-    out = ", ".join(r(f"CASE WHEN abs(({c} - {c}_m) / nullif({c}_s, 0)) > {threshold} THEN {c}_d ELSE {c} END", digits_of(c), c) for c in PREPARED)
-    return ctes(*feats(), ROWS2) + f", stats AS (SELECT symbol, {stats} FROM rows_ WHERE {where} GROUP BY 1) SELECT symbol, date, split, {out} FROM rows_ JOIN stats USING (symbol)"
+    out = ", ".join(r(f"CASE WHEN abs(({c} - {c}_m) / nullif({c}_s, 0)) > {threshold} THEN {c}_d ELSE {c} END", 2 if c == "price_volume" else 3 if c.startswith("MACD") else 4, c) for c in PREPARED)
+    return ctes(*feats(), EMA, F3, ROWS3) + f", stats AS (SELECT symbol, {stats} FROM rows_ WHERE {where} GROUP BY 1) SELECT symbol, date, split, {out} FROM rows_ JOIN stats USING (symbol)"
 
 
 ORACLES["m1_outliers"] = outlier_replace_sql("3", "TRUE")
 ORACLES["m1_outliers_train"] = outlier_replace_sql("2", "split = 'train'")
-ORACLES["m2_standard_scaler"] = scaled_sql(PREPARED, "avg({c})", "stddev_pop({c})")
-ORACLES["m3_minmax_scaler"] = scaled_sql(PREPARED, "min({c})", "max({c}) - min({c})")
-ORACLES["m4_robust_scaler"] = scaled_sql(PREPARED, "quantile_cont({c}, 5e-1)", "quantile_cont({c}, 75e-2) - quantile_cont({c}, 25e-2)")
+ORACLES["m2_standard_scaler"] = scaled_sql(PREPARED, "avg({c})", "stddev_pop({c})", digits=4)
+ORACLES["m3_minmax_scaler"] = scaled_sql(PREPARED, "min({c})", "max({c}) - min({c})", digits=4)
+ORACLES["m4_robust_scaler"] = scaled_sql(PREPARED, "quantile_cont({c}, 5e-1)", "quantile_cont({c}, 75e-2) - quantile_cont({c}, 25e-2)", digits=4)
 ORACLES["m6_preprocess"] = ctes(FLAG, NUM, f"f2 AS (SELECT *, lead(close) OVER ({SER}) AS target FROM num)", ROWS2) + "SELECT symbol, split, count(*) AS rows, CAST(50 AS BIGINT) AS features FROM rows_ GROUP BY 1, 2"
 ORACLES["m17_ensemble_weights"] = ctes(*FORECAST, WEIGHTS) + "SELECT symbol, model, round(weight, 6) + 0.0 AS weight FROM weights"
 ORACLES["m17_equal_weights"] = ctes(*FORECAST) + "SELECT DISTINCT symbol, model, 25e-2 AS weight FROM preds WHERE split = 'val'"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, field
 from datetime import datetime
@@ -9,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.operators import evaluate, forecast, models, prepare, splits, validate
+from barline.operators import evaluate, forecast, models, prepare, search, splits, validate
 from barline.operators.features import FeatureSpec, engineer_features, training_rows
 from barline.sources import bars as bar_source
 from barline.sources import runs, sinks, store
@@ -29,7 +31,13 @@ class PipelineConfig:
     model_types: tuple[str, ...] = models.MODEL_TYPES
     model_params: dict[str, dict] = field(default_factory=dict)
     cross_validation_folds: int = 5
-    enable_ensemble: bool = True
+    enable_tuning: bool = False  # search over folds before each fit: tuning_init + tuning_iterations trials
+    tuning_init: int = 5
+    tuning_iterations: int = 20
+    training_mode: str = "per_symbol"
+    enable_ensemble: bool = True  # False: the first model type alone, without a band
+    ensemble_method: str = "weighted_average"
+    split_date: str | None = None
     random_state: int = 42
 
     @property
@@ -47,16 +55,18 @@ class Prepared:
     scaler: DataFrame
     outliers: DataFrame
 
-    def features_by_symbol(self, most: int = models.MOST_SYMBOLS) -> dict[str, list[str]] | list[str]:
-        """Chosen columns per symbol for per-symbol models; all columns when there are too many symbols."""
-        few = self.selected.select("symbol").distinct().limit(most + 1).count() <= most
-        if not few:
-            return self.spec.names
+    def features_by_symbol(self) -> dict[str, list[str]]:
+        """Chosen columns per symbol, for per-symbol models."""
         out: dict[str, list[str]] = {}
-        for row in self.selected.orderBy("symbol", "position").select("symbol", "feature").collect():
+        for row in self.selected.orderBy("symbol", "position").select("symbol", "feature").toLocalIterator():
             out.setdefault(row.symbol, []).append(row.feature)
         return out
 
+    def features_of_any(self) -> list[str]:
+        """Columns that some symbol chose, for pooled models."""
+        chosen = {r.feature for r in self.selected.select("feature").distinct().collect()}
+        return [f for f in self.spec.names if f in chosen]
+
     def transform(self, features: DataFrame, threshold: float) -> DataFrame:
         """Apply the fitted outlier rule and scaler to other feature rows (forecast rows)."""
         clean = prepare.apply_outlier_stats(features, self.outliers, self.spec.names, threshold)
@@ -74,6 +84,7 @@ def preprocess(
     spec = config.spec
     names = spec.names
     rows = training_rows(engineer_features(bars, spec) if features is None else features, spec)
+    split_date = split_date or config.split_date
     if split_date:
         rows = splits.split_by_date(rows, split_date, config.validation_size)
     else:
@@ -83,7 +94,9 @@ def preprocess(
     outliers = stage(prepare.outlier_stats(fitting, names), "outlier-stats")
     clean = prepare.apply_outlier_stats(rows, outliers, names, config.outlier_threshold)
     scaler = stage(prepare.scaler_stats(clean.where(F.col("split") == "train"), names, config.scaling_method), "scaler-stats")
-    frame = stage(prepare.apply_scaler(clean, scaler, names), "prepared")
+    scaled = prepare.apply_scaler(clean, scaler, names)
+    # a bucket per group of symbols: the fits, folds and predictions of a symbol read one bucket each
+    frame = stage(scaled.withColumn("symbol_bucket", models.symbol_bucket(F.col("symbol"))).repartition("symbol_bucket"), "prepared", "symbol_bucket")
     selected = stage(prepare.select_features(frame, names, config.max_features), "selected")
     return Prepared(frame, selected, spec, scaler, outliers)
 
@@ -115,28 +128,35 @@ class ImportReport:
 
 def import_bars(
     raw: DataFrame, target: store.BarTable, at: datetime, source: str = "csv_import", min_years: float = validate.MIN_YEARS,
+    version: str | None = None,
 ) -> ImportReport:
     """Validate all datasets at once, upsert the bars of those without an error, and log one job per dataset.
 
-    The target table must exist (see BarTable.create).
+    Rows that become no bar (no price, no readable date, or an earlier version of the day) are counted as skipped; inserted
+    and updated are counted by key. Of rows for the same day the one with the highest `version` (a column of
+    raw) wins, or else the last one read. The target table must exist (see BarTable.create).
     """
     found = stage(validate.findings(raw, min_years), "findings")
     verdict = validate.verdicts(raw, found)
-    # Of rows for the same day the last one read wins; the rank is taken at the scan, before any shuffle.
-    ranked = raw.withColumn("version", F.monotonically_increasing_id())
+    # the rank is taken at the scan, before any shuffle
+    ranked = raw.withColumn("version", F.col(version) if version else F.monotonically_increasing_id())
     good = ranked.join(verdict.where("is_valid"), "dataset", "left_semi")
     incoming = stage(bar_source.latest_bars(bar_source.normalise(good, keep=("version",)), "version"), "incoming")
-    added = stage(store.new_keys(target.read(), incoming).groupBy("symbol").agg(F.count("*").alias("records_inserted")), "added")
-    inserted = target.upsert(incoming, at)
+    added = target.upsert_counts(incoming, at)
+    inserted = added.agg(F.coalesce(F.sum("inserted"), F.lit(0))).first()[0]
+    period = incoming.groupBy("symbol").agg(F.min("date").alias("data_start_date"), F.max("date").alias("data_end_date"))
 
     messages = found.groupBy(F.upper("dataset").alias("symbol")).agg(
         *[F.sort_array(F.collect_list(F.when(F.col("severity") == s, F.col("message")))).alias(f"{s}s") for s in ("error", "warning")]
     )
     processed = raw.groupBy(F.upper("dataset").alias("symbol")).agg(F.count("*").alias("records_processed"))
     none = F.array().cast("array<string>")
-    outcome = processed.join(messages, "symbol", "left").join(added, "symbol", "left").select(
+    zero = F.lit(0).cast("bigint")
+    counted = {"records_inserted": F.coalesce("inserted", zero), "records_updated": F.coalesce("updated", zero)}
+    outcome = processed.join(messages, "symbol", "left").join(added, "symbol", "left").join(period, "symbol", "left").select(
         "symbol", F.coalesce("errors", none).alias("errors"), F.coalesce("warnings", none).alias("warnings"),
-        "records_processed", F.coalesce("records_inserted", F.lit(0).cast("bigint")).alias("records_inserted"),
+        "records_processed", *[v.alias(k) for k, v in counted.items()],
+        (F.col("records_processed") - sum(counted.values(), zero)).alias("records_skipped"), "data_start_date", "data_end_date",
     )
     started = store.jobs_started(processed.select("symbol"), source, F.lit(at))
     events = started.unionByName(store.jobs_finished(started, outcome, F.lit(at) + F.expr("INTERVAL 1 SECOND")))
@@ -155,8 +175,11 @@ class ExperimentResults:
     summary: DataFrame
 
 
-def experiment_id(symbols: Sequence[str], model_types: Sequence[str], at: datetime) -> str:
-    return "_".join(["exp", f"{at:%Y%m%d_%H%M%S}", *symbols[:3], *model_types[:2]])
+def experiment_id(symbols: Sequence[str], model_types: Sequence[str], at: datetime, config: PipelineConfig | None = None) -> str:
+    """Readable start (first symbols and types), then a digest of all symbols, types and settings: experiments that
+    begin in the same second don't share a name unless they are the same."""
+    whole = json.dumps([list(symbols), list(model_types), asdict(config) if config else None], default=str, sort_keys=True)
+    return "_".join(["exp", f"{at:%Y%m%d_%H%M%S}", *symbols[:3], *model_types[:2], hashlib.sha256(whole.encode()).hexdigest()[:8]])
 
 
 def run_experiment(
@@ -168,9 +191,15 @@ def run_experiment(
     spec = config.spec
     features = stage(engineer_features(bars, spec), "all-features")
     prepared = preprocess(bars, config, features=features)
+    pooled = config.training_mode == "pooled"
+
+    def tune(rows: DataFrame, names: Sequence[str], model_type: str) -> dict:
+        return search.tune_by_folds(
+            rows, names, model_type, config.tuning_init, config.tuning_iterations, config.cross_validation_folds or 5, config.random_state).best_params
+
     panel = models.train_panel(
-        prepared.frame, prepared.features_by_symbol(), config.model_types, config.model_params,
-        config.cross_validation_folds, seed=config.random_state,
+        prepared.frame, prepared.features_of_any() if pooled else prepared.features_by_symbol(), config.model_types, config.model_params,
+        config.cross_validation_folds, seed=config.random_state, mode=config.training_mode, tune=tune if config.enable_tuning else None,
     )
     if not panel.models:
         raise RuntimeError(f"No model could be trained: {panel.failures}")
@@ -178,8 +207,7 @@ def run_experiment(
     metrics = evaluate.training_metrics(fitted)
     cv = panel.cv_frame(bars.sparkSession) if panel.cv_scores else None
     comparison = stage(evaluate.compare_models(metrics, cv), "comparison")
-    weights = forecast.ensemble_weights(
-        fitted.where(F.col("split") == "val"), "performance_based" if config.enable_ensemble else "equal")
+    weights = forecast.ensemble_weights(fitted.where(F.col("split") == "val"))
 
     ends = features.groupBy("symbol").agg(F.max("date").alias("last_date"))
     spine = forecast.date_spine(ends, F.date_sub("last_date", prediction_days - 1), F.col("last_date"))
@@ -187,26 +215,32 @@ def run_experiment(
     known = forecast.asof_before(spine, scaled.select("symbol", "date", "close", "pos", *spec.names))
     known = stage(known.where(F.col("pos") >= config.feature_window), "forecast-rows")
     rows = panel.predictions(known, keep=("symbol", "date"))
-    combined = forecast.combine(rows, weights)
+    if config.enable_ensemble:
+        combined = forecast.combine(rows, weights, config.ensemble_method).withColumn("model_used", F.lit("ensemble"))
+    else:
+        combined = forecast.first_model(rows, config.model_types)
     predictions = stage(forecast.prediction_table(
         forecast.with_actuals(combined, features.select("symbol", "date", "close"), config.prediction_horizon),
-        config.prediction_horizon), "predictions")
+        config.prediction_horizon, F.col("model_used")), "predictions")
     summary = evaluate.experiment_overview(comparison).join(
         evaluate.prediction_summary(predictions).select("symbol", "total_predictions", "predictions_with_actuals", "mean_prediction", "mse", "mae"),
         "symbol", "left")
     names = ["panel" if s == "*" else s for s in panel.features]
-    eid = experiment_id(names, list(config.model_types), started)
+    eid = experiment_id(names, list(config.model_types), started, config)
     if out_dir:
         sinks.save_experiment(eid, comparison, summary, out_dir)
         sinks.save_predictions(predictions, f"{out_dir}/forecasts/{eid}", weights, experiment_id=eid)
-        runs.append(run_records(eid, config, comparison, started), f"{out_dir}/runs")
+        runs.append(run_records(eid, config, comparison, started, panel, out_dir), f"{out_dir}/runs")
         for (symbol, model_type), model in panel.models.items():
             models.save_model(model, f"{out_dir}/models/{eid}/{'panel' if symbol == '*' else symbol}/{model_type}")
     return ExperimentResults(eid, prepared, panel, metrics, comparison, weights, predictions, summary)
 
 
-def run_records(run_id: str, config: PipelineConfig, comparison: DataFrame, at: datetime) -> DataFrame:
-    """Configuration and model metrics of an experiment as run-log rows, keys <model>_<symbol>_<metric>."""
+def run_records(
+    run_id: str, config: PipelineConfig, comparison: DataFrame, at: datetime, panel: models.TrainedPanel | None = None, out_dir: str | None = None,
+) -> DataFrame:
+    """Run-log rows of an experiment: configuration, model metrics (keys <model>_<symbol>_<metric>), and of each model
+    what was fitted (params), where it is (artifact), and what came of each step (status: finished, or the failure)."""
     params = runs.params_from_dict(comparison.sparkSession, run_id, {"experiment_id": run_id, **asdict(config)}, at)
     long = comparison.select(
         "symbol", "model",
@@ -214,4 +248,15 @@ def run_records(run_id: str, config: PipelineConfig, comparison: DataFrame, at:
             F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in comparison.columns if c not in ("symbol", "model")
         ])),
     )
-    return params.unionByName(runs.metric_rows(long, run_id, runs.key_of("model", "symbol", "metric"), "value", F.lit(at)))
+    out = params.unionByName(runs.metric_rows(long, run_id, runs.key_of("model", "symbol", "metric"), "value", F.lit(at)))
+    if panel is None:
+        return out
+    own = []
+    for (symbol, kind) in panel.models:
+        name = "panel" if symbol == "*" else symbol
+        own.append((run_id, "param", f"{kind}_{name}_params", json.dumps(panel.params.get((symbol, kind), {})), None, at))
+        own.append((run_id, "param", f"{kind}_{name}_features", json.dumps(panel.features[symbol]), None, at))
+        own.append((run_id, "artifact", f"{kind}_{name}_model", f"{out_dir}/models/{run_id}/{name}/{kind}", None, at))
+        own.append((run_id, "status", f"{kind}_{name}_fit", "finished", None, at))
+    own += [(run_id, "status", f"{kind}_{symbol}_{step}", f"failed: {why}", None, at) for (symbol, kind, step), why in panel.failures.items()]
+    return out.unionByName(comparison.sparkSession.createDataFrame(own, runs.RUN_SCHEMA))

@@ -176,7 +176,7 @@ def supplier_outcome(spark: SparkSession, sf: str) -> DataFrame:
     bad = F.col("symbol").cast("int") % 7 == 0
     return rows.select(
         "symbol", F.when(bad, F.array(F.lit("negative close"))).otherwise(none).alias("errors"), none.alias("warnings"),
-        "records_processed", (F.col("records_processed") - 1).alias("records_inserted"),
+        "records_processed", (F.col("records_processed") - 3).alias("records_inserted"), F.lit(2).cast("bigint").alias("records_skipped"),
     )
 
 
@@ -186,7 +186,8 @@ def s10_import_jobs(spark, sf):
     started = store.jobs_started(outcome.select("symbol"), "csv_import", F.lit(T0))
     events = started.unionByName(store.jobs_finished(started, outcome, F.lit(T1)))
     return store.current_jobs(events).select(
-        "source", "symbol", "status", "records_processed", "records_inserted", "records_updated", "error_message", "validation_errors"
+        "source", "symbol", "status", "records_processed", "records_inserted", "records_updated", "records_skipped", "error_message",
+        "validation_errors"
     )
 
 
@@ -200,16 +201,19 @@ def supplier_raw(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def s11_import_files(spark, sf):
+    """Raw rows of which some have no open, into a table that holds their first years."""
     raw = supplier_raw(spark, sf)
     early = B.normalise(raw.where(F.col("date") < "1996-01-01"))
-    report = pipeline.import_bars(raw, bar_table(spark, early), T1)
-    return report.jobs.select("symbol", "status", "records_processed", "records_inserted")
+    gaps = stage(raw.withColumn("open", F.when(F.dayofyear("date") % 40 != 0, F.col("open"))), "raw-gaps")
+    jobs = pipeline.import_bars(gaps, bar_table(spark, early), T1).jobs
+    return jobs.select(
+        "symbol", "status", *[f"records_{c}" for c in ("processed", "inserted", "updated", "skipped")], "data_start_date", "data_end_date")
 
 
 @query
 def s12_filter_length(spark, sf):
-    bars = bars_supp(spark, sf).withColumn("cut", F.make_date(1998 + F.col("symbol").cast("int") % 4, F.lit(1), F.lit(1)))
-    kept = B.keep_long_series(bars.where(F.col("date") < F.col("cut")), 5)
+    """Long series by supplier beside the short ones by event type; the latter go."""
+    kept = B.keep_long_series(bars_supp(spark, sf).unionByName(bars_events(spark, sf)), 5)
     return tidy(kept.select("symbol", "date", *B.PRICES))
 
 
@@ -241,16 +245,6 @@ def s16_archive(spark, sf):
     return tidy(kept.select("symbol", "date", "close", F.col("archived_at").cast("string").alias("archived_at")))
 
 
-@query
-def s17_inventory(spark, sf):
-    return tidy(lake.inventory(lake.listing(spark, sf)))
-
-
-@query
-def s18_retention(spark, sf):
-    return lake.retention_report(lake.listing(spark, sf), "2200-01-01", 30)
-
-
 # ---- projections, filters, scalar functions ----------------------------------------------------------------------
 
 
@@ -502,7 +496,7 @@ def a4_exact_quantiles(spark, sf):
 @query
 def a5_mean_std_median(spark, sf):
     f = engineer_features(bars_flag(spark, sf))
-    return tidy(prepare.outlier_stats(f, ["returns", "close_std_10", "RSI"]), close_std_10__mean=4, close_std_10__std=4, close_std_10__median=3)
+    return tidy(prepare.outlier_stats(f, SCORED), **{f"{c}__{s}": 2 if c == "price_volume" else 4 for c in SCORED for s in ("mean", "std", "median")})
 
 
 @query
@@ -620,11 +614,10 @@ def a17_experiment_overview(spark, sf):
 def a18_f_scores(spark, sf):
     rows = splits.split_by_fraction(training_rows(engineer_features(bars_flag(spark, sf))))
     scored = prepare.f_scores(rows.where(F.col("split") == "train").na.fill(0.0, SCORED), SCORED)
-    return tidy(scored, score=4)
+    return tidy(scored, score=2)
 
 
-SCORED = ["returns", "price_range", "price_change", "volume_ma_ratio", "MA_5", "MA_20_ratio", "RSI", "BB_position",
-          "Stoch_K", "close_lag_1", "close_std_5", "close_min_10"]
+SCORED = FeatureSpec().names
 
 
 @query
@@ -769,7 +762,7 @@ def k2_last_row(spark, sf):
 @query
 def k3_top_features(spark, sf):
     rows = splits.split_by_fraction(training_rows(engineer_features(bars_flag(spark, sf))))
-    chosen = prepare.select_features(rows.na.fill(0.0, SCORED), SCORED, 6)
+    chosen = prepare.select_features(rows.na.fill(0.0, SCORED), SCORED, 50)
     return chosen.select("symbol", "feature", "rank")
 
 
@@ -908,7 +901,7 @@ def v12_metric_input(spark, sf):
 # ---- preparation and models --------------------------------------------------------------------------------------
 
 
-PREPARED = ["returns", "RSI", "close_std_10", "volume_ma_ratio", "MA_20_ratio"]
+PREPARED = FeatureSpec().names
 
 
 def split_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -916,19 +909,22 @@ def split_rows(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("symbol", "date", "split", "target", *PREPARED)
 
 
+def tidy_prepared(df: DataFrame, macd: int = 3) -> DataFrame:
+    return tidy(df, **{c: 2 if c == "price_volume" else macd if c.startswith("MACD") else 4 for c in PREPARED})
+
+
 @query
 def m1_outliers(spark, sf):
-    return tidy(prepare.replace_outliers(split_rows(spark, sf), PREPARED, fit_on="all").drop("target"))
+    return tidy_prepared(prepare.replace_outliers(split_rows(spark, sf), PREPARED, fit_on="all").drop("target"))
 
 
 @query
 def m1_outliers_train(spark, sf):
-    return tidy(prepare.replace_outliers(split_rows(spark, sf), PREPARED, threshold=2.0).drop("target"))
+    return tidy_prepared(prepare.replace_outliers(split_rows(spark, sf), PREPARED, threshold=2.0).drop("target"))
 
 
 def scaled(method: str) -> Query:
-    return lambda spark, sf: tidy(
-        prepare.scale(split_rows(spark, sf), PREPARED, method).drop("target"), close_std_10=6)
+    return lambda spark, sf: tidy_prepared(prepare.scale(split_rows(spark, sf), PREPARED, method).drop("target"), macd=4)
 
 
 QUERIES |= {"m2_standard_scaler": scaled("standard"), "m3_minmax_scaler": scaled("minmax"), "m4_robust_scaler": scaled("robust")}
@@ -937,7 +933,7 @@ QUERIES |= {"m2_standard_scaler": scaled("standard"), "m3_minmax_scaler": scaled
 @query
 def m5_select_apply(spark, sf):
     rows = splits.split_by_fraction(training_rows(engineer_features(bars_flag(spark, sf)))).na.fill(0.0, SCORED)
-    out = prepare.mask_features(rows, prepare.select_features(rows, SCORED, 6), SCORED)
+    out = prepare.mask_features(rows, prepare.select_features(rows, SCORED, 50), SCORED)
     return out.groupBy("symbol").agg(*[F.count(c).alias(f"n_{c}") for c in SCORED])
 
 
@@ -985,7 +981,7 @@ def m12_search_folds(spark, sf):
     prepared = prepared_panel(spark, sf)
     out = None
     for symbol, names in prepared.features_by_symbol().items():
-        train = prepared.frame.where((F.col("symbol") == symbol) & (F.col("split") == "train"))
+        train = models.rows_of(prepared.frame, symbol).where(F.col("split") == "train")
         train = train.withColumn("n", F.lit(train.count()))
         found = search.tune_by_folds(train, names, "decision_tree", 1, 1, folds=2)
         part = found.frame(spark).withColumn("symbol", F.lit(symbol))

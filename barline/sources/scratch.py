@@ -1,8 +1,7 @@
-"""Where intermediate tables go: the shared folder the cluster names in spark.checkpoint.dir."""
+"""Where intermediate tables go: the shared folder the cluster names in spark.checkpoint.dir, or else its warehouse."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,11 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise RuntimeError("Set spark.checkpoint.dir to a folder that all executors share")
-    return tempfile.gettempdir()
+    return (named or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.sources.bars import bars_between, latest_bars
+from barline.sources.scratch import stage
 
 BAR_VALUES = ["open", "high", "low", "close", "volume", "market_cap"]
 AUDIT = ["created_at", "updated_at"]
@@ -66,17 +67,25 @@ class BarTable:
             stored = stored.where(F.col("year") <= int(end[:4]))
         return bars_between(stored, symbol, start, end, limit).drop("bucket", "year", *AUDIT)
 
-    def upsert(self, bars: DataFrame, at: datetime) -> int:
-        """Replace the values of known (symbol, date) keys, add the others; returns how many were added.
+    def upsert_counts(self, bars: DataFrame, at: datetime) -> DataFrame:
+        """Replace the values of known (symbol, date) keys, add the others; returns symbol, inserted, updated.
 
-        Only partitions that receive rows are read and rewritten.
+        Only partitions that receive rows are read and rewritten, and only they are asked for known keys. `bars` has a row
+        per key and is read several times: stage it.
         """
         incoming = self._placed(bars.withColumns({"created_at": F.lit(at), "updated_at": F.lit(at)}))
-        touched = incoming.select("bucket", "year").distinct()  # at most buckets * years rows
-        kept = self._stored().join(F.broadcast(touched), ["bucket", "year"], "left_semi")
-        added = incoming.join(kept, ["symbol", "date"], "left_anti").count()
-        self._write(merge_bars(kept.where(F.col("date").isNotNull()), incoming))
-        return added
+        touched = incoming.select("bucket", "year").distinct()  # at most buckets * years rows: bounded, so broadcast
+        kept = self._stored().join(F.broadcast(touched), ["bucket", "year"], "left_semi").where(F.col("date").isNotNull())
+        known = incoming.select("bucket", "year", "symbol", "date").join(
+            kept.select("bucket", "year", "symbol", "date", F.lit(1).alias("known")), ["bucket", "year", "symbol", "date"], "left")
+        counts = stage(known.groupBy("symbol").agg(
+            F.count_if(F.col("known").isNull()).alias("inserted"), F.count("known").alias("updated")), "upsert-counts")
+        self._write(merge_bars(kept, incoming))
+        return counts
+
+    def upsert(self, bars: DataFrame, at: datetime) -> int:
+        """As upsert_counts; returns how many keys were added."""
+        return self.upsert_counts(bars, at).agg(F.coalesce(F.sum("inserted"), F.lit(0))).first()[0]
 
     def delete(self, symbol: str) -> int:
         """Remove all bars of a symbol; returns how many there were."""
@@ -113,10 +122,6 @@ def new_keys(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     return incoming.join(stored, ["symbol", "date"], "left_anti")
 
 
-def without_symbol(bars: DataFrame, symbol: str) -> DataFrame:
-    return bars.where(F.col("symbol") != symbol.upper())
-
-
 def add_sources(sources: DataFrame, incoming: DataFrame) -> DataFrame:
     """Get-or-create by unique name: known sources stay as they are, unknown ones are appended once."""
     fresh = incoming.join(sources, "name", "left_anti").dropDuplicates(["name"])
@@ -126,7 +131,7 @@ def add_sources(sources: DataFrame, incoming: DataFrame) -> DataFrame:
 # Import jobs are an append-only log of events; the state of a job is its newest event.
 JOB_FIELDS = [
     "job_id", "source", "symbol", "file_path", "status", "records_processed", "records_inserted",
-    "records_updated", "error_message", "validation_errors", "at",
+    "records_updated", "records_skipped", "data_start_date", "data_end_date", "error_message", "validation_errors", "at",
 ]
 
 
@@ -141,24 +146,34 @@ def jobs_started(symbols: DataFrame, source: str, at: Column) -> DataFrame:
         job_id("symbol", at).alias("job_id"), F.lit(source).alias("source"), F.upper("symbol").alias("symbol"),
         path.alias("file_path"), F.lit("pending").alias("status"),
         F.lit(0).cast("bigint").alias("records_processed"), F.lit(0).cast("bigint").alias("records_inserted"),
-        F.lit(0).cast("bigint").alias("records_updated"), F.lit(None).cast("string").alias("error_message"),
+        F.lit(0).cast("bigint").alias("records_updated"), F.lit(0).cast("bigint").alias("records_skipped"),
+        F.lit(None).cast("date").alias("data_start_date"), F.lit(None).cast("date").alias("data_end_date"),
+        F.lit(None).cast("string").alias("error_message"),
         F.lit(None).cast("string").alias("validation_errors"), at.alias("at"),
     )
 
 
 def jobs_finished(started: DataFrame, outcome: DataFrame, at: Column) -> DataFrame:
-    """Final event per job. `outcome`: symbol, errors array, warnings array, records_processed, records_inserted."""
+    """Final event per job. `outcome`: symbol, errors array, warnings array, records_processed, records_inserted and, if known,
+    records_updated, records_skipped, data_start_date, data_end_date. Without records_updated every row that was neither
+    inserted nor skipped counts as an update."""
     failed = F.size("errors") > 0
     nothing = F.lit(0).cast("bigint")
-    processed = F.when(failed, nothing).otherwise(F.col("processed"))
-    inserted = F.when(failed, nothing).otherwise(F.col("inserted"))
-    return started.select("job_id", "source", "symbol", "file_path").join(
-        outcome.withColumnsRenamed({"records_processed": "processed", "records_inserted": "inserted"}), "symbol"
-    ).select(
+    have = set(outcome.columns)
+    skipped = F.col("records_skipped") if "records_skipped" in have else nothing
+    updated = F.col("records_updated") if "records_updated" in have else F.col("records_processed") - F.col("records_inserted") - skipped
+    period = [(F.col(c) if c in have else F.lit(None)).cast("date").alias(c) for c in ("data_start_date", "data_end_date")]
+    counts = {"processed": F.col("records_processed"), "inserted": F.col("records_inserted"), "updated": updated, "skipped": skipped}
+    known = outcome.select("symbol", "errors", "warnings", *[v.alias(k) for k, v in counts.items()], *period)
+
+    def unless_failed(name: str) -> Column:
+        return F.when(failed, nothing).otherwise(F.col(name)).alias(f"records_{name}")
+
+    return started.select("job_id", "source", "symbol", "file_path").join(known, "symbol").select(
         "job_id", "source", "symbol", "file_path",
         F.when(failed, "failed").otherwise("completed").alias("status"),
-        processed.alias("records_processed"), inserted.alias("records_inserted"),
-        (processed - inserted).alias("records_updated"),
+        *[unless_failed(name) for name in counts],
+        *[F.when(~failed, F.col(c)).alias(c) for c in ("data_start_date", "data_end_date")],
         F.when(failed, F.concat(F.lit("Validation failed: "), F.array_join("errors", "; "))).alias("error_message"),
         F.to_json(F.struct("errors", "warnings")).alias("validation_errors"),
         at.alias("at"),
@@ -172,5 +187,5 @@ def current_jobs(events: DataFrame) -> DataFrame:
 
 __all__ = [
     "BarTable", "add_sources", "current_jobs", "jobs_finished", "jobs_started", "latest_bars", "merge_bars",
-    "new_keys", "without_symbol",
+    "new_keys",
 ]

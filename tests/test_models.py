@@ -5,7 +5,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from barline.operators import evaluate, models, search
+from barline.operators import evaluate, forecast, models, search
 from barline.operators.features import supervised_frame
 from barline.plans import pipeline
 
@@ -77,7 +77,7 @@ def test_same_seed_same_forest(rows):
 
 def test_failing_model_is_recorded(rows):
     panel = models.train_panel(rows, NAMES, ["lasso"], {"lasso": {"alpha": -1.0}})
-    assert ("A", "lasso") in panel.failures and not panel.models
+    assert ("A", "lasso", "fit") in panel.failures and not panel.models
 
 
 def test_candidates_fill_the_box():
@@ -108,15 +108,64 @@ def test_fold_and_validation_search(spark, rows, make_bars):
     assert {r.split for r in tuned.predictions.select("split").distinct().collect()} == {"train", "val", "test"}
 
 
-def test_many_symbols_train_one_pooled_model(make_bars, monkeypatch):
-    monkeypatch.setattr(models, "MOST_SYMBOLS", 1)
+def test_pooled_mode_trains_one_model_per_type(make_bars):
     rng = np.random.default_rng(2)
     bars = make_bars({s: list(50 + rng.normal(size=220).cumsum().round(2)) for s in "AB"})
     prepared = pipeline.preprocess(bars, pipeline.PipelineConfig(feature_window=1))
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(1), ["decision_tree"], {"decision_tree": {"max_depth": 3}})
-    assert list(panel.models) == [("*", "decision_tree")]
+    panel = models.train_panel(
+        prepared.frame, prepared.features_of_any(), ["decision_tree"], {"decision_tree": {"max_depth": 3}}, folds=2, mode="pooled")
+    assert list(panel.models) == [("*", "decision_tree")] and len(panel.cv_scores) == 2 and not panel.failures
     worst = panel.predictions(prepared.frame).agg(F.max(F.abs(F.col("prediction") / F.col("target") - 1))).first()[0]
     assert worst < 1
+    with pytest.raises(ValueError):
+        models.train_panel(prepared.frame, [], mode="many")
+
+
+def test_a_symbol_does_not_depend_on_others(spark, rows):
+    """The models of a symbol are the same whether it is alone or beside a hundred others."""
+    alone = models.train_panel(rows, NAMES, ["lasso"], {"lasso": {"alpha": 0.01}}, folds=2)
+    others = rows.crossJoin(spark.range(100).withColumnRenamed("id", "copy")).withColumn("symbol", F.concat("symbol", F.lit("_"), "copy")).drop("copy")
+    many = rows.unionByName(others.where("split = 'val'"))  # others without train rows get no models
+    beside = models.train_panel(many, NAMES, ["lasso"], {"lasso": {"alpha": 0.01}}, folds=2)
+    assert set(alone.models) == set(beside.models)
+    for key in alone.models:
+        assert alone.models[key].stages[-1].coefficients == beside.models[key].stages[-1].coefficients
+    assert alone.cv_scores == beside.cv_scores
+
+
+def test_tuning_runs_before_the_fit(rows):
+    seen = []
+
+    def tune(train, features, model_type):
+        seen.append((model_type, train.where("n IS NULL").count()))
+        return {"max_depth": 2}
+
+    panel = models.train_panel(rows, NAMES, ["decision_tree"], tune=tune)
+    assert seen == [("decision_tree", 0)] * len(panel.models)
+    assert all(p["max_depth"] == 2 for p in panel.params.values())
+
+
+def test_parameters_without_effect_are_refused():
+    with pytest.raises(ValueError):
+        models.create_model("decision_tree", {"min_samples_split": 4})
+    with pytest.raises(ValueError):
+        models.create_model("random_forest", {"max_depth": 31})
+
+
+def test_search_covers_every_parameter_and_knows_failure():
+    bounds = {f"p{i}": (0.0, 1.0) for i in range(9)}
+    assert all(len(c) == 9 for c in search.candidates(bounds, 3))
+    assert search.search(lambda p: float("nan") if p["x"] == 0 else -1.0, [{"x": 0}, {"x": 1}]).best_params == {"x": 1}
+    with pytest.raises(RuntimeError):
+        search.search(lambda p: 1 / 0, [{"x": 0}])
+
+
+def test_single_model_path_and_equal_weights(spark):
+    rows = spark.createDataFrame([("A", 1, "lasso", 5.0), ("A", 1, "xgboost", 7.0), ("B", 1, "lasso", 2.0)], "symbol string, date int, model string, prediction double")
+    got = {r.symbol: r for r in forecast.first_model(rows, ["xgboost", "lasso"]).collect()}
+    assert (got["A"].predicted_value, got["A"].model_used) == (7.0, "xgboost") and got["B"].model_used == "lasso"
+    weights = spark.createDataFrame([("B", "lasso", 1.0)], "symbol string, model string, weight double")
+    assert {r.symbol: r.predicted_value for r in forecast.combine(rows, weights).collect()} == {"A": 6.0, "B": 2.0}
 
 
 def test_complete_experiment(spark, make_bars, tmp_path):
@@ -125,7 +174,10 @@ def test_complete_experiment(spark, make_bars, tmp_path):
     config = pipeline.PipelineConfig(
         model_types=("decision_tree", "lasso"), feature_window=2, cross_validation_folds=2, model_params={"decision_tree": {"max_depth": 3}})
     out = pipeline.run_experiment(bars, config, 10, str(tmp_path), at=datetime(2024, 1, 1))
-    assert out.experiment_id == "exp_20240101_000000_A_decision_tree_lasso"
+    assert out.experiment_id.startswith("exp_20240101_000000_A_decision_tree_lasso_")
+    assert out.experiment_id != pipeline.experiment_id(["A"], list(config.model_types), datetime(2024, 1, 1))
+    log = spark.read.parquet(f"{tmp_path}/runs")
+    assert log.where("kind = 'status' AND value = 'finished'").count() == 2 and log.where("kind = 'artifact'").count() == 2
     rows = out.predictions.toPandas()
     assert len(rows) == 10 and rows.actual_value.notna().sum() == 9 and (rows.confidence_lower <= rows.predicted_value).all()
     assert out.summary.where("symbol = 'A'").first().total_predictions == 10

@@ -92,6 +92,16 @@ def test_import_keeps_valid_datasets_only(spark, make_bars):
     assert jobs["G"].status == "completed" and jobs["B"].status == "failed"
     assert report.inserted == 799 == jobs["G"].records_inserted and jobs["G"].records_updated == 1
     assert table.read().select("symbol").distinct().count() == 1
+    assert jobs["G"].records_skipped == 0 and str(jobs["G"].data_start_date) == "2015-01-01" and jobs["B"].data_end_date is None
+
+
+def test_import_counts_rows_without_a_price_as_skipped(spark, make_bars):
+    raw = make_bars({"g": [10.0] * 900}).withColumnRenamed("symbol", "dataset")
+    raw = raw.withColumn("open", F.when(F.dayofyear("date") % 20 != 0, F.col("open")))
+    table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"G": [1.0]}), T0)
+    job = pipeline.import_bars(raw, table, T1).jobs.first()
+    gaps = raw.where("open IS NULL").count()
+    assert gaps > 30 and (job.records_processed, job.records_inserted, job.records_updated, job.records_skipped) == (900, 899 - gaps, 1, gaps)
 
 
 def test_lake(spark, make_bars, tmp_path):
