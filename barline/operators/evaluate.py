@@ -164,10 +164,11 @@ def experiment_overview(comparison: DataFrame) -> DataFrame:
     )
 
 
-def prediction_summary(predictions: DataFrame) -> DataFrame:
-    """Per symbol: number, number with actual, mean, deviation, extremes; errors over the rows with an actual."""
+def prediction_summary(predictions: DataFrame, total: bool = False) -> DataFrame:
+    """Per symbol (with `total` also over all, symbol NULL): number, number with actual, mean, deviation, extremes; errors over
+    the rows with an actual."""
     p, a = F.col("predicted_value"), F.col("actual_value")
-    return predictions.groupBy("symbol").agg(
+    return (predictions.rollup("symbol") if total else predictions.groupBy("symbol")).agg(
         F.count(p).alias("total_predictions"),
         F.count(a).alias("predictions_with_actuals"),
         F.avg(p).alias("mean_prediction"),

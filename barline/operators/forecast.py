@@ -133,6 +133,13 @@ def with_actuals(predictions: DataFrame, bars: DataFrame, horizon: int = 1) -> D
     return predictions.join(actual, ["symbol", "date"], "left")
 
 
+def with_errors(predictions: DataFrame) -> DataFrame:
+    """Adds absolute, squared and percentage error of each prediction; NULL without an actual value."""
+    err = F.col("actual_value") - F.col("predicted_value")
+    return predictions.withColumns({
+        "absolute_error": F.abs(err), "squared_error": err * err, "percentage_error": F.abs(F.try_divide(err, F.col("actual_value"))) * 100})
+
+
 def prediction_table(predictions: DataFrame, horizon: int = 1, model: str | Column = "ensemble") -> DataFrame:
     """Output columns of the prediction sink; the band is absent for a single model."""
     have = set(predictions.columns)

@@ -98,6 +98,20 @@ def tune_by_folds(
     return search(score, candidates(SEARCH_BOUNDS[model_type], init_points + iterations, seed))
 
 
+def validation_objective(
+    supervised: DataFrame, features: Sequence[str], model_type: str, ratios: dict[str, float] | None = None, seed: int = SEED,
+) -> Callable[[Mapping[str, float | None]], float]:
+    """Score of a parameter set: negative percentage error on the validation part of a model fitted on the train part."""
+    frame = split_by_ratio(supervised, ratios)
+    train, val = frame.where(F.col("split") == "train"), frame.where(F.col("split") == "val")
+
+    def score(params: Mapping[str, float | None]) -> float:
+        model = fit(train, features, model_type, params, seed)
+        return -predict(model, val).agg(M.mape(F.col("target"), F.col("prediction"))).first()[0]
+
+    return score
+
+
 @dataclass
 class TunedModel:
     model: PipelineModel
@@ -114,15 +128,11 @@ def tune_on_validation(
     `predictions` holds symbol, date, pos, split, cut positions, close, target and prediction of every row.
     """
     frame = split_by_ratio(supervised, ratios)
-    train, val = frame.where(F.col("split") == "train"), frame.where(F.col("split") == "val")
-
-    def score(params):
-        model = fit(train, features, model_type, params, seed)
-        return -predict(model, val).agg(M.mape(F.col("target"), F.col("prediction"))).first()[0]
-
+    train = frame.where(F.col("split") == "train")
+    score = validation_objective(supervised, features, model_type, ratios, seed)
     found = search(score, candidates(bounds or VALIDATION_SEARCH_BOUNDS[model_type], init_points + iterations, seed))
     model = fit(train, features, model_type, found.best_params, seed)
     return TunedModel(model, found, predict(model, frame))
 
 
-__all__ = ["SearchResult", "TunedModel", "candidates", "models", "search", "tune_by_folds", "tune_on_validation"]
+__all__ = ["SearchResult", "TunedModel", "candidates", "models", "search", "tune_by_folds", "tune_on_validation", "validation_objective"]

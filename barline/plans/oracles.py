@@ -659,4 +659,9 @@ ORACLES["s19_prediction_sink"] = ctes(*BACKTEST) + """
 SELECT symbol, count(*) AS rows, round(avg(predicted_value), 3) + 0.0 AS mean, count(*) AS in_sidecar FROM result GROUP BY 1"""
 ORACLES["s20_experiment_sink"] = "SELECT DISTINCT 'exp_1' AS experiment_id, l_returnflag AS symbol, CAST(4 AS BIGINT) AS models FROM lineitem"
 ORACLES["s21_metrics_sink"] = ctes(FLAG, NUM, PAIRS) + f"SELECT dataset, {pair_metrics('mape', 'r2')}, '2024-01-01 00:00:00' AS run_ts FROM pairs GROUP BY 1"
-ORACLES["u3_objective"] = ctes(*FORECAST) + f"SELECT symbol, model, round(-avg(abs({ERR}) / greatest(abs(target), 2.220446049250313e-16)), 6) + 0.0 AS score FROM preds WHERE split = 'val' GROUP BY 1, 2"
+ORACLES["u3_objective"] = ctes(FLAG, NUM, PAIRS) + """
+SELECT 1e12 AS alpha, round(-avg(abs(y_real - m) / greatest(abs(y_real), 2.220446049250313e-16)), 6) + 0.0 AS score
+FROM pairs, (SELECT avg(y_real) AS m FROM pairs WHERE dataset = 'train') WHERE dataset = 'val'"""
+for _query, _model in (("m7_train_means", "decision_tree"), ("m10_train_means", "lasso")):
+    ORACLES[_query] = ctes(FLAG, NUM, f"f2 AS (SELECT *, lead(close) OVER ({SER}) AS target FROM num)", ROWS2) + f"""
+SELECT symbol, '{_model}' AS model, count(*) AS rows, round(avg(target), 2) + 0.0 AS mean_prediction FROM rows_ WHERE split = 'train' GROUP BY 1"""

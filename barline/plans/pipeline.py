@@ -222,9 +222,13 @@ def run_experiment(
     predictions = stage(forecast.prediction_table(
         forecast.with_actuals(combined, features.select("symbol", "date", "close"), config.prediction_horizon),
         config.prediction_horizon, F.col("model_used")), "predictions")
-    summary = evaluate.experiment_overview(comparison).join(
-        evaluate.prediction_summary(predictions).select("symbol", "total_predictions", "predictions_with_actuals", "mean_prediction", "mse", "mae"),
-        "symbol", "left")
+    predictions = forecast.with_errors(predictions)
+    told = evaluate.prediction_summary(predictions, total=True).select(
+        F.col("symbol").alias("of"), "total_predictions", "predictions_with_actuals", "mean_prediction", "mse", "mae")
+    best = evaluate.best_models(comparison).select(F.col("symbol").alias("best_of"), F.col("model").alias("best_model"))
+    overview = evaluate.experiment_overview(comparison)
+    summary = overview.join(told, overview["symbol"].eqNullSafe(told["of"]), "left").drop("of")
+    summary = summary.join(best, F.col("symbol") == F.col("best_of"), "left").drop("best_of")
     names = ["panel" if s == "*" else s for s in panel.features]
     eid = experiment_id(names, list(config.model_types), started, config)
     if out_dir:

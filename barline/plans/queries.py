@@ -520,9 +520,12 @@ def a9_large_gaps(spark, sf):
     return validate.large_gaps(bars_supp(spark, sf).withColumnRenamed("symbol", "dataset"))
 
 
-def forecasts(spark: SparkSession, sf: str) -> DataFrame:
-    """Long predictions of the SQL forecasters (persistence, means, exponential mean) with split and target."""
-    rows = splits.split_by_fraction(training_rows(engineer_features(bars_flag(spark, sf))))
+def forecasts(spark: SparkSession, sf: str, features: DataFrame | None = None) -> DataFrame:
+    """Long predictions of the SQL forecasters (persistence, means, exponential mean) with split and target. Rows are staged:
+    weights and forecasts read them."""
+    rows = training_rows(engineer_features(bars_flag(spark, sf)) if features is None else features)
+    rows = splits.split_by_fraction(rows).select("symbol", "date", "split", "target", *sorted(set(FORECASTERS.values())))
+    rows = stage(rows, "forecaster-rows")
     return forecast.model_rows(rows, FORECASTERS, ("symbol", "date", "split", "target"))
 
 
@@ -589,10 +592,10 @@ def a15_cv_summary(spark, sf):
 
 def backtest_rows(spark: SparkSession, sf: str, days: int = 60) -> DataFrame:
     bars = bars_flag(spark, sf)
-    f = engineer_features(bars)
+    f = stage(engineer_features(bars), "features")  # forecasts and backtest read the same frame
     ends = bars.groupBy("symbol").agg(F.max("date").alias("b"))
     spine = forecast.date_spine(ends, F.date_sub("b", days - 1), F.col("b"))
-    val = forecasts(spark, sf).where(F.col("split") == "val")
+    val = forecasts(spark, sf, f).where(F.col("split") == "val")
     return forecast.backtest(spine, f, bars, FORECASTERS, forecast.ensemble_weights(val))
 
 
@@ -937,15 +940,9 @@ def m5_select_apply(spark, sf):
     return out.groupBy("symbol").agg(*[F.count(c).alias(f"n_{c}") for c in SCORED])
 
 
-PREPARED_TABLES: dict[tuple[str, str], pipeline.Prepared] = {}
-
-
 def prepared_panel(spark: SparkSession, sf: str) -> pipeline.Prepared:
-    """The prepared table that all training queries read: staged by the first of them in an application."""
-    key = (spark.sparkContext.applicationId, sf)
-    if key not in PREPARED_TABLES:
-        PREPARED_TABLES[key] = pipeline.preprocess(bars_flag(spark, sf))
-    return PREPARED_TABLES[key]
+    """The prepared table of a training query; each query makes its own."""
+    return pipeline.preprocess(bars_flag(spark, sf))
 
 
 def few_models() -> pipeline.PipelineConfig:
@@ -1176,9 +1173,23 @@ def u2_model_factory(spark, sf):
 
 @query
 def u3_objective(spark, sf):
-    """Score of one parameter set as the search sees it: negative percentage error on validation rows, per symbol."""
-    val = forecasts(spark, sf).where(F.col("split") == "val")
-    return tidy(val.groupBy("symbol", "model").agg((-evaluate.M.mape(F.col("target"), F.col("prediction"))).alias("score")))
+    """The search's objective at one parameter set. So strong a penalty leaves the train mean, whose score SQL knows too."""
+    rows = supervised_frame(bars_flag(spark, sf).withColumn("today", F.col("close")))
+    score = search.validation_objective(rows, ["open", "high", "low", "volume"], "lasso")
+    return tidy(spark.createDataFrame([(1e12, score({"alpha": 1e12}))], "alpha double, score double"))
+
+
+def train_means(model_type: str) -> Query:
+    """A model whose least-squares fit has free leaf values or a free intercept predicts its train rows right on average."""
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        prepared = prepared_panel(spark, sf)
+        panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), [model_type])
+        rows = panel.predictions(prepared.frame.where(F.col("split") == "train"))
+        return tidy(rows.groupBy("symbol", "model").agg(F.count("*").alias("rows"), F.avg("prediction").alias("mean_prediction")), mean_prediction=2)
+    return run
+
+
+QUERIES |= {"m7_train_means": train_means("decision_tree"), "m10_train_means": train_means("lasso")}
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:

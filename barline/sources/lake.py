@@ -23,9 +23,14 @@ def zone_path(root: str, zone: str, data_format: str | None = None, folder: str
 
 
 def ingest(df: DataFrame, root: str, zone: str = "raw", dataset: str = "dataset", folder: str | None = None) -> str:
-    """Write rows into a zone as Parquet, one folder per dataset column value; returns the path."""
+    """Write rows into a zone as Parquet, one folder per dataset column value; returns the path.
+
+    A dataset that is there already is replaced, so a repeated job leaves the same files. Rows are gathered by dataset
+    before the write (large ones are split), so there are few files.
+    """
     path = zone_path(root, zone, folder=folder)
-    df.write.mode("append").partitionBy(dataset).parquet(path)
+    rows = df.hint("rebalance", dataset)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(dataset).parquet(path)
     return path
 
 

@@ -30,9 +30,10 @@ def prediction_sidecar(predictions: DataFrame, weights: DataFrame | None = None,
 
 
 def save_experiment(experiment_id: str, comparison: DataFrame, summary: DataFrame, path: str) -> None:
-    """Comparison as CSV and summary as JSON, both partitioned by experiment."""
+    """Comparison as CSV and summary as JSON, both partitioned by experiment; saving an experiment again replaces it."""
     for df, name in ((comparison, "comparison"), (summary, "summary")):
-        out = df.withColumn("experiment_id", F.lit(experiment_id)).write.mode("append").partitionBy("experiment_id")
+        out = df.withColumn("experiment_id", F.lit(experiment_id)).write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("experiment_id")
         out.option("header", True).csv(f"{path}/{name}") if name == "comparison" else out.json(f"{path}/{name}")
 
 

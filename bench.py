@@ -14,7 +14,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 HEADLINE = [
     "w1_moving_averages", "w3_rsi", "w4_macd", "w5_bollinger", "w12_feature_frame", "w12_null_budget", "w18_expanding_folds",
     "a4_exact_quantiles", "a9_large_gaps", "a10_training_metrics", "j5_asof_join", "j10_apply_statistics", "s7_upsert",
-    "v11_verdicts", "m2_standard_scaler", "m6_preprocess", "m8_random_forest", "m10_lasso", "m19_ensemble", "m20_backtest",
+    "v11_verdicts", "m2_standard_scaler", "m6_preprocess", "m8_random_forest", "m10_lasso", "m19_ensemble", "m20_backtest", "m24_pipeline",
 ]
 
 
