@@ -32,6 +32,19 @@ def test_catalogue_is_consistent():
     assert len(entry.queries()) > 120
 
 
+def test_catalogue_without_the_optional_part(monkeypatch):
+    import importlib
+    import sys
+
+    for name in [m for m in sys.modules if m.startswith("barline.llm")] + ["corpus_pipeline"]:
+        monkeypatch.setitem(sys.modules, name, None)
+    monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    bare = importlib.util.module_from_spec(importlib.util.find_spec("__spark_entry__"))
+    bare.__spec__.loader.exec_module(bare)
+    assert len(bare.queries()) > 120 and not any(k.startswith("op") or k == "pipeline" for k in bare.queries())
+    assert set(bare.oracle_sql()) <= set(bare.queries())
+
+
 @pytest.mark.parametrize("name", SOME)
 def test_query_equals_sql(spark, duck, name):
     got = entry.queries()[name](spark, SF).toPandas()
