@@ -662,6 +662,22 @@ ORACLES["s21_metrics_sink"] = ctes(FLAG, NUM, PAIRS) + f"SELECT dataset, {pair_m
 ORACLES["u3_objective"] = ctes(FLAG, NUM, PAIRS) + """
 SELECT 1e12 AS alpha, round(-avg(abs(y_real - m) / greatest(abs(y_real), 2.220446049250313e-16)), 6) + 0.0 AS score
 FROM pairs, (SELECT avg(y_real) AS m FROM pairs WHERE dataset = 'train') WHERE dataset = 'val'"""
+SPLIT_ROWS = (FLAG, NUM, f"f2 AS (SELECT *, lead(close) OVER ({SER}) AS target FROM num)", ROWS2)
+ORACLES["m15_train_all"] = ctes(*SPLIT_ROWS) + """
+SELECT symbol, model, split, count(*) AS rows, CASE WHEN split = 'train' AND model IN ('decision_tree', 'lasso') THEN round(avg(target), 2) + 0.0 END AS mean
+FROM rows_, (VALUES ('decision_tree'), ('random_forest'), ('xgboost'), ('lasso')) m(model) GROUP BY symbol, model, split"""
+ORACLES["s22_model_sink"] = ctes(*SPLIT_ROWS) + "SELECT symbol, 'lasso' AS model, split, count(*) AS rows, count(*) AS same FROM rows_ GROUP BY ALL"
+ASKED = """asked AS (
+  SELECT e.symbol, CAST(d AS DATE) AS date, b.close AS actual_value
+  FROM (SELECT symbol, unnest(generate_series(max(date) - 29, max(date), INTERVAL 1 DAY)) AS d FROM bars GROUP BY 1) e
+  LEFT JOIN bars b ON b.symbol = e.symbol AND b.date = CAST(d AS DATE) + 1
+  WHERE (SELECT count(*) FROM bars x WHERE x.symbol = e.symbol AND x.date < e.d) >= 7)"""
+ORACLES["m20_backtest_models"] = ctes(FLAG, ASKED) + f"""
+SELECT symbol, date AS timestamp, {rounded('actual_value')}, 'ensemble' AS model_used, 1 AS prediction_horizon, TRUE AS inside_band, TRUE AS error_if_actual,
+  FALSE AS wrong_error FROM asked"""
+ORACLES["m24_pipeline"] = ctes(FLAG, ASKED) + """
+SELECT symbol, count(DISTINCT symbol) AS symbols, 2 * count(DISTINCT symbol) AS models, count(*) AS total_predictions, count(actual_value) AS predictions_with_actuals,
+  symbol IS NOT NULL AS best_is_known, TRUE AS scored FROM asked GROUP BY ROLLUP (symbol)"""
 for _query, _model in (("m7_train_means", "decision_tree"), ("m10_train_means", "lasso")):
     ORACLES[_query] = ctes(FLAG, NUM, f"f2 AS (SELECT *, lead(close) OVER ({SER}) AS target FROM num)", ROWS2) + f"""
 SELECT symbol, '{_model}' AS model, count(*) AS rows, round(avg(target), 2) + 0.0 AS mean_prediction FROM rows_ WHERE split = 'train' GROUP BY 1"""

@@ -1007,7 +1007,10 @@ def m15_train_all(spark, sf):
     prepared = prepared_panel(spark, sf)
     small = {"random_forest": {"n_estimators": 10, "max_depth": 5}, "xgboost": {"n_estimators": 5, "max_depth": 3}}
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), params=small)
-    return panel.predictions(prepared.frame).groupBy("symbol", "model", "split").agg(F.count("*").alias("rows"), F.avg("prediction").alias("mean"))
+    exact = (F.col("split") == "train") & F.col("model").isin("decision_tree", "lasso")  # right on average where the fit says so
+    facts = panel.predictions(prepared.frame).groupBy("symbol", "model", "split").agg(
+        F.count("prediction").alias("rows"), F.avg("prediction").alias("mean"))
+    return tidy(facts.withColumn("mean", F.when(exact, F.col("mean"))), mean=2)
 
 
 @query
@@ -1060,8 +1063,14 @@ def m20_backtest(spark, sf):
 
 @query
 def m20_backtest_models(spark, sf):
-    """Backtest with trained models instead of SQL forecasters, without cross-validation."""
-    return pipeline.run_experiment(bars_flag(spark, sf), replace(few_models(), cross_validation_folds=0), 30, at=T0).predictions
+    """Backtest with trained models instead of SQL forecasters, without cross-validation: what SQL can know of its rows."""
+    rows = pipeline.run_experiment(bars_flag(spark, sf), replace(few_models(), cross_validation_folds=0), 30, at=T0).predictions
+    value, actual = F.col("predicted_value"), F.col("actual_value")
+    inside = (F.col("confidence_lower") <= value) & (value <= F.col("confidence_upper"))
+    wrong = F.abs(F.col("absolute_error") - F.abs(value - actual)) > 1e-9
+    return tidy(rows.select(
+        "symbol", "timestamp", "actual_value", "model_used", "prediction_horizon", inside.alias("inside_band"),
+        (actual.isNull() == F.col("absolute_error").isNull()).alias("error_if_actual"), F.coalesce(wrong, F.lit(False)).alias("wrong_error")))
 
 
 @query
@@ -1094,7 +1103,9 @@ def m23_split_rule(spark, sf):
 def m24_pipeline(spark, sf):
     out = fresh_path(spark, "experiments")
     results = pipeline.run_experiment(bars_flag(spark, sf), few_models(), 30, out, at=T0)
-    return results.summary
+    told = ["symbols", "models", "total_predictions", "predictions_with_actuals"]
+    return results.summary.select(
+        "symbol", *told, F.coalesce(F.col("best_model").isin(*few_models().model_types), F.lit(False)).alias("best_is_known"), (F.col("avg_test_mse") > 0).alias("scored"))
 
 
 @query
@@ -1144,10 +1155,14 @@ def s22_model_sink(spark, sf):
     pipeline.save_preprocessor(prepared, f"{path}/preprocessor")
     prepared = pipeline.load_preprocessor(spark, f"{path}/preprocessor", prepared.frame, prepared.spec)
     panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["lasso"])
+    before = panel.predictions(prepared.frame)
     for (symbol, kind), model in panel.models.items():
         models.save_model(model, f"{path}/{symbol}/{kind}")
-        panel.models[(symbol, kind)] = models.load_model(f"{path}/{symbol}/{kind}")
-    return evaluate.training_metrics(panel.predictions(prepared.frame))
+    loaded = {key: models.load_model(f"{path}/{key[0]}/{key[1]}") for key in panel.models}
+    after = replace(panel, models=loaded).predictions(prepared.frame).withColumnRenamed("prediction", "again")
+    same = F.col("prediction") == F.col("again")
+    return before.join(after.drop("split", "target"), ["symbol", "date", "model"]).groupBy("symbol", "model", "split").agg(
+        F.count("*").alias("rows"), F.count_if(same).alias("same"))
 
 
 @query
