@@ -12,6 +12,7 @@ from barline.functions import metrics as M
 
 DATASETS = ("train", "val", "test")
 STRUCTURES = ("single_row", "multiple_rows")
+# Keys of a metric request.
 METADATA_KEYS = ("problem_type", "metrics", "results_file_name", "results_structure", "comment", "save")
 
 

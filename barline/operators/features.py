@@ -12,9 +12,6 @@ from barline.functions.windows import SEGMENT, SERIES, SO_FAR, WindowLayer
 from barline.operators import indicators as ind
 from barline.operators.layout import drop_copies, lay_out, positions, series
 
-SHORT_SERIES = 100  # usable rows below which gaps are forward-filled and incomplete rows dropped
-
-
 @dataclass(frozen=True)
 class FeatureSpec:
     feature_window: int = 7
@@ -31,6 +28,7 @@ class FeatureSpec:
     stat_windows: tuple[int, ...] = (5, 10)
     long_stat_windows: tuple[int, ...] = (20,)
     long_series: int = 1000
+    short_series: int = 100  # usable rows below which gaps are forward-filled and incomplete rows dropped
     volume: bool = True
 
     @property
@@ -47,7 +45,7 @@ class FeatureSpec:
 
     @property
     def names(self) -> list[str]:
-        """Feature columns in their fixed order (the order breaks ties in feature selection)."""
+        """Feature columns. Names and order (the order breaks ties in feature selection)."""
         out = ["returns", "log_returns", "price_range", "price_change"]
         if self.volume:
             out += ["volume_ma_ratio", "price_volume"]
@@ -134,7 +132,7 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
 def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """Rows with a target and at least one feature; `pos` and `n` are renumbered over the rows that stay.
 
-    A series left with fewer than 100 such rows is forward-filled and loses its incomplete rows. Complete means:
+    A series left with fewer than `short_series` such rows is forward-filled and loses its incomplete rows. Complete means:
     no NULL in any feature that exists for the series (gated-off features, and volume features of a series
     without any volume, do not count). Such a series lies in one segment, so the fill needs no further shuffle.
     """
@@ -155,7 +153,7 @@ def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
     seen = features.selectExpr("*", *last, f"{volume} AS _has_volume", f"{usable_rows} AS _usable_rows")
     active = {c: spec.gate(c) + (" AND _has_volume" if "volume" in c else "") for c in names}
     gaps = ", ".join(f"{active[c]} AND `_last_{c}` IS NULL" for c in names)
-    short = f"_usable_rows < {SHORT_SERIES}"
+    short = f"_usable_rows < {spec.short_series}"
     kept = seen.where(f"{usable} AND (NOT {short} OR NOT array_contains(array({gaps}), true))")
     numbered = kept.selectExpr(
         *KEYS, "close", *[f"CASE WHEN {short} THEN `_last_{c}` ELSE `{c}` END AS `{c}`" for c in names], "target",

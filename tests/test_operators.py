@@ -27,6 +27,7 @@ def request(**changes):
     return {**base, **changes}
 
 
+# Metric cases with known results.
 HALF = [0, 0, 0, 0, 1, 1, 1, 1]
 
 
