@@ -316,3 +316,28 @@ def test_prediction_summary_pairs_rows(spark):
     rows = [("A", 10.0, None), ("A", 20.0, 22.0), ("B", 1.0, None)]
     got = {r.symbol: r for r in evaluate.prediction_summary(spark.createDataFrame(rows, "symbol string, predicted_value double, actual_value double")).collect()}
     assert got["A"].mse == 4 and got["A"].predictions_with_actuals == 1 and got["B"].mse is None
+
+
+def test_the_first_of_several_faults_is_reported(spark):
+    """Datasets are judged in order of their names, rules in their order, whatever order rows come in."""
+    schema = "dataset string, id long, {} double"
+    real = [("val", 1, None), ("train", 1, 1.0), ("train", 2, 2.0), ("other", 1, 1.0)]
+    pred = [("val", 1, 1.0), ("train", 1, 1.0), ("other", 1, 1.0)]
+    for rows in (real, real[::-1]):
+        with pytest.raises(evaluate.MetricInputError) as e:
+            evaluate.check_input(spark.createDataFrame(rows, schema.format("y_real")), spark.createDataFrame(pred, schema.format("y_pred")))
+        assert e.value.reason == "wrong_dataset_name"
+        with pytest.raises(evaluate.MetricInputError) as e:
+            evaluate.check_input(
+                spark.createDataFrame([r for r in rows if r[0] != "other"], schema.format("y_real")),
+                spark.createDataFrame(pred[:2], schema.format("y_pred")))
+        assert e.value.reason == "incompatible_lengths"
+
+
+def test_quantiles_of_one_large_group(spark):
+    """A group with nearly all rows and values that hardly repeat: the bracket is far wider than what gets ranked."""
+    rng = np.random.default_rng(8)
+    frame = pd.DataFrame({"k": ["big"] * 30000 + ["small"] * 50, "v": np.concatenate([rng.lognormal(size=30000), rng.normal(size=50)])})
+    got = exact_quantiles(spark.createDataFrame(frame), "k", ["v"], [0.01, 0.25, 0.5, 0.99], accuracy=500)
+    for r in got.collect():
+        assert r.quantile == pytest.approx(frame[frame.k == r.k].v.quantile(r.fraction), rel=1e-12)
