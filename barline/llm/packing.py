@@ -25,6 +25,10 @@ from barline.llm.tokens import encode_array, tokenizer_path
 
 LENGTH = 1024
 END = 0
+#: Tokens that are cut, and handed on, at a time.
+SLICE_TOKENS = 1 << 20
+#: Partitions whose offsets are broadcast, at 16 bytes each.
+MOST_BROADCAST = 1_000_000
 
 
 def encoded(docs: DataFrame, path: str) -> DataFrame:
@@ -49,15 +53,25 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
 def cut_stream(rows: DataFrame, length: int = LENGTH, with_ids: bool = True) -> DataFrame:
     """Pieces of encoded documents, with or without their ids; the stream's order is partition, then place in the partition."""
     totals = rows.groupBy("part").agg(F.sum("n").alias("tokens"))
-    placed = rows.join(offsets_of_parts(totals, [], "part", "tokens", "before"), "part")
+    offsets = staged(offsets_of_parts(totals, [], "part", "tokens", "before"), "offsets")
+    # two numbers for each partition: broadcast while that is little, so that the ids stay where they are; else joined
+    offsets = F.broadcast(offsets) if offsets.count() <= MOST_BROADCAST else offsets
+    placed = rows.join(offsets, "part")
     placed = placed.select("doc_id", "n", "ids", (F.col("before") + F.col("start")).alias("place"))
     schema = T.StructType([rows.schema["doc_id"]])
     for name in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"):
         schema = schema.add(name, "long")
     schema = schema.add("ids", "binary") if with_ids else schema
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows with about SLICE_TOKENS tokens at a time."""
         for batch in batches:
+            part = np.cumsum(batch.column("n").to_numpy()) // SLICE_TOKENS
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(part)]
+            yield from (batch.slice(a, b - a) for a, b in zip(bounds, bounds[1:]) if b > a)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in bounded(batches):
             n, place = batch.column("n").to_numpy(), batch.column("place").to_numpy()
             pieces = (place + n - 1) // length - place // length + 1
             doc = np.repeat(np.arange(len(n)), pieces)
