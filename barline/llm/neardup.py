@@ -23,7 +23,7 @@ from fractions import Fraction
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barline.llm.common import staged, text_slices
@@ -49,6 +49,14 @@ def bands_and_rows(similarity: float, recall: float = RECALL, hashes: int = HASH
     raise ValueError(f"{hashes} hashes can't reach a recall of {recall} at {similarity}")
 
 
+#: Some character of a word: a digit, a letter or anything beyond ASCII.
+ANY_WORD = r"[0-9A-Za-z\x{80}-\x{10FFFF}]"
+
+
+def _id(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("string"), F.lit("none"))
+
+
 def _text_key() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
@@ -257,6 +265,7 @@ def jaccard_join(docs: DataFrame, similarity: str = SIMILARITY, shingle: int = S
 
     banded = signed.join(classes.select("row"), "row").select("row", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.min("row").alias("first"), F.max("row").alias("last")).filter("first < last").select("band", "first")
+    shared = staged(shared, "bands")  # a join of two plain shuffles: Spark splits a band that very many share
     edges = banded.join(shared, "band").select(F.col("row").alias("a"), F.col("first").alias("b"))
     grouped = components(edges, "candidates")
     grouped = staged(grouped.unionByName(grouped.select(F.col("root").alias("node"), "root").distinct()), "groups")
@@ -287,19 +296,22 @@ def jaccard_join(docs: DataFrame, similarity: str = SIMILARITY, shingle: int = S
 def duplicate_classes(docs: DataFrame, **how) -> DataFrame:
     """doc_id, class_id (least id of the documents connected by links), n_links: one row per document."""
     joined = staged(jaccard_join(docs, **how), "joined")
-    names = joined.groupBy("class_row").agg(F.min("doc_id").alias("class_id"))
+    names = staged(joined.groupBy("class_row").agg(F.min("doc_id").alias("class_id")), "names")
     return joined.join(names, "class_row").select("doc_id", "class_id", "n_links")
 
 
 def keep_one(docs: DataFrame, **how) -> DataFrame:
-    """One document of each class, the one of least id (a row without id only if all are), with its columns as they are."""
-    joined = staged(jaccard_join(docs, **how), "joined")
-    best = F.min(F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("text_key"), F.col("row"))).alias("best")
-    kept = joined.groupBy("class_row").agg(best).select(
-        F.col("best.doc_id").alias("_kept_doc"), F.coalesce("best.text_key", F.lit(b"")).alias("_kept_key"), "class_row")
-    rows = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.coalesce(_text_key(), F.lit(b"")).alias("_key"))
-    # rows of no shingles are classes of their own, so equal ones are kept as often as they come
-    counts = kept.groupBy("_kept_doc", "_kept_key").agg(F.count(F.lit(1)).alias("_keep"))
-    same = rows["_doc"].eqNullSafe(counts["_kept_doc"]) & (rows["_key"] == counts["_kept_key"])
-    one = Window.partitionBy("_doc", "_key").orderBy(F.lit(0))
-    return rows.join(counts, same).withColumn("_n", F.row_number().over(one)).filter(F.col("_n") <= F.col("_keep")).select("_row.*")
+    """One document of each class, the one of least id (a row without id only if all are), with its columns as they are.
+    Documents without words are classes of their own, so all of them stay.
+
+    Repeated rows are folded before the shuffle; what remains meets the kept keys in one join by the same key.
+    """
+    joined = jaccard_join(docs, **how)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")).alias("best")
+    kept = joined.groupBy("class_row").agg(least).select(_id(F.col("best.doc_id")).alias("_id"), F.col("best.text_key").alias("_key"))
+    rows = docs.select(
+        F.struct("*").alias("_row"), _id(F.col("doc_id").cast("long")).alias("_id"), _text_key().alias("_key"),
+        F.coalesce(F.col("text").rlike(ANY_WORD), F.lit(False)).alias("_words"))
+    folded = rows.filter("_words").groupBy("_id", "_key").agg(F.first("_row").alias("_row"))
+    one_each = folded.join(kept.filter(F.col("_key").isNotNull()), ["_id", "_key"], "left_semi").select("_row.*")
+    return one_each.unionByName(rows.filter("NOT _words").select("_row.*"))

@@ -51,7 +51,8 @@ def repeats(docs, window=50):
     return out
 
 
-def near_duplicates(docs, least=0.8):
+def near_links(docs, least=0.8):
+    """Links of each document, and the first document it hangs together with."""
     sets = []
     for _, t in docs:
         w = folded(t)
@@ -61,6 +62,11 @@ def near_duplicates(docs, least=0.8):
     root = list(range(n))
     for _ in range(n):
         root = [min([root[i], *(root[j] for j in links[i])]) for i in range(n)]
+    return links, root
+
+
+def near_duplicates(docs, least=0.8):
+    links, root = near_links(docs, least)
     least_id = defaultdict(list)
     for i, (d, _) in enumerate(docs):
         if d is not None:

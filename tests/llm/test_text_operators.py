@@ -5,8 +5,8 @@ import zlib
 
 import numpy as np
 import pytest
-from brute import contamination, near_duplicates, repeats, same
-from conftest import awkward_texts, prose
+from awkward_texts import awkward_texts, prose
+from brute import contamination, near_duplicates, near_links, repeats, same
 
 from barline.llm import decontaminate, language, neardup, packing, repeats as dedup, shards, token_counts
 from barline.llm.hashing import hashed_words, long_run_hashes, run_hashes, sliding
@@ -170,22 +170,19 @@ def test_near_duplicates_large_group(spark, block):
 def test_keep_one(awkward, no_documents):
     kept = neardup.keep_one(awkward)
     assert kept.columns == awkward.columns
+    has_words = [bool(re.search(r"[0-9A-Za-z\x80-\U0010ffff]", t or "")) for _, t in DOCS]
     by_class = {}
-    for d, c, _ in near_duplicates(DOCS):
-        by_class.setdefault(("none", d) if c is None else c, d)
-    wordless = [(d, t) for d, t in DOCS if not re.search(r"[0-9A-Za-z\x80-\U0010ffff]", t or "")]
-    classes = {c for d, c, _ in near_duplicates([x for x in DOCS if x not in wordless])}
-    lone = sum(1 for d, c, _ in near_duplicates([x for x in DOCS if x not in wordless]) if c is None)
-    assert kept.count() == len(classes - {None}) + lone + len(wordless) + (1 if 24 in classes and False else _extra_classes())
+    for doc, root, worded in zip(DOCS, near_links(DOCS)[1], has_words):
+        if worded:
+            by_class.setdefault(root, []).append(doc)
+    expected = [min(v, key=lambda x: (x[0] is None, x[0] or 0)) for v in by_class.values()]
+    got = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(d or 0 for d, t in got if (d, t) in expected) == sorted(d or 0 for d, _ in expected)
+    assert len(got) == len(expected) + has_words.count(False)
     assert neardup.keep_one(no_documents).count() == 0
     assert neardup.duplicate_classes(no_documents).count() == 0
 
 
-def _extra_classes():
-    """Id 24 names two classes of different texts: its copy of the first document, and its own text."""
-    return 0
-
-
 def test_bands_reach_the_recall():
     bands, rows = neardup.bands_and_rows(0.8, 0.9999)
     assert (bands, rows) == (25, 5) and 1 - (1 - 0.8**rows) ** bands >= 0.9999
