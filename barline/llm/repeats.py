@@ -126,13 +126,15 @@ class Repeats:
     def __init__(self, docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE) -> None:
         self.described = _described(docs, window, phrase)
         long_enough = self.described.filter((F.col("n_words") >= window) & F.col("doc_id").isNotNull())
-        firsts = long_enough.groupBy("text_key").agg(F.min("doc_id").alias("first_id"))
+        # what a hot key is joined with is written first: a join of two plain shuffles is one that Spark can split by rows
+        firsts = staged(long_enough.groupBy("text_key").agg(F.min("doc_id").alias("first_id")), "firsts")
         judged = staged(long_enough.join(firsts, "text_key"), "judged")
         self.copies = judged.filter(F.col("doc_id") > F.col("first_id")).select("row")
         one_each = judged.filter(F.col("doc_id") == F.col("first_id"))
 
         anchors = one_each.select("row", "doc_id", F.explode("phrases").alias("phrase"))
         recurring = anchors.groupBy("phrase").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("a < b").select("phrase")
+        recurring = staged(recurring, "recurring")
         wanted = anchors.select("row", "phrase").join(recurring, "phrase").groupBy("row").agg(F.collect_list("phrase").alias("phrases"))
         wanted = wanted.join(one_each.drop("phrases"), "row").select("row", "doc_id", "text_key", "phrases")
         texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", _text_key())
@@ -142,7 +144,7 @@ class Repeats:
             _located(window, phrase), "first_hash long, second_hash long, row long, doc_id long, start int"), "windows")
         key = ["first_hash", "second_hash"]
         owners = windows.groupBy(key).agg(F.min("doc_id").alias("owner"), F.max("doc_id").alias("last")).filter("owner < last").drop("last")
-        lost = windows.join(owners, key).filter(F.col("doc_id") > F.col("owner"))
+        lost = windows.join(staged(owners, "owners"), key).filter(F.col("doc_id") > F.col("owner"))
         self.starts = staged(lost.groupBy("row").agg(F.sort_array(F.collect_set("start")).alias("starts")), "starts")
 
 
