@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,17 +34,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 
 
 def text_slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[tuple[pa.RecordBatch, list]]:
-    """Slices of rows with at most SLICE_BYTES of text each, beside their texts as UTF-8 bytes (None: null)."""
+    """Slices of rows with at most SLICE_BYTES of text each, beside their texts as UTF-8 bytes (None: null).
+    The column may be a field of a struct: "_row.text"."""
+    top, _, inner = column.partition(".")
     for batch in batches:
-        texts = batch.column(column).cast(pa.large_binary()).to_pylist()
+        values = pc.struct_field(batch.column(top), inner) if inner else batch.column(top)
+        values = values.cast(pa.large_binary())
+        sizes = pc.fill_null(pc.binary_length(values), 0).to_pylist()
         start = size = 0
-        for i, text in enumerate(texts):
-            if size and size + len(text or b"") > SLICE_BYTES:
-                yield batch.slice(start, i - start), texts[start:i]
+        for i, own in enumerate([*sizes, SLICE_BYTES + 1]):
+            if i > start and (size + own > SLICE_BYTES):
+                yield batch.slice(start, i - start), values.slice(start, i - start).to_pylist()
                 start, size = i, 0
-            size += len(text or b"")
-        if start < len(texts):
-            yield batch.slice(start), texts[start:]
+            size += own
 
 
 def flat(lists: list[list]) -> tuple[list, np.ndarray]:

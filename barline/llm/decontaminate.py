@@ -116,25 +116,25 @@ def _passes(benchmark: DataFrame, width: int, most: int) -> Iterator[list]:
 
 
 def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WORDS_IN_WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Beside `_row` (all columns of the document) and `_text`: n_words, hits (first word and length of each occurrence),
+    """Beside `_row` (all columns of the document): n_words, hits (first word and length of each occurrence),
     items (ids of the items with occurring windows, as sorted strings), spans (byte ranges of the text).
 
     The set of windows is broadcast whole if it stays below `broadcast_bytes`; else it is cut into blocks by hash
     and the documents pass by each block in turn, written in between.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"))
     previous: DataFrame | None = None
     for windows in _passes(benchmark, width, broadcast_bytes):
         held = spark.sparkContext.broadcast(windows)
         source = rows if previous is None else staged(previous, "hits")
         first = previous is None
         schema = T.StructType([
-            source.schema["_row"], T.StructField("_text", T.StringType()), *T.StructType.fromDDL(HITS).fields])
+            source.schema["_row"], *T.StructType.fromDDL(HITS).fields])
 
         def scan(batches: Iterator[pa.RecordBatch], held=held, first=first) -> Iterator[pa.RecordBatch]:
             windows = WindowSet(held.value)
-            for part, texts in text_slices(batches, "_text"):
+            for part, texts in text_slices(batches, "_row.text"):
                 words = [folded_words(t) if t else [] for t in texts]
                 hits, items, spans = [], [], []
                 old = [([], [])] * len(texts) if first else [
@@ -148,9 +148,9 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, width: int = WORDS_IN_WINDO
                 span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
                 hit = pa.list_(pa.struct([("start", pa.int32()), ("length", pa.int32())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("_row"), part.column("_text"), pa.array([len(w) for w in words], pa.int64()),
+                    [part.column("_row"), pa.array([len(w) for w in words], pa.int64()),
                      pa.array(hits, hit), pa.array(items, pa.list_(pa.string())), pa.array(spans, span)],
-                    ["_row", "_text", "n_words", "hits", "items", "spans"])
+                    ["_row", "n_words", "hits", "items", "spans"])
 
         previous = source.mapInArrow(scan, schema)
     return previous
@@ -171,9 +171,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, action: str = "document
     if action == "documents":
         return found.filter(F.size("hits") == 0).select("_row.*")
     cut = ("decode(aggregate(spans, named_struct('out', CAST('' AS BINARY), 'at', 0), (s, x) -> named_struct('out', s.out || "
-           "substring(CAST(_text AS BINARY), s.at + 1, x.start - s.at), 'at', x.stop), s -> s.out || "
-           "substring(CAST(_text AS BINARY), s.at + 1)), 'UTF-8')")
-    text = F.when(F.size("spans") == 0, F.col("_text")).otherwise(F.expr(cut))
+           "substring(CAST(_row.text AS BINARY), s.at + 1, x.start - s.at), 'at', x.stop), s -> s.out || "
+           "substring(CAST(_row.text AS BINARY), s.at + 1)), 'UTF-8')")
+    text = F.when(F.size("spans") == 0, F.col("_row.text")).otherwise(F.expr(cut))
     return found.select(*[text.alias(c) if c == "text" else F.col(f"_row.`{c}`") for c in docs.columns])
 
 

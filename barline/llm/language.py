@@ -152,8 +152,9 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 
     vector = F.udf(lambda at, value: Vectors.sparse(DIMENSIONS, at, value), VectorUDT())
     family = F.create_map(*[F.lit(v) for lang in counts for v in (lang, FAMILY_OF.get(lang, lang))])
-    rows = chosen.mapInArrow(take, "lang string, at array<int>, value array<double>")
-    rows = staged(rows.select("lang", family[F.col("lang")].alias("family"), vector("at", "value").alias("features")), "sample")
+    # written as arrays first: the scan runs one Python process a task, and the vectors are made from the bounded sample alone
+    taken = staged(chosen.mapInArrow(take, "lang string, at array<int>, value array<double>"), "sample").coalesce(2 * len(counts))
+    rows = staged(taken.select("lang", family[F.col("lang")].alias("family"), vector("at", "value").alias("features")), "vectors")
     found = sorted(r.lang for r in rows.select("lang").distinct().collect())
     by_family: dict[str, list[str]] = {}
     for lang in found:
@@ -165,12 +166,12 @@ def learn(docs: DataFrame, sample: int = SAMPLE) -> LanguageModel:
 def predicted(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """_row (all columns of the document), lang_pred, score."""
     held = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(F.struct("*").alias("_row"), F.col("text").alias("_text"))
+    rows = docs.select(F.struct("*").alias("_row"))
     schema = T.StructType([rows.schema["_row"]]).add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = held.value
-        for part, texts in text_slices(batches, "_text"):
+        for part, texts in text_slices(batches, "_row.text"):
             found = [own.predict(t) for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [part.column("_row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],

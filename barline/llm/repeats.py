@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.llm.common import staged, text_slices
 from barline.llm.hashing import HIGHEST, RUN_FACTOR, SECOND_FACTOR, hashed_words, long_run_hashes, run_hashes, sliding
@@ -186,21 +187,20 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, phrase: int = PHRASE)
     decided = keys.join(found.starts, "row").select("_doc", "_key", F.lit(False).alias("_copy"), "starts").unionByName(
         keys.join(found.copies, "row").select("_doc", "_key", F.lit(True).alias("_copy"), F.lit(None).cast("array<int>").alias("starts")))
     decided = decided.dropDuplicates(["_doc", "_key"])
-    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), F.col("text").alias("_text"), _text_key().alias("_key"))
-    joined = packed.join(decided, ["_doc", "_key"], "left").filter(~F.coalesce("_copy", F.lit(False))).select("_row", "_text", "starts")
+    packed = docs.select(F.struct("*").alias("_row"), F.col("doc_id").cast("long").alias("_doc"), _text_key().alias("_key"))
+    joined = packed.join(decided, ["_doc", "_key"], "left").filter(~F.coalesce("_copy", F.lit(False))).select("_row", "starts")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, texts in text_slices(batches, "_text"):
-            new = [t if not s else b" ".join(_kept(t.split(), s, window)) or None for t, s in zip(texts, rows.column("starts").to_pylist())]
-            gone = [bool(s) and n is None for n, s in zip(new, rows.column("starts").to_pylist())]
-            changed = pa.array([bool(s) for s in rows.column("starts").to_pylist()], pa.bool_())
-            out = pa.RecordBatch.from_arrays(
-                [rows.column("_row"), pa.array([None if n is None else n.decode() for n in new], pa.string()), changed], ["_row", "_text", "_changed"])
-            yield out.filter(pa.array([not g for g in gone], pa.bool_()))
-
-    schema = joined.select("_row", "_text").withColumn("_changed", F.lit(True)).schema
-    done = joined.mapInArrow(cut, schema)
-    length = F.when(F.col("_changed"), F.char_length("_text"))
-    columns = {"text": F.col("_text"), "n_chars": F.coalesce(length, F.col("_row.n_chars")) if "n_chars" in docs.columns else None}
+        for rows, texts in text_slices(batches, "_row.text"):
+            starts = rows.column("starts").to_pylist()
+            new = [b" ".join(_kept(t.split(), s, window)).decode() if s else None for t, s in zip(texts, starts)]
+            yield pa.RecordBatch.from_arrays([rows.column("_row"), pa.array(new, pa.string())], ["_row", "_new"])
+
+    # _new is null where nothing was lost, and empty where nothing is left
+    schema = T.StructType([joined.schema["_row"]]).add("_new", "string")
+    done = joined.mapInArrow(cut, schema).filter("_new IS NULL OR _new <> ''")
+    columns = {"text": F.coalesce("_new", "_row.text")}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.char_length("_new"), F.col("_row.n_chars"))
     return done.select(*[
         columns[c].cast(docs.schema[c].dataType).alias(c) if c in columns else F.col(f"_row.`{c}`") for c in docs.columns])
