@@ -1,6 +1,7 @@
 """Byte-level BPE ids of whole texts inside tasks, from a public tokenizer file whose path is a parameter.
 
-The merges of the file are run by tiktoken, which gives the ids of `tokenizers` (tests compare them) several times faster.
+The merges of the file are run by tiktoken, which gives the ids of `tokenizers` (tests compare them) several times faster. Its regex engine
+can't hold a run of about a million white-space characters; a piece of text with a run beyond SAFE_RUN is encoded by `tokenizers` itself.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 import tiktoken
+from tokenizers import Tokenizer
 
 #: How the file splits text before its merges, and how it writes bytes as characters.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -21,6 +23,10 @@ PIECE_CHARS = 1 << 18
 #: A single blank between two visible characters: splitting starts anew at this blank.
 CUT = re.compile(r"(?<=[0-9A-Za-z.,;:!?]) (?=[0-9A-Za-z])")
 
+#: Longest run of white space that tiktoken is given, and what is longer (Python's white space includes that of the pattern).
+SAFE_RUN = 100_000
+LONG_RUN = re.compile(rf"(?<!\s)\s{{{SAFE_RUN + 1}}}")
+
 
 def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     import public_tokenizers
@@ -41,6 +47,11 @@ def _load(path: str) -> tuple[tiktoken.Encoding, dict[str, int], re.Pattern | No
     return encoding, special, marks
 
 
+@lru_cache(maxsize=2)
+def _library(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
+
+
 def _pieces(text: str):
     start = 0
     while len(text) - start > PIECE_CHARS:
@@ -60,9 +71,10 @@ def encode(text: str, path: str) -> list[int]:
         for part in marks.split(text):
             out.extend([special[part]] if part in special else encode(part, path) if part else [])
         return out
-    if len(text) <= PIECE_CHARS:
+    if len(text) <= SAFE_RUN:
         return encoding.encode_ordinary(text)
-    return [i for piece in _pieces(text) for i in encoding.encode_ordinary(piece)]
+    return [i for piece in _pieces(text) for i in (
+        _library(path).encode(piece, add_special_tokens=False).ids if LONG_RUN.search(piece) else encoding.encode_ordinary(piece))]
 
 
 def encode_array(text: bytes | None, path: str, dtype, end: int, shift: int = 0) -> np.ndarray:

@@ -119,6 +119,22 @@ def test_encode_equals_the_public_library():
         assert encode(text, path) == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encode_long_runs_of_white_space():
+    from tokenizers import Tokenizer
+
+    tokenizer, path = Tokenizer.from_file(tokenizer_path()), tokenizer_path()
+    run = 2_000_000
+    for text in ["a" + " " * run + "b", "a" + "\n" * run + "b", "word " * 60_000 + " \n" * run + "<|endoftext|> end, " * 20_000 + " " * run, "a" + "\x1c \x85" * 50_000 + "b"]:
+        assert encode(text, path) == tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_pack_and_count_long_runs_of_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 2_000_000 + "b"), (2, "c")], "doc_id long, text string")
+    sizes = sorted(len(encode(t, tokenizer_path())) for t in ("a" + " " * 2_000_000 + "b", "c"))
+    assert sorted(r.n_tokens for r in token_counts.corpus_token_counts(docs).collect()) == sizes
+    assert sorted({(r.doc_id, r.doc_tokens) for r in packing.pack(docs, with_ids=False).collect()}) == [(1, sizes[1] + 1), (2, sizes[0] + 1)]
+
+
 @pytest.mark.parametrize("block", [8, 1 << 20])
 def test_token_counts(spark, awkward, block, tmp_path):
     path = f"{tmp_path}/flat"
