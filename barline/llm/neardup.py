@@ -272,10 +272,11 @@ def jaccard_join(docs: DataFrame, similarity: str = SIMILARITY, shingle: int = S
     sizes = grouped.groupBy("root").agg(F.expr(f"(count(1) + {block - 1}) div {block}").alias("blocks"))
 
     wanted = grouped.join(sizes, "root").select(F.col("node").alias("row"), F.col("root").alias("group"), "blocks")
-    wanted = wanted.join(classes, "row").join(signed.select("row", "doc_id", "text_key"), "row").withColumnRenamed("doc_id", "_doc")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("text_key", _text_key())
-    same = (texts["text_key"] == wanted["text_key"]) & texts["doc_id"].eqNullSafe(wanted["_doc"])
-    fat = texts.join(wanted, same).select("group", "blocks", "row", "copies", "text")
+    wanted = wanted.join(classes, "row").join(signed.select("row", _id(F.col("doc_id")).alias("_id"), "text_key"), "row")
+    # repeated rows are counted by `copies`: their text is packed once
+    texts = docs.filter(F.col("text").isNotNull()).select(_id(F.col("doc_id").cast("long")).alias("_id"), _text_key().alias("text_key"), "text")
+    texts = texts.groupBy("_id", "text_key").agg(F.first("text").alias("text"))
+    fat = texts.join(wanted, ["_id", "text_key"]).select("group", "blocks", "row", "copies", "text")
     packs = staged(fat.mapInArrow(_packed(shingle), "group long, blocks long, pack long, n int, data binary"), "packs")
 
     work = packs.withColumn("own", F.pmod(F.xxhash64("pack"), F.col("blocks"))).withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))

@@ -183,6 +183,23 @@ def test_near_duplicates_large_group(spark, block):
     same(neardup.duplicate_classes(frame, block=block), near_duplicates(docs))
 
 
+@pytest.mark.parametrize("block", [8, 800])
+def test_near_duplicates_of_repeated_rows(spark, block):
+    """Repeated rows, with and without id, in a group of different texts."""
+    base = prose(80, 150)
+    texts = [base]
+    for k in range(30):
+        w = base.split()
+        w[5 * k] = f"new{k}"
+        texts.append(" ".join(w))
+    docs = [(k, t) for k, t in enumerate(texts)] + [(0, base)] * 3 + [(7, texts[7])] * 5 + [(None, texts[9])] * 2 + [(None, prose(81, 90) + " end")] * 4
+    docs += [(500, prose(81, 90) + " stop"), (600, prose(82, 60)), (600, prose(82, 60))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    same(neardup.duplicate_classes(frame, block=block), near_duplicates(docs))
+    kept = sorted(r.doc_id for r in neardup.keep_one(frame, block=block).collect())
+    assert kept == [0, 500, 600]
+
+
 def test_keep_one(awkward, no_documents):
     kept = neardup.keep_one(awkward)
     assert kept.columns == awkward.columns
