@@ -946,7 +946,7 @@ def prepared_panel(spark: SparkSession, sf: str) -> pipeline.Prepared:
 
 
 def few_models() -> pipeline.PipelineConfig:
-    """Whole pipeline with the cheaper model types and small ensembles of trees."""
+    """Pipeline with the cheaper model types and small trees, for the SQL of m24_pipeline, which counts two models a symbol."""
     return pipeline.PipelineConfig(
         model_types=("decision_tree", "lasso"), cross_validation_folds=2, model_params={"decision_tree": {"max_depth": 5}})
 
@@ -997,7 +997,7 @@ def m13_search_validation(spark, sf):
 @query
 def m14_train_and_score(spark, sf):
     prepared = prepared_panel(spark, sf)
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["decision_tree"], folds=3)
+    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), folds=pipeline.PipelineConfig().cross_validation_folds)
     metrics = evaluate.training_metrics(panel.predictions(prepared.frame))
     return evaluate.compare_models(metrics, panel.cv_frame(spark))
 
@@ -1005,8 +1005,7 @@ def m14_train_and_score(spark, sf):
 @query
 def m15_train_all(spark, sf):
     prepared = prepared_panel(spark, sf)
-    small = {"random_forest": {"n_estimators": 10, "max_depth": 5}, "xgboost": {"n_estimators": 5, "max_depth": 3}}
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), params=small)
+    panel = models.train_panel(prepared.frame, prepared.features_by_symbol())
     exact = (F.col("split") == "train") & F.col("model").isin("decision_tree", "lasso")  # right on average where the fit says so
     facts = panel.predictions(prepared.frame).groupBy("symbol", "model", "split").agg(
         F.count("prediction").alias("rows"), F.avg("prediction").alias("mean"))
@@ -1016,8 +1015,8 @@ def m15_train_all(spark, sf):
 @query
 def m15_pooled(spark, sf):
     """More symbols than per-symbol jobs are sensible for: one pooled model per type."""
-    prepared = pipeline.preprocess(bars_supp(spark, sf), pipeline.PipelineConfig(feature_window=2))
-    panel = models.train_panel(prepared.frame, prepared.spec.names, ["decision_tree", "lasso"], {"lasso": {"alpha": 0.01}})
+    prepared = pipeline.preprocess(bars_supp(spark, sf))
+    panel = models.train_panel(prepared.frame, prepared.spec.names, params={"lasso": {"alpha": 0.01}}, mode="pooled")
     return evaluate.training_metrics(panel.predictions(prepared.frame), by=("model", "split"))
 
 
@@ -1063,8 +1062,8 @@ def m20_backtest(spark, sf):
 
 @query
 def m20_backtest_models(spark, sf):
-    """Backtest with trained models instead of SQL forecasters, without cross-validation: what SQL can know of its rows."""
-    rows = pipeline.run_experiment(bars_flag(spark, sf), replace(few_models(), cross_validation_folds=0), 30, at=T0).predictions
+    """Backtest with trained models of every type instead of SQL forecasters: what SQL can know of its rows."""
+    rows = pipeline.run_experiment(bars_flag(spark, sf), prediction_days=30, at=T0).predictions
     value, actual = F.col("predicted_value"), F.col("actual_value")
     inside = (F.col("confidence_lower") <= value) & (value <= F.col("confidence_upper"))
     wrong = F.abs(F.col("absolute_error") - F.abs(value - actual)) > 1e-9
@@ -1108,6 +1107,14 @@ def m24_pipeline(spark, sf):
         "symbol", *told, F.coalesce(F.col("best_model").isin(*few_models().model_types), F.lit(False)).alias("best_is_known"), (F.col("avg_test_mse") > 0).alias("scored"))
 
 
+@query
+def m24_pipeline_whole(spark, sf):
+    """The whole pipeline: every model type, tuned before its fit."""
+    config = pipeline.PipelineConfig(enable_tuning=True)
+    results = pipeline.run_experiment(bars_flag(spark, sf), config, 30, fresh_path(spark, "experiments"), at=T0)
+    return results.summary
+
+
 @query
 def k8_importance(spark, sf):
     prepared = prepared_panel(spark, sf)
@@ -1174,12 +1181,11 @@ def u1_metric_registry(spark, sf):
 
 @query
 def u2_model_factory(spark, sf):
-    """Every model type by name, trained on the rows of all symbols at once; smallest useful parameters."""
+    """Every model type by name, trained on the rows of all symbols at once, with its default parameters."""
     prepared = prepared_panel(spark, sf)
     train = prepared.frame.where(F.col("split") == "train")
-    quick = {"random_forest": {"n_estimators": 3, "max_depth": 3}, "xgboost": {"n_estimators": 3, "max_depth": 2}}
     parts = [
-        models.predict(models.fit(train, SCORED, t, quick.get(t)), prepared.frame).select(
+        models.predict(models.fit(train, SCORED, t), prepared.frame).select(
             "symbol", F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"), F.lit(t).alias("model"))
         for t in models.MODEL_TYPES
     ]

@@ -1,0 +1,64 @@
+"""Registered training queries ask their operators for the whole job. Training itself is not run here."""
+
+import pytest
+
+from barline.operators import models
+from barline.plans import pipeline, queries
+
+
+class Asked(Exception):
+    pass
+
+
+@pytest.fixture
+def asked(monkeypatch):
+    """What the first call of an operator was given."""
+    got = {}
+
+    def stop(name):
+        def run(*args, **named):
+            got.update(name=name, args=args, **named)
+            raise Asked
+        return run
+
+    prepared = type("Prepared", (), {"frame": None, "spec": pipeline.PipelineConfig().spec, "features_by_symbol": lambda self: {}})()
+    for name in ("bars_flag", "bars_supp"):
+        monkeypatch.setattr(queries, name, lambda spark, sf: None)
+    monkeypatch.setattr(queries, "fresh_path", lambda *a: "nowhere")
+    monkeypatch.setattr(pipeline, "preprocess", lambda bars, config=pipeline.PipelineConfig(): got.update(config=config) or prepared)
+    monkeypatch.setattr(models, "train_panel", stop("train_panel"))
+    monkeypatch.setattr(pipeline, "run_experiment", stop("run_experiment"))
+
+    def ask(query):
+        got.clear()
+        with pytest.raises(Asked):
+            queries.QUERIES[query](None, "")
+        return got
+    return ask
+
+
+@pytest.mark.parametrize("query,named", [
+    ("m14_train_and_score", {"folds": 5}), ("m15_train_all", {}), ("m15_pooled", {"params": {"lasso": {"alpha": 0.01}}, "mode": "pooled"})])
+def test_training_queries_use_every_type_with_default_sizes(asked, query, named):
+    got = asked(query)
+    assert got.pop("name") == "train_panel" and len(got.pop("args")) == 2  # no list of types
+    assert got.pop("config") == pipeline.PipelineConfig() and got == named
+
+
+def test_experiments_use_the_default_configuration(asked):
+    assert len(asked("m20_backtest_models")["args"]) == 1
+    assert asked("m24_pipeline_whole")["args"][1] == pipeline.PipelineConfig(enable_tuning=True)
+
+
+def test_model_factory_uses_default_parameters(monkeypatch):
+    from unittest.mock import MagicMock
+
+    calls = []
+    monkeypatch.setattr(queries, "prepared_panel", MagicMock())
+    monkeypatch.setattr(queries, "F", MagicMock())
+    monkeypatch.setattr(queries, "reduce", lambda f, parts: parts)
+    monkeypatch.setattr(queries.evaluate, "metric_rows", lambda *a, **b: None)
+    monkeypatch.setattr(models, "predict", MagicMock())
+    monkeypatch.setattr(models, "fit", lambda rows, features, *asked: calls.append(asked))
+    queries.u2_model_factory(None, "")
+    assert calls == [(t,) for t in models.MODEL_TYPES]
