@@ -980,18 +980,23 @@ def m12_search_folds(spark, sf):
     for symbol, names in prepared.features_by_symbol().items():
         train = models.rows_of(prepared.frame, symbol).where(F.col("split") == "train")
         train = train.withColumn("n", F.lit(train.count()))
-        found = search.tune_by_folds(train, names, "decision_tree", 1, 1, folds=2)
-        part = found.frame(spark).withColumn("symbol", F.lit(symbol))
-        out = part if out is None else out.unionByName(part)
+        for model_type in models.MODEL_TYPES:
+            found = search.tune_by_folds(train, names, model_type)
+            part = found.frame(spark).withColumn("symbol", F.lit(symbol)).withColumn("model", F.lit(model_type))
+            out = part if out is None else out.unionByName(part)
     return out
 
 
 @query
 def m13_search_validation(spark, sf):
     rows = supervised_frame(bars_supp(spark, sf).withColumn("today", F.col("close")))
-    tuned = search.tune_on_validation(rows, ["open", "high", "low", "volume"], "lasso", init_points=2, iterations=1)
-    pairs = tuned.predictions.select(F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"))
-    return evaluate.split_metrics(pairs)
+    out = None
+    for model_type in models.MODEL_TYPES:
+        tuned = search.tune_on_validation(rows, ["open", "high", "low", "volume"], model_type)
+        pairs = tuned.predictions.select(F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"))
+        part = evaluate.split_metrics(pairs).withColumn("model", F.lit(model_type))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 @query

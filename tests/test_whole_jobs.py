@@ -62,3 +62,17 @@ def test_model_factory_uses_default_parameters(monkeypatch):
     monkeypatch.setattr(models, "fit", lambda rows, features, *asked: calls.append(asked))
     queries.u2_model_factory(None, "")
     assert calls == [(t,) for t in models.MODEL_TYPES]
+
+
+@pytest.mark.parametrize("query,operator,symbols", [("m12_search_folds", "tune_by_folds", 2), ("m13_search_validation", "tune_on_validation", 1)])
+def test_searches_take_every_type_with_default_trials(monkeypatch, query, operator, symbols):
+    from unittest.mock import MagicMock
+
+    calls, prepared = [], MagicMock()
+    prepared.features_by_symbol.return_value = {f"S{k}": ["a"] for k in range(symbols)}
+    monkeypatch.setattr(queries, "prepared_panel", lambda *a: prepared)
+    for owner, name in ((queries, "F"), (queries, "bars_supp"), (queries, "supervised_frame"), (queries.evaluate, "split_metrics"), (models, "rows_of")):
+        monkeypatch.setattr(owner, name, MagicMock())
+    monkeypatch.setattr(queries.search, operator, lambda rows, features, *asked, **named: calls.append((*asked, named)) or MagicMock())
+    queries.QUERIES[query](None, "")
+    assert calls == [(t, {}) for t in models.MODEL_TYPES] * symbols
