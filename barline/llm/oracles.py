@@ -133,3 +133,61 @@ convs AS (
 one_each AS (SELECT min(conv_id) AS conv_id, l, any_value(text) AS text FROM convs GROUP BY l)
 SELECT conv_id, CAST(len(l) AS BIGINT) AS n_turns, text FROM one_each a
 WHERE NOT EXISTS (SELECT 1 FROM one_each b WHERE b.l[1] = a.l[1] AND len(b.l) > len(a.l) AND b.l[1 : len(a.l)] = a.l)"""
+
+
+ORACLES["op12_prefix_trie"] = rf"""
+WITH {CRC_TABLE},
+turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+convs AS (
+  SELECT conv_id, list({{'r': role, 't': text}} ORDER BY turn NULLS FIRST, md5(md5(role) || md5(text))) AS l, hex(encode(CAST(conv_id AS VARCHAR))) AS h
+  FROM turns GROUP BY conv_id),
+heads AS (
+  SELECT conv_id, l, xor(4294967295, list_reduce(list_transform(range(len(h) // 2), lambda i: CAST(CAST('0x' || h[2 * i + 1 : 2 * i + 2] AS INTEGER) AS BIGINT)),
+    lambda c, b: xor(c >> 8, t[1 + xor(c & 255, b)]), 4294967295)) % 4 AS h FROM convs, crc_table),
+rebuilt AS (
+  SELECT a.conv_id, list_concat(coalesce(b.l[1 : a.h], []), a.l[a.h + 1 :]) AS l FROM heads a LEFT JOIN convs b ON b.conv_id = a.conv_id - a.conv_id % 20),
+starts AS (SELECT conv_id, d, len(l) AS n, l[1 : d] AS p FROM (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM rebuilt)),
+nodes AS (
+  SELECT d, p, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256,
+    (count(*) - 1) * CASE WHEN d = 0 THEN 0 ELSE len(regexp_extract_all(p[d].t, '[^\x20\x09-\x0D]+')) END AS saved
+  FROM starts GROUP BY d, p),
+parents AS (
+  SELECT c.d, c.p, q.conv_id AS parent_conv_id FROM nodes c JOIN nodes q ON q.d = c.d - 1 AND q.p = c.p[1 : c.d - 1]),
+children AS (SELECT d - 1 AS d, p[1 : d - 1] AS p, count(*) AS n FROM nodes WHERE d > 0 GROUP BY 1, 2),
+told AS (SELECT nodes.*, coalesce(children.n, 0) AS n_children FROM nodes LEFT JOIN children ON children.d = nodes.d AND children.p = nodes.p),
+above AS (SELECT n_children, saved, p, unnest(range(d + 1)) AS up FROM told),
+totals AS (SELECT up AS d, p[1 : up] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(saved) AS saved_tokens FROM above GROUP BY 1, 2)
+SELECT conv_id, told.d AS depth, parent_conv_id, n_convs, n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, ends_sha256
+FROM told JOIN totals ON totals.d = told.d AND totals.p = told.p LEFT JOIN parents ON parents.d = told.d AND parents.p = told.p"""
+
+ORACLES["op13_filter_audit"] = r"""
+WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text FROM documents),
+firsts AS (SELECT text, min(doc_id) AS first FROM docs GROUP BY text),
+split AS (
+  SELECT doc_id, part, text, coalesce(doc_id > first, false) AS again, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM docs JOIN firsts USING (text)),
+marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+judged AS (
+  SELECT part, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic,
+    (CASE WHEN len(w) < 200 THEN 'A' ELSE '' END) || (CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END)
+    || (CASE WHEN 100 * (length(text) - length(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', ''))) > 3 * length(text) THEN 'C' ELSE '' END)
+    || (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 'D' ELSE '' END) || (CASE WHEN again THEN 'E' ELSE '' END) AS fails
+  FROM split LEFT JOIN marks USING (doc_id)),
+counts AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM judged GROUP BY ALL),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+orders AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5),
+steps AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+met AS (
+  SELECT part, filter_order, step, n, good, toxic, fails = filter_order[step] AS alone, contains(fails, filter_order[step]) AS fail,
+    len(list_filter(string_split(filter_order[1 : step - 1], ''), lambda x: x <> '' AND contains(fails, x))) = 0 AS passed
+  FROM counts, steps),
+audit AS (
+  SELECT part, filter_order, CAST(step AS INTEGER) AS step, sum(n) FILTER (passed AND NOT fail) AS kept, sum(n) FILTER (passed AND fail) AS removed,
+    sum(n) FILTER (fail AND NOT passed) AS redundant, sum(n) FILTER (alone) AS unique_fails, sum(good) FILTER (passed AND fail) AS good_lost,
+    sum(toxic) FILTER (passed AND fail) AS toxic_lost FROM met GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed,
+  CAST(coalesce(redundant, 0) AS BIGINT) AS redundant, CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails,
+  CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter_order[step]), 0) AS BIGINT) AS shapley FROM audit"""

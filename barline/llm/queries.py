@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from barline.llm import chat, decontaminate, language, neardup, packing, repeats, shards, token_counts, topk, url_filter
+from barline.llm import (
+    chat, decontaminate, filter_audit, language, neardup, packing, quality, repeats, shards, token_counts, topk, turn_trie, url_filter)
 from barline.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -66,3 +67,18 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return turn_trie.rebuilt_trie(table(spark, sf_dir, "conversations"))
+
+
+@query
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
