@@ -1,40 +1,24 @@
-"""Spark ML regressors by name, training per symbol or pooled, cross-validation and prediction.
-
-Tree models follow Spark ML: splits are binned, a depth of at most 30, and the smallest leaf is the only size
-limit of a node, so their numbers are close to but not the same as those of other implementations. What has no
-counterpart there (min_samples_split, a greater depth) is refused instead of ignored.
-"""
+"""Regressors by name: their parameters, defaults, search boxes, and which fits can serve several parameter sets."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
-from functools import reduce
-
-from pyspark.ml import Estimator, Model, Pipeline, PipelineModel
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import (
-    DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor,
-)
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from barline.operators.splits import expanding_folds
+import json
+from collections.abc import Mapping
+from dataclasses import dataclass
 
 MODEL_TYPES = ("decision_tree", "random_forest", "xgboost", "lasso")
 
 # Default parameters per model.
-DEFAULT_PARAMS: dict[str, dict[str, float]] = {
-    "decision_tree": {"max_depth": 10, "min_samples_leaf": 2},
-    "random_forest": {"n_estimators": 100, "max_depth": 10, "min_samples_leaf": 2},
+DEFAULT_PARAMS: dict[str, dict[str, float | None]] = {
+    "decision_tree": {"max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2},
+    "random_forest": {"n_estimators": 100, "max_depth": 10, "min_samples_split": 5, "min_samples_leaf": 2},
     "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1, "subsample": 0.8, "colsample_bytree": 0.8},
     "lasso": {"alpha": 1.0, "max_iter": 1000},
 }
 # Search bounds of the search over folds.
 SEARCH_BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
-    "decision_tree": {"max_depth": (3, 20), "min_samples_leaf": (1, 10)},
-    "random_forest": {"n_estimators": (50, 200), "max_depth": (3, 20), "min_samples_leaf": (1, 10)},
+    "decision_tree": {"max_depth": (3, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 10)},
+    "random_forest": {"n_estimators": (50, 200), "max_depth": (3, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 10)},
     "xgboost": {
         "n_estimators": (50, 200), "max_depth": (3, 10), "learning_rate": (0.01, 0.3),
         "subsample": (0.6, 1.0), "colsample_bytree": (0.6, 1.0),
@@ -43,20 +27,33 @@ SEARCH_BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
 }
 # Search bounds of the search on validation rows.
 VALIDATION_SEARCH_BOUNDS: dict[str, dict[str, tuple[float, float]]] = {
-    "decision_tree": {"max_depth": (2, 20), "min_samples_leaf": (1, 20)},
-    "random_forest": {"n_estimators": (10, 200), "max_depth": (2, 20)},
+    "decision_tree": {"max_depth": (2, 20), "min_samples_split": (2, 20), "min_samples_leaf": (1, 20)},
+    "random_forest": {"n_estimators": (10, 200), "max_depth": (2, 20), "min_samples_split": (2, 20)},
     "xgboost": {"n_estimators": (10, 200), "max_depth": (2, 10), "learning_rate": (0.01, 0.3)},
     "lasso": {"alpha": (0.001, 10.0), "max_iter": (100, 5000), "tol": (0.0001, 0.01)},
 }
 # What a request that names no parameters gets.
 REQUEST_DEFAULTS: dict[str, dict[str, float | None]] = {
-    "decision_tree": {"max_depth": None, "min_samples_leaf": 1},
-    "random_forest": {"n_estimators": 100, "max_depth": None},
+    "decision_tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
+    "random_forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2},
     "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.1},
     "lasso": {"alpha": 1.0, "max_iter": 1000, "tol": 0.0001},
 }
-WHOLE_NUMBERS = {"n_estimators", "max_depth", "min_samples_leaf", "max_iter"}
-DEEPEST = 30  # of Spark ML; also what "no limit" means
+# What a model takes for parameters that neither the caller nor its defaults name.
+UNNAMED: dict[str, dict[str, float | None]] = {
+    "decision_tree": {"max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
+    "random_forest": {"n_estimators": 100, "max_depth": None, "min_samples_split": 2, "min_samples_leaf": 1},
+    "xgboost": {"n_estimators": 100, "max_depth": 6, "learning_rate": 0.3, "subsample": 1.0, "colsample_bytree": 1.0},
+    "lasso": {"alpha": 1.0, "max_iter": 1000, "tol": 0.0001},
+}
+WHOLE_NUMBERS = {"n_estimators", "max_depth", "min_samples_split", "min_samples_leaf", "max_iter"}
+#: Least allowed values.
+LEAST = {
+    "n_estimators": 1, "max_depth": 1, "min_samples_split": 2, "min_samples_leaf": 1, "max_iter": 1, "alpha": 0.0, "tol": 0.0, "learning_rate": 0.0,
+    "subsample": 0.0, "colsample_bytree": 0.0}
+#: Parameters that a larger fit has inside it: it serves every set that differs in these alone.
+NESTED = {"decision_tree": ("max_depth", "min_samples_split"), "random_forest": ("n_estimators", "max_depth", "min_samples_split"), "xgboost": ("n_estimators",),
+          "lasso": ("alpha", "max_iter", "tol")}
 SEED = 42
 
 
@@ -68,204 +65,32 @@ def whole(params: Mapping[str, float | None]) -> dict[str, float | None]:
     return out
 
 
-def _tree_args(p: dict, seed: int) -> dict:
-    depth = p.get("max_depth")
-    if depth is not None and depth > DEEPEST:
-        raise ValueError(f"max_depth is at most {DEEPEST}, not {depth}")
-    return {
-        "maxDepth": DEEPEST if depth is None else depth,
-        "minInstancesPerNode": p.get("min_samples_leaf") or 1,
-        "seed": seed, "featuresCol": "features", "labelCol": "target", "maxBins": 32,
-    }
-
-
-def _decision_tree(p: dict, seed: int) -> Estimator:
-    return DecisionTreeRegressor(**_tree_args(p, seed))
-
-
-def _random_forest(p: dict, seed: int) -> Estimator:
-    return RandomForestRegressor(numTrees=p["n_estimators"], featureSubsetStrategy="all", **_tree_args(p, seed))
-
-
-def _boosted_trees(p: dict, seed: int) -> Estimator:
-    return GBTRegressor(
-        maxIter=p["n_estimators"], stepSize=p["learning_rate"], subsamplingRate=p.get("subsample", 1.0),
-        featureSubsetStrategy=str(p.get("colsample_bytree", "all")), **_tree_args(p, seed),
-    )
-
+@dataclass(frozen=True)
+class ModelSpec:
+    """A model type with every parameter it takes."""
 
-def _lasso(p: dict, seed: int) -> Estimator:
-    return LinearRegression(
-        regParam=p["alpha"], elasticNetParam=1.0, standardization=False, maxIter=p["max_iter"],
-        tol=p.get("tol", 1e-4), featuresCol="features", labelCol="target",
-    )
+    model: str
+    params: Mapping[str, float | None]
 
+    @property
+    def json(self) -> str:
+        return json.dumps(dict(self.params), sort_keys=True)
 
-FACTORY: dict[str, Callable[[dict, int], Estimator]] = {
-    "decision_tree": _decision_tree,
-    "random_forest": _random_forest,
-    "xgboost": _boosted_trees,
-    "lasso": _lasso,
-}
+    @property
+    def share(self) -> str:
+        """Sets with the same share come from one fit."""
+        return json.dumps({k: v for k, v in self.params.items() if k not in NESTED[self.model]}, sort_keys=True)
 
 
-def create_model(model_type: str, params: Mapping[str, float | None] | None = None, seed: int = SEED) -> Estimator:
-    """Estimator by name with defaults filled in; reads `features`, predicts `target`."""
-    if model_type not in FACTORY:
-        raise ValueError(f"Unknown model type: {model_type}")
-    known = {*DEFAULT_PARAMS[model_type], *VALIDATION_SEARCH_BOUNDS[model_type]}
-    if unknown := sorted({*(params or {})} - known):
+def create_model(model_type: str, params: Mapping[str, float | None] | None = None, defaults: Mapping[str, Mapping] = DEFAULT_PARAMS) -> ModelSpec:
+    """A model by name with its defaults filled in."""
+    if model_type not in DEFAULT_PARAMS:
+        raise ValueError(f"no model type is called {model_type}; there are {', '.join(MODEL_TYPES)}")
+    known = UNNAMED[model_type]
+    if unknown := sorted({*(params or {})} - {*known}):
         raise ValueError(f"{model_type} has no parameter {', '.join(unknown)}; there are {', '.join(sorted(known))}")
-    return FACTORY[model_type](whole({**DEFAULT_PARAMS[model_type], **(params or {})}), seed)
-
-
-def fit(
-    rows: DataFrame, features: Sequence[str], model_type: str,
-    params: Mapping[str, float | None] | None = None, seed: int = SEED,
-) -> PipelineModel:
-    stages = [VectorAssembler(inputCols=list(features), outputCol="features"), create_model(model_type, params, seed)]
-    return Pipeline(stages=stages).fit(rows)
-
-
-def predict(model: Model, rows: DataFrame) -> DataFrame:
-    return model.transform(rows).drop("features")
-
-
-def cross_validate(
-    rows: DataFrame, features: Sequence[str], model_type: str,
-    params: Mapping[str, float | None] | None = None, folds: int = 5, seed: int = SEED,
-) -> list[float]:
-    """Negative mean squared error per expanding-window fold; rows carry pos and n of what they are."""
-    marked = expanding_folds(rows, folds)
-
-    def score(fold: int) -> float:
-        part = marked.where(F.col("fold") == fold)
-        model = fit(part.where(F.col("role") == "train"), features, model_type, params, seed)
-        err = F.col("prediction") - F.col("target")
-        return -predict(model, part.where(F.col("role") == "test")).agg(F.avg(err * err)).first()[0]
-
-    with ThreadPoolExecutor(max_workers=min(folds, 4)) as pool:
-        return list(pool.map(score, range(folds)))
-
-
-def importances(model: PipelineModel, features: Sequence[str], spark: SparkSession) -> DataFrame:
-    """(feature, importance), most important first; empty for models that have none."""
-    last = model.stages[-1]
-    weights = last.featureImportances.toArray() if hasattr(last, "featureImportances") else []
-    rows = [(f, float(w)) for f, w in zip(features, weights)]
-    return spark.createDataFrame(rows, "feature string, importance double").orderBy(F.desc("importance"), "feature")
-
-
-def save_model(model: PipelineModel, path: str) -> None:
-    model.write().overwrite().save(path)
-
-
-def load_model(path: str) -> PipelineModel:
-    return PipelineModel.load(path)
-
-
-SYMBOL_BUCKETS = 64
-
-
-def symbol_bucket(symbol: str | Column) -> Column:
-    """Where a staged frame keeps a symbol: as column `symbol_bucket` it lets a fit read one bucket instead of all."""
-    return F.pmod(F.xxhash64(F.lit(symbol) if isinstance(symbol, str) else symbol), F.lit(SYMBOL_BUCKETS)).cast("int")
-
-
-def rows_of(frame: DataFrame, symbol: str) -> DataFrame:
-    own = frame.where(F.col("symbol") == symbol)
-    return own.where(F.col("symbol_bucket") == symbol_bucket(symbol)) if "symbol_bucket" in frame.columns else own
-
-
-@dataclass
-class TrainedPanel:
-    """Models of a panel; the key is (symbol, model type), the symbol is '*' for a pooled model.
-
-    `failures` holds (symbol, model type, step) -> reason, the step being search, fit or folds; `params` what was fitted.
-    """
-
-    models: dict[tuple[str, str], PipelineModel]
-    features: dict[str, list[str]]
-    cv_scores: list[tuple[str, str, int, float]] = field(default_factory=list)
-    failures: dict[tuple[str, str, str], str] = field(default_factory=dict)
-    params: dict[tuple[str, str], dict] = field(default_factory=dict)
-
-    def predictions(self, frame: DataFrame, keep: Sequence[str] = ("symbol", "date", "split", "target")) -> DataFrame:
-        """Long rows: `keep`, model, prediction."""
-        parts = []
-        for (symbol, model_type), model in self.models.items():
-            rows = frame if symbol == "*" else rows_of(frame, symbol)
-            out = predict(model, rows)
-            if symbol == "*":
-                out = out.withColumn("prediction", F.col("close") * (1 + F.col("prediction")))
-            parts.append(out.select(*keep, F.lit(model_type).alias("model"), "prediction"))
-        return reduce(DataFrame.unionByName, parts)
-
-    def cv_frame(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.cv_scores, "symbol string, model string, fold int, score double")
-
-
-MODES = ("per_symbol", "pooled")
-
-
-def train_panel(
-    prepared: DataFrame, features: Mapping[str, Sequence[str]] | Sequence[str],
-    model_types: Sequence[str] = MODEL_TYPES, params: Mapping[str, Mapping[str, float | None]] | None = None,
-    folds: int = 0, threads: int = 4, seed: int = SEED, mode: str = "per_symbol",
-    tune: Callable[[DataFrame, Sequence[str], str], Mapping[str, float | None]] | None = None,
-) -> TrainedPanel:
-    """Train every model type on a prepared frame (`split`, `target`, scaled features).
-
-    mode "per_symbol": each symbol gets its own models, whatever other symbols there are: independent Spark jobs, `threads`
-    at a time, symbol after symbol. mode "pooled": one model per type on all rows at once, with the relative change
-    of the close as its label so that price levels do not matter; use it where a job per symbol is too many.
-    Both take folds and chosen features (pooled: the union of what symbols chose). `tune` gets train rows, features and
-    type, and returns parameters that override the given ones before the fit. A step that fails is recorded; a failing
-    cross-validation does not cost the model.
-    """
-    if mode not in MODES:
-        raise ValueError(f"mode is one of {MODES}, not {mode}")
-    spark, params = prepared.sparkSession, params or {}
-    train = prepared.where(F.col("split") == "train")
-    if mode == "pooled":
-        shared = list(features) if not isinstance(features, Mapping) else sorted(set().union(*features.values()))
-        label = F.try_divide(F.col("target"), F.col("close")) - 1
-        train = train.withColumn("target", label).where(F.col("target").isNotNull())
-        chosen = {"*": shared}
-    else:
-        names = sorted(r.symbol for r in train.select("symbol").distinct().toLocalIterator())
-        chosen = {s: list(features[s] if isinstance(features, Mapping) else features) for s in names}
-    panel = TrainedPanel({}, chosen)
-
-    def job(symbol: str, model_type: str) -> None:
-        rows = train if symbol == "*" else rows_of(train, symbol)
-        own = dict(params.get(model_type, {}))
-
-        def step(name: str, run: Callable) -> object:
-            try:
-                return run()
-            except Exception as e:  # one failing model must not stop the others
-                panel.failures[(symbol, model_type, name)] = str(e)
-                return None
-
-        counted = rows
-        if folds or tune:
-            by_symbol = rows.groupBy("symbol").agg(F.count("*").alias("n"))
-            counted = rows.drop("n").join(by_symbol, "symbol") if symbol == "*" else rows.withColumn("n", F.lit(rows.count()))
-        if tune:
-            own |= step("search", lambda: tune(counted, chosen[symbol], model_type)) or {}
-        model = step("fit", lambda: fit(rows, chosen[symbol], model_type, own, seed))
-        if model is None:
-            return
-        panel.models[(symbol, model_type)] = model
-        panel.params[(symbol, model_type)] = whole({**DEFAULT_PARAMS[model_type], **own})
-        if folds:
-            scores = step("folds", lambda: cross_validate(counted, chosen[symbol], model_type, own, folds, seed)) or []
-            panel.cv_scores += [(symbol, model_type, i, s) for i, s in enumerate(scores)]
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        for done in [pool.submit(job, s, t) for s in chosen for t in model_types]:
-            done.result()
-    panel.models = dict(sorted(panel.models.items()))
-    panel.cv_scores.sort()
-    return panel
+    full = whole({**known, **defaults[model_type], **(params or {})})
+    for name, value in full.items():
+        if value is None and name != "max_depth" or value is not None and not value >= LEAST[name]:
+            raise ValueError(f"{name} is at least {LEAST[name]}, not {value}")
+    return ModelSpec(model_type, full)

@@ -1,22 +1,32 @@
-"""Hyper-parameter search: one loop, candidates from a low-discrepancy sequence, scored by Spark jobs."""
+"""Hyper-parameter search: the first sets spread over the box, each later one is proposed from what was scored.
+
+A Gaussian process over the unit box gives the expected improvement of some hundred points; the best of them is next. Proposals are made for every
+(symbol, model) at once, from its own trials, a few at a time (AT_ONCE; a proposed point counts with the mean score until it is scored), and
+scored by Spark for all of them together.
+"""
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Callable, Mapping, Sequence
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions import metrics as M
-from barline.operators import models
-from barline.operators.models import SEARCH_BOUNDS, SEED, VALIDATION_SEARCH_BOUNDS, cross_validate, fit, predict, whole
+from barline.operators import panel
+from barline.operators.models import SEARCH_BOUNDS, SEED, VALIDATION_SEARCH_BOUNDS, create_model
 from barline.operators.splits import split_by_ratio
+from barline.sources.scratch import stage
 
-THREADS = 4
+Bounds = Mapping[str, tuple[float, float]]
+#: Points whose expected improvement is looked at, the process's length in the unit box, and its noise.
+LOOKED_AT, LENGTH, NOISE = 512, 0.3, 1e-4
+#: Points that are proposed before the next are scored.
+AT_ONCE = 4
 
 
 def _primes(count: int) -> list[int]:
@@ -38,7 +48,7 @@ def _digit_mirror(i: int, base: int) -> float:
     return out
 
 
-def candidates(bounds: Mapping[str, tuple[float, float]], count: int, seed: int = SEED) -> list[dict[str, float]]:
+def candidates(bounds: Bounds, count: int, seed: int = SEED) -> list[dict[str, float]]:
     """`count` parameter sets spread evenly over the box (a seeded Halton sequence)."""
     out = []
     for i in range(count):
@@ -49,90 +59,176 @@ def candidates(bounds: Mapping[str, tuple[float, float]], count: int, seed: int
     return out
 
 
+def _kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.exp(-((a[:, None, :] - b[None, :, :]) ** 2).sum(axis=2) / (2 * LENGTH**2 * a.shape[1]))
+
+
+def propose(bounds: Bounds, points: Sequence[Mapping[str, float]], scores: Sequence[float], seed: int = SEED) -> dict[str, float]:
+    """The next point of the box. A score that is no number counts as the worst one seen."""
+    names = list(bounds)
+    low, high = np.array([bounds[n] for n in names], float).T
+    at = np.array([[p[n] for n in names] for p in points], float)
+    at = (at - low) / np.where(high > low, high - low, 1)
+    y = np.array([s if s is not None and math.isfinite(s) else np.nan for s in scores], float)
+    draw = np.random.default_rng([seed, len(points)])
+    looked = draw.random((LOOKED_AT, len(names)))
+    if np.isnan(y).all():
+        best = looked[0]
+    else:
+        y = np.where(np.isnan(y), np.nanmin(y), y)
+        # half of what is looked at lies near the best point so far
+        near = at[y.argmax()] + draw.normal(scale=0.1, size=(LOOKED_AT // 2, len(names)))
+        looked[: LOOKED_AT // 2] = np.clip(near, 0, 1)
+        # ranks, so that one terrible score doesn't flatten all others
+        z = np.argsort(np.argsort(y, kind="stable"), kind="stable") / max(len(y) - 1, 1) * 0.5 + 0.5 * (y - y.min()) / max(np.ptp(y), 1e-300)
+        z = (z - z.mean()) / max(z.std(), 1e-9)
+        inverse = np.linalg.inv(_kernel(at, at) + NOISE * np.eye(len(at)))
+        cross = _kernel(looked, at)
+        mean = cross @ inverse @ z
+        spread = np.sqrt(np.maximum(1 - np.einsum("ij,jk,ik->i", cross, inverse, cross), 1e-12))
+        ahead = (mean - z.max() - 0.01) / spread
+        density = np.exp(-(ahead**2) / 2) / math.sqrt(2 * math.pi)
+        below = 0.5 * (1 + np.vectorize(math.erf)(ahead / math.sqrt(2)))
+        best = looked[(spread * (ahead * below + density)).argmax()]
+    return {n: float(v) for n, v in zip(names, low + (high - low) * best)}
+
+
+def tune_one(
+    score: Callable[[dict], float], model_type: str, init_points: int, iterations: int, seed: int = SEED, fixed: Mapping | None = None, bounds: Bounds | None = None,
+) -> dict[str, float]:
+    """The best set of one search whose trials are scored by a function, one after another."""
+    bounds = bounds or SEARCH_BOUNDS[model_type]
+    points = candidates(bounds, init_points, seed)
+    scores = [score({**(fixed or {}), **p}) for p in points]
+    for _ in range(iterations):
+        points.append(propose(bounds, points, scores, seed))
+        scores.append(score({**(fixed or {}), **points[-1]}))
+    return {**(fixed or {}), **points[int(np.argmax(np.nan_to_num(scores, nan=-np.inf)))]}
+
+
 @dataclass
 class SearchResult:
-    best_params: dict[str, float | None]
-    best_score: float
-    trials: list[tuple[int, dict[str, float | None], float]]
-    failures: dict[int, str] = field(default_factory=dict)
+    """trials: symbol, model, trial, point (where in the box), params, share, score. best: symbol, model, trial, params, share. failures: symbol,
+    model, step, reason."""
 
-    def frame(self, spark: SparkSession) -> DataFrame:
-        rows = [(i, {k: float(v) for k, v in p.items() if v is not None}, s) for i, p, s in self.trials]
-        return spark.createDataFrame(rows, "trial int, params map<string,double>, score double")
+    trials: DataFrame
+    best: DataFrame
+    failures: DataFrame
 
 
-def search(
-    score: Callable[[dict[str, float | None]], float], trials: Sequence[dict[str, float]], threads: int = THREADS,
-) -> SearchResult:
-    """Evaluate all trials, a few at a time; the highest score wins, the earliest on a tie. A trial that fails, or scores
-    NaN, counts as -infinity and keeps its reason; if no trial succeeds there is no best set, and that is an error."""
-    failures: dict[int, str] = {}
-
-    def run(numbered: tuple[int, dict[str, float]]) -> tuple[int, dict[str, float | None], float]:
-        i, params = numbered[0], whole(numbered[1])
-        try:
-            value = score(params)
-            if value is None or math.isnan(value):
-                failures[i], value = "no score", -math.inf
-        except Exception as e:
-            failures[i], value = str(e), -math.inf
-        return i, params, value
-
-    with ThreadPoolExecutor(max_workers=threads) as pool:
-        done = list(pool.map(run, enumerate(trials)))
-    best = max(done, key=lambda t: (t[2], -t[0]), default=None)
-    if best is None or best[2] == -math.inf:
-        raise RuntimeError(f"No trial of {len(done)} succeeded: {failures}")
-    return SearchResult(best[1], best[2], done, failures)
+ASKED = "symbol string, model string, trial int, point string, params string, share string"
 
 
-def tune_by_folds(
-    rows: DataFrame, features: Sequence[str], model_type: str, init_points: int = 5, iterations: int = 20,
-    folds: int = 5, seed: int = SEED,
+def _first(symbols: DataFrame, boxes: Mapping[str, Bounds], fixed: Mapping[str, Mapping], init_points: int, seed: int) -> DataFrame:
+    sets = []
+    for kind, bounds in boxes.items():
+        for i, point in enumerate(candidates(bounds, init_points, seed)):
+            spec = create_model(kind, {**fixed.get(kind, {}), **point})
+            sets.append(F.struct(F.lit(kind).alias("model"), F.lit(i).alias("trial"), F.lit(json.dumps(point)).alias("point"), F.lit(spec.json).alias("params"),
+                                 F.lit(spec.share).alias("share")))
+    return symbols.select("symbol", F.explode(F.array(*sets)).alias("s")).select("symbol", "s.*")
+
+
+def propose_some(bounds: Bounds, points: Sequence[Mapping[str, float]], scores: Sequence[float], count: int, seed: int = SEED) -> list[dict[str, float]]:
+    points, scores = list(points), list(scores)
+    known = [s for s in scores if s is not None and math.isfinite(s)]
+    out = []
+    for _ in range(count):
+        out.append(propose(bounds, points, scores, seed))
+        points.append(out[-1])
+        scores.append(sum(known) / len(known) if known else None)
+    return out
+
+
+def _next(trials: DataFrame, boxes: Mapping[str, Bounds], fixed: Mapping[str, Mapping], count: int, seed: int) -> DataFrame:
+    def ahead(key: tuple, own: pa.Table) -> pa.Table:
+        symbol, kind = (k.as_py() for k in key)
+        own = own.sort_by("trial")
+        points = propose_some(boxes[kind], [json.loads(p) for p in own.column("point").to_pylist()], own.column("score").to_pylist(), count, seed)
+        specs = [create_model(kind, {**fixed.get(kind, {}), **p}) for p in points]
+        return pa.table({
+            "symbol": [symbol] * count, "model": [kind] * count, "trial": pa.array(range(own.num_rows, own.num_rows + count), pa.int32()),
+            "point": [json.dumps(p) for p in points], "params": [s.json for s in specs], "share": [s.share for s in specs]})
+
+    return trials.groupBy("symbol", "model").applyInArrow(ahead, ASKED)
+
+
+def run_search(
+    symbols: DataFrame, boxes: Mapping[str, Bounds], score: Callable[[DataFrame], DataFrame], init_points: int, iterations: int, seed: int = SEED,
+    fixed: Mapping[str, Mapping] | None = None,
 ) -> SearchResult:
-    """Maximise the mean negative squared error over expanding-window folds of the train rows (with pos and n)."""
-    def score(params):
-        scores = cross_validate(rows, features, model_type, params, folds, seed)
-        return sum(scores) / len(scores)
+    """score: asked sets to symbol, model, trial, score. All symbols and models go through a trial together."""
+    fixed = fixed or {}
+
+    def scored(asked: DataFrame) -> DataFrame:
+        asked = stage(asked, "asked")
+        return asked.join(score(asked), ["symbol", "model", "trial"], "left")
 
-    return search(score, candidates(SEARCH_BOUNDS[model_type], init_points + iterations, seed))
+    trials = stage(scored(_first(symbols, boxes, fixed, init_points, seed)), "trials")
+    for done in range(0, iterations, AT_ONCE):
+        count = min(AT_ONCE, iterations - done)
+        trials = stage(trials.unionByName(scored(_next(trials, boxes, fixed, count, seed))), "trials")
+    known = trials.filter(F.col("score").isNotNull() & ~F.isnan("score"))
+    pick = F.max_by(F.struct("trial", "params", "share"), F.struct("score", -F.col("trial")))
+    best = known.groupBy("symbol", "model").agg(pick.alias("b")).select("symbol", "model", "b.*")
+    none = trials.select("symbol", "model").distinct().join(known, ["symbol", "model"], "left_anti").select(
+        "symbol", "model", F.lit("search").alias("step"), F.lit("no trial could be scored").alias("reason"))
+    return SearchResult(trials, best, none)
 
 
-def validation_objective(
-    supervised: DataFrame, features: Sequence[str], model_type: str, ratios: dict[str, float] | None = None, seed: int = SEED,
-) -> Callable[[Mapping[str, float | None]], float]:
-    """Score of a parameter set: negative percentage error on the validation part of a model fitted on the train part."""
-    frame = split_by_ratio(supervised, ratios)
-    train, val = frame.where(F.col("split") == "train"), frame.where(F.col("split") == "val")
+def _mean(scores: DataFrame) -> DataFrame:
+    return scores.groupBy("symbol", "model", "trial").agg(F.avg("score").alias("score"))
 
-    def score(params: Mapping[str, float | None]) -> float:
-        model = fit(train, features, model_type, params, seed)
-        return -predict(model, val).agg(M.mape(F.col("target"), F.col("prediction"))).first()[0]
 
-    return score
+def tune_by_folds(
+    packed: DataFrame | None, sums: DataFrame | None, chosen: DataFrame, columns: Sequence[str], model_types: Sequence[str], tuning: panel.Tuning = panel.Tuning(),
+    seed: int = SEED, fixed: Mapping[str, Mapping] | None = None,
+) -> SearchResult:
+    """Maximise the mean negative squared error over expanding-window folds of the train rows."""
+    def score(asked: DataFrame) -> DataFrame:
+        parts = []
+        if any(m != "lasso" for m in model_types):
+            parts.append(_mean(panel.scores(packed, asked.filter(F.col("model") != "lasso"), tuning.folds, seed=seed)))
+        if "lasso" in model_types:
+            parts.append(_mean(panel.lasso_scores(sums, chosen, asked.filter(F.col("model") == "lasso"), columns, tuning.folds)))
+        return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+
+    boxes = {m: SEARCH_BOUNDS[m] for m in model_types}
+    return run_search(chosen, boxes, score, tuning.init_points, tuning.iterations, seed, fixed)
 
 
 @dataclass
-class TunedModel:
-    model: PipelineModel
+class TunedModels:
     search: SearchResult
+    nodes: DataFrame
     predictions: DataFrame
 
 
+def by_validation(supervised: DataFrame, features: Sequence[str], ratios: dict[str, float] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The frame with its ratio split, packed train and validation rows, and the features of each symbol."""
+    frame = stage(split_by_ratio(supervised, ratios), "split")
+    rows = frame.filter(F.col("split") != "test").withColumn("role", F.when(F.col("split") == "train", panel.TRAIN).otherwise(panel.OTHER))
+    chosen = stage(panel.chosen_features(frame, features), "chosen")
+    return frame, panel.pack(rows, chosen, features), chosen
+
+
+def validation_scores(packed: DataFrame, asked: DataFrame, seed: int = SEED) -> DataFrame:
+    """symbol, model, trial, score: negative percentage error on the validation rows of models fitted on the train rows."""
+    return _mean(panel.scores(packed, asked, 0, "mape", seed))
+
+
 def tune_on_validation(
-    supervised: DataFrame, features: Sequence[str], model_type: str, ratios: dict[str, float] | None = None,
-    init_points: int = 5, iterations: int = 5, bounds: Mapping[str, tuple[float, float]] | None = None, seed: int = SEED,
-) -> TunedModel:
+    supervised: DataFrame, features: Sequence[str], model_types: Sequence[str], ratios: dict[str, float] | None = None, init_points: int = 5,
+    iterations: int = 5, bounds: Mapping[str, Bounds] | None = None, seed: int = SEED,
+) -> TunedModels:
     """Minimise the percentage error on the validation part of a ratio split, refit on train with the best set.
 
-    `predictions` holds symbol, date, pos, split, cut positions, close, target and prediction of every row.
+    `predictions` holds symbol, date, pos, split, cut positions, close, target, model and prediction of every row.
     """
-    frame = split_by_ratio(supervised, ratios)
-    train = frame.where(F.col("split") == "train")
-    score = validation_objective(supervised, features, model_type, ratios, seed)
-    found = search(score, candidates(bounds or VALIDATION_SEARCH_BOUNDS[model_type], init_points + iterations, seed))
-    model = fit(train, features, model_type, found.best_params, seed)
-    return TunedModel(model, found, predict(model, frame))
-
-
-__all__ = ["SearchResult", "TunedModel", "candidates", "models", "search", "tune_by_folds", "tune_on_validation", "validation_objective"]
+    frame, packed, chosen = by_validation(supervised, features, ratios)
+    boxes = {m: (bounds or VALIDATION_SEARCH_BOUNDS)[m] for m in model_types}
+    found = run_search(chosen, boxes, lambda asked: validation_scores(packed, asked, seed), init_points, iterations, seed)
+    nodes = stage(panel.fit_nodes(packed, stage(found.best, "best"), seed), "nodes")
+    nodes = nodes.filter(F.col("reason").isNull()).drop("reason")
+    keep = [c for c in frame.columns if c not in ("model", "prediction")]
+    return TunedModels(found, nodes, panel.predict(nodes, frame, keep))

@@ -659,14 +659,31 @@ ORACLES["s19_prediction_sink"] = ctes(*BACKTEST) + """
 SELECT symbol, count(*) AS rows, round(avg(predicted_value), 3) + 0.0 AS mean, count(*) AS in_sidecar FROM result GROUP BY 1"""
 ORACLES["s20_experiment_sink"] = "SELECT DISTINCT 'exp_1' AS experiment_id, l_returnflag AS symbol, CAST(4 AS BIGINT) AS models FROM lineitem"
 ORACLES["s21_metrics_sink"] = ctes(FLAG, NUM, PAIRS) + f"SELECT dataset, {pair_metrics('mape', 'r2')}, '2024-01-01 00:00:00' AS run_ts FROM pairs GROUP BY 1"
-ORACLES["u3_objective"] = ctes(FLAG, NUM, PAIRS) + """
-SELECT 1e12 AS alpha, round(-avg(abs(y_real - m) / greatest(abs(y_real), 2.220446049250313e-16)), 6) + 0.0 AS score
-FROM pairs, (SELECT avg(y_real) AS m FROM pairs WHERE dataset = 'train') WHERE dataset = 'val'"""
+ORACLES["u3_objective"] = ctes(FLAG, NUM, f"""told AS (
+  SELECT symbol, target, CASE WHEN pos <= floor((n - 1) * 6e-1) THEN 'train' WHEN pos <= floor((n - 1) * (6e-1 + 2e-1)) THEN 'val' ELSE 'test' END AS split
+  FROM (SELECT *, lead(close) OVER ({SER}) AS target FROM num) WHERE target IS NOT NULL)""") + """
+SELECT symbol, 1e12 AS alpha, round(-avg(abs(target - m) / greatest(abs(target), 2.220446049250313e-16)), 6) + 0.0 AS score
+FROM told JOIN (SELECT symbol, avg(target) AS m FROM told WHERE split = 'train' GROUP BY 1) USING (symbol) WHERE split = 'val' GROUP BY symbol"""
 SPLIT_ROWS = (FLAG, NUM, f"f2 AS (SELECT *, lead(close) OVER ({SER}) AS target FROM num)", ROWS2)
-ORACLES["m15_train_all"] = ctes(*SPLIT_ROWS) + """
-SELECT symbol, model, split, count(*) AS rows, CASE WHEN split = 'train' AND model IN ('decision_tree', 'lasso') THEN round(avg(target), 2) + 0.0 END AS mean
-FROM rows_, (VALUES ('decision_tree'), ('random_forest'), ('xgboost'), ('lasso')) m(model) GROUP BY symbol, model, split"""
-ORACLES["s22_model_sink"] = ctes(*SPLIT_ROWS) + "SELECT symbol, 'lasso' AS model, split, count(*) AS rows, count(*) AS same FROM rows_ GROUP BY ALL"
+TYPES = "(VALUES ('decision_tree'), ('random_forest'), ('xgboost'), ('lasso')) m(model)"
+ORACLES["m15_train_all"] = ctes(*SPLIT_ROWS) + f"""
+SELECT symbol, model, split, count(*) AS rows, CASE WHEN split = 'train' AND model IN ('decision_tree', 'lasso') THEN round(avg(target), 2) + 0.0 END AS mean,
+  TRUE AS inside_train FROM rows_, {TYPES} GROUP BY symbol, model, split"""
+ORACLES["s22_model_sink"] = ctes(*SPLIT_ROWS) + f"SELECT symbol, model, split, count(*) AS rows, count(*) AS same FROM rows_, {TYPES} GROUP BY ALL"
+ORACLES["u2_model_factory"] = ctes(*SPLIT_ROWS) + f"""
+SELECT symbol, model, count(*) AS rows, TRUE AS tree_repeats, TRUE AS inside_train FROM rows_, {TYPES} WHERE split = 'train' GROUP BY ALL"""
+ORACLES["k8_importance_totals"] = ctes(FLAG) + f"""
+SELECT DISTINCT symbol, model, CAST(50 AS BIGINT) AS features, CASE model WHEN 'lasso' THEN 0.0 ELSE 1.0 END AS total, TRUE AS none_negative FROM bars, {TYPES}"""
+ORACLES["m12_trial_counts"] = ctes(FLAG) + f"""
+SELECT DISTINCT symbol, model, CAST(25 AS BIGINT) AS trials, CAST(25 AS BIGINT) AS numbers, CAST(25 AS BIGINT) AS scored, FALSE AS positive FROM bars, {TYPES}"""
+ORACLES["m11_defaults_and_boxes"] = ctes(FLAG) + """
+SELECT DISTINCT symbol, p.* FROM bars, (VALUES
+  ('decision_tree', 'max_depth', 10.0, 3.0, 20.0, 2.0, 20.0), ('decision_tree', 'min_samples_split', 5, 2, 20, 2, 20), ('decision_tree', 'min_samples_leaf', 2, 1, 10, 1, 20),
+  ('random_forest', 'n_estimators', 100, 50, 200, 10, 200), ('random_forest', 'max_depth', 10, 3, 20, 2, 20), ('random_forest', 'min_samples_split', 5, 2, 20, 2, 20),
+  ('random_forest', 'min_samples_leaf', 2, 1, 10, NULL, NULL), ('xgboost', 'n_estimators', 100, 50, 200, 10, 200), ('xgboost', 'max_depth', 6, 3, 10, 2, 10),
+  ('xgboost', 'learning_rate', 0.1, 0.01, 0.3, 0.01, 0.3), ('xgboost', 'subsample', 0.8, 0.6, 1, NULL, NULL), ('xgboost', 'colsample_bytree', 0.8, 0.6, 1, NULL, NULL),
+  ('lasso', 'alpha', 1, 0.001, 10, 0.001, 10), ('lasso', 'max_iter', 1000, NULL, NULL, 100, 5000), ('lasso', 'tol', 0.0001, NULL, NULL, 0.0001, 0.01)
+) p(model, parameter, value, low, high, validation_low, validation_high)"""
 ASKED = """asked AS (
   SELECT e.symbol, CAST(d AS DATE) AS date, b.close AS actual_value
   FROM (SELECT symbol, unnest(generate_series(max(date) - 29, max(date), INTERVAL 1 DAY)) AS d FROM bars GROUP BY 1) e
@@ -676,7 +693,7 @@ ORACLES["m20_backtest_models"] = ctes(FLAG, ASKED) + f"""
 SELECT symbol, date AS timestamp, {rounded('actual_value')}, 'ensemble' AS model_used, 1 AS prediction_horizon, TRUE AS inside_band, TRUE AS error_if_actual,
   FALSE AS wrong_error FROM asked"""
 ORACLES["m24_pipeline"] = ctes(FLAG, ASKED) + """
-SELECT symbol, count(DISTINCT symbol) AS symbols, 2 * count(DISTINCT symbol) AS models, count(*) AS total_predictions, count(actual_value) AS predictions_with_actuals,
+SELECT symbol, count(DISTINCT symbol) AS symbols, 4 * count(DISTINCT symbol) AS models, count(*) AS total_predictions, count(actual_value) AS predictions_with_actuals,
   symbol IS NOT NULL AS best_is_known, TRUE AS scored FROM asked GROUP BY ROLLUP (symbol)"""
 for _query, _model in (("m7_train_means", "decision_tree"), ("m10_train_means", "lasso")):
     ORACLES[_query] = ctes(FLAG, NUM, f"f2 AS (SELECT *, lead(close) OVER ({SER}) AS target FROM num)", ROWS2) + f"""

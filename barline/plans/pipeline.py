@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barline.operators import evaluate, forecast, models, prepare, search, splits, validate
+from barline.operators import evaluate, forecast, models, panel, prepare, splits, validate
 from barline.operators.features import FeatureSpec, engineer_features, training_rows
 from barline.sources import bars as bar_source
 from barline.sources import runs, sinks, store
@@ -31,7 +31,7 @@ class PipelineConfig:
     model_types: tuple[str, ...] = models.MODEL_TYPES
     model_params: dict[str, dict] = field(default_factory=dict)
     cross_validation_folds: int = 5
-    enable_tuning: bool = False  # search over folds before each fit: tuning_init + tuning_iterations trials
+    enable_tuning: bool = False  # search over folds before each fit: tuning_init trials spread out, then tuning_iterations that learn
     tuning_init: int = 5
     tuning_iterations: int = 20
     training_mode: str = "per_symbol"
@@ -56,7 +56,7 @@ class Prepared:
     outliers: DataFrame
 
     def features_by_symbol(self) -> dict[str, list[str]]:
-        """Chosen columns per symbol, for per-symbol models."""
+        """Chosen columns per symbol."""
         out: dict[str, list[str]] = {}
         for row in self.selected.orderBy("symbol", "position").select("symbol", "feature").toLocalIterator():
             out.setdefault(row.symbol, []).append(row.feature)
@@ -95,8 +95,7 @@ def preprocess(
     clean = prepare.apply_outlier_stats(rows, outliers, names, config.outlier_threshold)
     scaler = stage(prepare.scaler_stats(clean.where(F.col("split") == "train"), names, config.scaling_method), "scaler-stats")
     scaled = prepare.apply_scaler(clean, scaler, names)
-    # a bucket per group of symbols: the fits, folds and predictions of a symbol read one bucket each
-    frame = stage(scaled.withColumn("symbol_bucket", models.symbol_bucket(F.col("symbol"))).repartition("symbol_bucket"), "prepared", "symbol_bucket")
+    frame = stage(scaled, "prepared")
     selected = stage(prepare.select_features(frame, names, config.max_features), "selected")
     return Prepared(frame, selected, spec, scaler, outliers)
 
@@ -167,7 +166,7 @@ def import_bars(
 class ExperimentResults:
     experiment_id: str
     prepared: Prepared
-    panel: models.TrainedPanel
+    panel: panel.TrainedPanel
     metrics: DataFrame
     comparison: DataFrame
     weights: DataFrame
@@ -193,20 +192,16 @@ def run_experiment(
     prepared = preprocess(bars, config, features=features)
     pooled = config.training_mode == "pooled"
 
-    def tune(rows: DataFrame, names: Sequence[str], model_type: str) -> dict:
-        return search.tune_by_folds(
-            rows, names, model_type, config.tuning_init, config.tuning_iterations, config.cross_validation_folds or 5, config.random_state).best_params
-
-    panel = models.train_panel(
-        prepared.frame, prepared.features_of_any() if pooled else prepared.features_by_symbol(), config.model_types, config.model_params,
-        config.cross_validation_folds, seed=config.random_state, mode=config.training_mode, tune=tune if config.enable_tuning else None,
+    tuning = panel.Tuning(config.tuning_init, config.tuning_iterations, config.cross_validation_folds or 5) if config.enable_tuning else None
+    trained = panel.train_panel(
+        prepared.frame, prepared.features_of_any() if pooled else prepared.selected, config.model_types, config.model_params,
+        config.cross_validation_folds, seed=config.random_state, mode=config.training_mode, tuning=tuning,
     )
-    if not panel.models:
-        raise RuntimeError(f"No model could be trained: {panel.failures}")
-    fitted = stage(panel.predictions(prepared.frame), "fitted")
+    if trained.fitted().isEmpty():
+        raise RuntimeError(f"No model could be trained: {[tuple(r) for r in trained.failures.limit(20).collect()]}")
+    fitted = stage(trained.predictions(prepared.frame), "fitted")
     metrics = evaluate.training_metrics(fitted)
-    cv = panel.cv_frame(bars.sparkSession) if panel.cv_scores else None
-    comparison = stage(evaluate.compare_models(metrics, cv), "comparison")
+    comparison = stage(evaluate.compare_models(metrics, trained.cv if config.cross_validation_folds else None), "comparison")
     weights = forecast.ensemble_weights(fitted.where(F.col("split") == "val"))
 
     ends = features.groupBy("symbol").agg(F.max("date").alias("last_date"))
@@ -214,7 +209,7 @@ def run_experiment(
     scaled = prepared.transform(features, config.outlier_threshold)
     known = forecast.asof_before(spine, scaled.select("symbol", "date", "close", "pos", *spec.names))
     known = stage(known.where(F.col("pos") >= config.feature_window), "forecast-rows")
-    rows = panel.predictions(known, keep=("symbol", "date"))
+    rows = trained.predictions(known, keep=("symbol", "date"))
     if config.enable_ensemble:
         combined = forecast.combine(rows, weights, config.ensemble_method).withColumn("model_used", F.lit("ensemble"))
     else:
@@ -229,19 +224,18 @@ def run_experiment(
     overview = evaluate.experiment_overview(comparison)
     summary = overview.join(told, overview["symbol"].eqNullSafe(told["of"]), "left").drop("of")
     summary = summary.join(best, F.col("symbol") == F.col("best_of"), "left").drop("best_of")
-    names = ["panel" if s == "*" else s for s in panel.features]
-    eid = experiment_id(names, list(config.model_types), started, config)
+    names = sorted(r.symbol for r in trained.fitted().select("symbol").distinct().toLocalIterator())
+    eid = experiment_id(["panel" if s == "*" else s for s in names], list(config.model_types), started, config)
     if out_dir:
         sinks.save_experiment(eid, comparison, summary, out_dir)
         sinks.save_predictions(predictions, f"{out_dir}/forecasts/{eid}", weights, experiment_id=eid)
-        runs.append(run_records(eid, config, comparison, started, panel, out_dir), f"{out_dir}/runs")
-        for (symbol, model_type), model in panel.models.items():
-            models.save_model(model, f"{out_dir}/models/{eid}/{'panel' if symbol == '*' else symbol}/{model_type}")
-    return ExperimentResults(eid, prepared, panel, metrics, comparison, weights, predictions, summary)
+        runs.append(run_records(eid, config, comparison, started, trained, out_dir), f"{out_dir}/runs")
+        trained.save(f"{out_dir}/models/{eid}")
+    return ExperimentResults(eid, prepared, trained, metrics, comparison, weights, predictions, summary)
 
 
 def run_records(
-    run_id: str, config: PipelineConfig, comparison: DataFrame, at: datetime, panel: models.TrainedPanel | None = None, out_dir: str | None = None,
+    run_id: str, config: PipelineConfig, comparison: DataFrame, at: datetime, trained: panel.TrainedPanel | None = None, out_dir: str | None = None,
 ) -> DataFrame:
     """Run-log rows of an experiment: configuration, model metrics (keys <model>_<symbol>_<metric>), and of each model
     what was fitted (params), where it is (artifact), and what came of each step (status: finished, or the failure)."""
@@ -253,14 +247,14 @@ def run_records(
         ])),
     )
     out = params.unionByName(runs.metric_rows(long, run_id, runs.key_of("model", "symbol", "metric"), "value", F.lit(at)))
-    if panel is None:
+    if trained is None:
         return out
-    own = []
-    for (symbol, kind) in panel.models:
-        name = "panel" if symbol == "*" else symbol
-        own.append((run_id, "param", f"{kind}_{name}_params", json.dumps(panel.params.get((symbol, kind), {})), None, at))
-        own.append((run_id, "param", f"{kind}_{name}_features", json.dumps(panel.features[symbol]), None, at))
-        own.append((run_id, "artifact", f"{kind}_{name}_model", f"{out_dir}/models/{run_id}/{name}/{kind}", None, at))
-        own.append((run_id, "status", f"{kind}_{name}_fit", "finished", None, at))
-    own += [(run_id, "status", f"{kind}_{symbol}_{step}", f"failed: {why}", None, at) for (symbol, kind, step), why in panel.failures.items()]
-    return out.unionByName(comparison.sparkSession.createDataFrame(own, runs.RUN_SCHEMA))
+    of = F.when(F.col("symbol") == "*", "panel").otherwise(F.col("symbol"))
+    features = trained.chosen.select("symbol", F.to_json("names").alias("features"))
+    own = trained.fitted().join(trained.params, ["symbol", "model"], "left").join(features, "symbol", "left")
+    told = [("param", "params", F.col("params")), ("param", "features", F.col("features")), ("artifact", "model", F.lit(f"{out_dir}/models/{run_id}")),
+            ("status", "fit", F.lit("finished"))]
+    for kind, name, value in told:
+        out = out.unionByName(runs.param_rows(own, run_id, runs.key_of("model", of, F.lit(name)), value, F.lit(at), kind))
+    why = F.concat(F.lit("failed: "), "reason")
+    return out.unionByName(runs.param_rows(trained.failures, run_id, runs.key_of("model", of, "step"), why, F.lit(at), "status"))

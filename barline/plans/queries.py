@@ -7,16 +7,14 @@ be compared by value with another engine.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
 from datetime import datetime
-from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import days_between, first_token, last_token, ratio
 from barline.functions.windows import WindowLayer
-from barline.operators import evaluate, forecast, indicators as ind, models, prepare, search, splits, validate
+from barline.operators import evaluate, forecast, indicators as ind, lasso, models, panel, prepare, search, splits, validate
 from barline.operators.features import FeatureSpec, engineer_features, null_budget, supervised_frame, training_rows
 from barline.operators.layout import drop_copies, lay_out, positions
 from barline.operators.quantiles import exact_quantiles
@@ -940,17 +938,15 @@ def m5_select_apply(spark, sf):
     return out.groupBy("symbol").agg(*[F.count(c).alias(f"n_{c}") for c in SCORED])
 
 
+def of_model():
+    return Window.partitionBy("symbol", "model")
+
+
 def prepared_panel(spark: SparkSession, sf: str) -> pipeline.Prepared:
     """The prepared table of a training query; each query makes its own."""
     return pipeline.preprocess(bars_flag(spark, sf))
 
 
-def few_models() -> pipeline.PipelineConfig:
-    """Pipeline with the cheaper model types and small trees, for the SQL of m24_pipeline, which counts two models a symbol."""
-    return pipeline.PipelineConfig(
-        model_types=("decision_tree", "lasso"), cross_validation_folds=2, model_params={"decision_tree": {"max_depth": 5}})
-
-
 @query
 def m6_preprocess(spark, sf):
     return pipeline.data_shapes(pipeline.preprocess(bars_flag(spark, sf)))
@@ -960,8 +956,8 @@ def one_type(model_type: str) -> Query:
     """Train one model type with its default parameters for every symbol; metrics per split."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
         prepared = prepared_panel(spark, sf)
-        panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), [model_type])
-        return evaluate.training_metrics(panel.predictions(prepared.frame))
+        trained = panel.train_panel(prepared.frame, prepared.selected, [model_type])
+        return evaluate.training_metrics(trained.predictions(prepared.frame))
     return run
 
 
@@ -973,63 +969,97 @@ QUERIES |= {
 }
 
 
+@query
+def m11_defaults_and_boxes(spark, sf):
+    """Parameters of every type and symbol: default, and the bounds of both searches."""
+    rows = []
+    for kind in models.MODEL_TYPES:
+        full = models.create_model(kind).params
+        rows += [(kind, name, None if value is None else float(value), *[
+            None if (box := boxes[kind].get(name)) is None else float(box[i]) for boxes in (models.SEARCH_BOUNDS, models.VALIDATION_SEARCH_BOUNDS) for i in (0, 1)])
+            for name, value in full.items()]
+    names = ("model", "parameter", "value", "low", "high", "validation_low", "validation_high")
+    cells = F.array(*[F.struct(*[F.lit(v).cast("string" if i < 2 else "double").alias(n) for i, (n, v) in enumerate(zip(names, row))]) for row in rows])
+    return bars_flag(spark, sf).select("symbol").distinct().select("symbol", F.inline(cells))
+
+
 @query
 def m12_search_folds(spark, sf):
+    """Trials of the search over folds, of every type and symbol."""
     prepared = prepared_panel(spark, sf)
-    out = None
-    for symbol, names in prepared.features_by_symbol().items():
-        train = models.rows_of(prepared.frame, symbol).where(F.col("split") == "train")
-        train = train.withColumn("n", F.lit(train.count()))
-        for model_type in models.MODEL_TYPES:
-            found = search.tune_by_folds(train, names, model_type)
-            part = found.frame(spark).withColumn("symbol", F.lit(symbol)).withColumn("model", F.lit(model_type))
-            out = part if out is None else out.unionByName(part)
-    return out
+    train = prepared.frame.where(F.col("split") == "train")
+    tuning = panel.Tuning()
+    columns = prepared.spec.names
+    chosen = stage(panel.chosen_features(train, prepared.selected), "chosen")
+    rows = train.withColumn("role", F.lit(panel.TRAIN))
+    n = rows.groupBy("symbol").agg(F.count("*").alias("n"))
+    sums = lasso.staged_moments(rows.drop("n").join(n, "symbol"), columns, tuning.folds)
+    found = search.tune_by_folds(panel.pack(rows, chosen, columns), sums, chosen, columns, models.MODEL_TYPES, tuning)
+    return found.trials.select("symbol", "model", "trial", "params", "score")
+
+
+@query
+def m12_trial_counts(spark, sf):
+    """What SQL can know of a search: as many different sets as asked for, all scored, all scores negative errors."""
+    trials = m12_search_folds(spark, sf)
+    return trials.groupBy("symbol", "model").agg(
+        F.count("*").alias("trials"), F.count_distinct("trial").alias("numbers"), F.count("score").alias("scored"), F.max(F.col("score") > 0).alias("positive"))
 
 
 @query
 def m13_search_validation(spark, sf):
     rows = supervised_frame(bars_supp(spark, sf).withColumn("today", F.col("close")))
-    out = None
-    for model_type in models.MODEL_TYPES:
-        tuned = search.tune_on_validation(rows, ["open", "high", "low", "volume"], model_type)
-        pairs = tuned.predictions.select(F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"))
-        part = evaluate.split_metrics(pairs).withColumn("model", F.lit(model_type))
-        out = part if out is None else out.unionByName(part)
-    return out
+    tuned = search.tune_on_validation(rows, ["open", "high", "low", "volume"], models.MODEL_TYPES)
+    pairs = tuned.predictions.select("symbol", "model", F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"))
+    return evaluate.metric_rows(pairs, ("mape", "r2"), by=("symbol", "model", "dataset"))
 
 
 @query
 def m14_train_and_score(spark, sf):
     prepared = prepared_panel(spark, sf)
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), folds=pipeline.PipelineConfig().cross_validation_folds)
-    metrics = evaluate.training_metrics(panel.predictions(prepared.frame))
-    return evaluate.compare_models(metrics, panel.cv_frame(spark))
+    trained = panel.train_panel(prepared.frame, prepared.selected, folds=pipeline.PipelineConfig().cross_validation_folds)
+    return evaluate.compare_models(evaluate.training_metrics(trained.predictions(prepared.frame)), trained.cv)
 
 
 @query
 def m15_train_all(spark, sf):
+    """Rows and mean prediction of every type and split; on train rows, means that SQL knows: models with free leaf values or a free intercept are
+    right on average."""
     prepared = prepared_panel(spark, sf)
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol())
-    exact = (F.col("split") == "train") & F.col("model").isin("decision_tree", "lasso")  # right on average where the fit says so
-    facts = panel.predictions(prepared.frame).groupBy("symbol", "model", "split").agg(
-        F.count("prediction").alias("rows"), F.avg("prediction").alias("mean"))
+    trained = panel.train_panel(prepared.frame, prepared.selected)
+    exact = (F.col("split") == "train") & F.col("model").isin("decision_tree", "lasso")
+    learned = F.when(F.col("split") == "train", F.col("target"))
+    lowest, highest = F.min(learned).over(of_model()), F.max(learned).over(of_model())
+    rows = trained.predictions(prepared.frame).withColumns({"lowest": lowest, "highest": highest})
+    inside = F.col("prediction").between(F.col("lowest") - 1e-6, F.col("highest") + 1e-6) | ~F.col("model").isin("decision_tree", "random_forest")
+    facts = rows.groupBy("symbol", "model", "split").agg(
+        F.count("prediction").alias("rows"), F.avg("prediction").alias("mean"), F.min(inside).alias("inside_train"))
     return tidy(facts.withColumn("mean", F.when(exact, F.col("mean"))), mean=2)
 
 
+@query
+def m15_predictions_by_type(spark, sf):
+    """Mean prediction and error of every type, symbol and split."""
+    prepared = prepared_panel(spark, sf)
+    rows = panel.train_panel(prepared.frame, prepared.selected).predictions(prepared.frame)
+    return tidy(rows.groupBy("symbol", "model", "split").agg(
+        F.count("*").alias("rows"), F.avg("prediction").alias("mean_prediction"), F.avg(F.abs(F.col("prediction") - F.col("target"))).alias("mean_error")))
+
+
 @query
 def m15_pooled(spark, sf):
-    """More symbols than per-symbol jobs are sensible for: one pooled model per type."""
+    """One pooled model per type for many symbols."""
     prepared = pipeline.preprocess(bars_supp(spark, sf))
-    panel = models.train_panel(prepared.frame, prepared.spec.names, params={"lasso": {"alpha": 0.01}}, mode="pooled")
-    return evaluate.training_metrics(panel.predictions(prepared.frame), by=("model", "split"))
+    trained = panel.train_panel(prepared.frame, prepared.spec.names, params={"lasso": {"alpha": 0.01}}, mode="pooled")
+    return evaluate.training_metrics(trained.predictions(prepared.frame), by=("model", "split"))
 
 
 @query
 def m16_predict(spark, sf):
+    """Test rows as every trained type predicts them."""
     prepared = prepared_panel(spark, sf)
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["lasso"])
-    return panel.predictions(prepared.frame.where(F.col("split") == "test"))
+    trained = panel.train_panel(prepared.frame, prepared.selected)
+    return trained.predictions(prepared.frame.where(F.col("split") == "test"))
 
 
 @query
@@ -1105,11 +1135,11 @@ def m23_split_rule(spark, sf):
 
 @query
 def m24_pipeline(spark, sf):
-    out = fresh_path(spark, "experiments")
-    results = pipeline.run_experiment(bars_flag(spark, sf), few_models(), 30, out, at=T0)
+    """The experiment with its default configuration: what SQL can know of its summary."""
+    results = pipeline.run_experiment(bars_flag(spark, sf), pipeline.PipelineConfig(), 30, fresh_path(spark, "experiments"), at=T0)
     told = ["symbols", "models", "total_predictions", "predictions_with_actuals"]
     return results.summary.select(
-        "symbol", *told, F.coalesce(F.col("best_model").isin(*few_models().model_types), F.lit(False)).alias("best_is_known"), (F.col("avg_test_mse") > 0).alias("scored"))
+        "symbol", *told, F.coalesce(F.col("best_model").isin(*models.MODEL_TYPES), F.lit(False)).alias("best_is_known"), (F.col("avg_test_mse") > 0).alias("scored"))
 
 
 @query
@@ -1123,12 +1153,14 @@ def m24_pipeline_whole(spark, sf):
 @query
 def k8_importance(spark, sf):
     prepared = prepared_panel(spark, sf)
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["decision_tree"])
-    out = None
-    for (symbol, _), model in panel.models.items():
-        part = models.importances(model, panel.features[symbol], spark).withColumn("symbol", F.lit(symbol))
-        out = part if out is None else out.unionByName(part)
-    return out
+    return panel.train_panel(prepared.frame, prepared.selected).importances()
+
+
+@query
+def k8_importance_totals(spark, sf):
+    """Importances of a model of trees sum to 1; linear models have none."""
+    rows = k8_importance(spark, sf)
+    return tidy(rows.groupBy("symbol", "model").agg(F.count("*").alias("features"), F.sum("importance").alias("total"), F.min(F.col("importance") >= 0).alias("none_negative")))
 
 
 @query
@@ -1162,16 +1194,15 @@ def s21_metrics_sink(spark, sf):
 
 @query
 def s22_model_sink(spark, sf):
+    """Models of every type, saved and loaded as tables, say the same."""
     path = fresh_path(spark, "models")
     prepared = prepared_panel(spark, sf)
     pipeline.save_preprocessor(prepared, f"{path}/preprocessor")
     prepared = pipeline.load_preprocessor(spark, f"{path}/preprocessor", prepared.frame, prepared.spec)
-    panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), ["lasso"])
-    before = panel.predictions(prepared.frame)
-    for (symbol, kind), model in panel.models.items():
-        models.save_model(model, f"{path}/{symbol}/{kind}")
-    loaded = {key: models.load_model(f"{path}/{key[0]}/{key[1]}") for key in panel.models}
-    after = replace(panel, models=loaded).predictions(prepared.frame).withColumnRenamed("prediction", "again")
+    trained = panel.train_panel(prepared.frame, prepared.selected)
+    trained.save(path)
+    before = stage(trained.predictions(prepared.frame), "before")
+    after = panel.TrainedPanel.load(spark, path).predictions(prepared.frame).withColumnRenamed("prediction", "again")
     same = F.col("prediction") == F.col("again")
     return before.join(after.drop("split", "target"), ["symbol", "date", "model"]).groupBy("symbol", "model", "split").agg(
         F.count("*").alias("rows"), F.count_if(same).alias("same"))
@@ -1186,31 +1217,34 @@ def u1_metric_registry(spark, sf):
 
 @query
 def u2_model_factory(spark, sf):
-    """Every model type by name, trained on the rows of all symbols at once, with its default parameters."""
+    """Every model type by name with the defaults of a request: what SQL can know of its predictions of the train rows."""
     prepared = prepared_panel(spark, sf)
     train = prepared.frame.where(F.col("split") == "train")
-    parts = [
-        models.predict(models.fit(train, SCORED, t), prepared.frame).select(
-            "symbol", F.col("split").alias("dataset"), F.col("target").alias("y_real"), F.col("prediction").alias("y_pred"), F.lit(t).alias("model"))
-        for t in models.MODEL_TYPES
-    ]
-    return evaluate.metric_rows(reduce(DataFrame.unionByName, parts), ("mape", "r2"), by=("model", "dataset"))
+    trained = panel.train_panel(train, prepared.selected, params=models.REQUEST_DEFAULTS)
+    rows = trained.predictions(train)
+    # a tree without limits repeats its train rows (where features tell them apart), a forest stays inside their range
+    close_to = F.abs(F.col("prediction") - F.col("target")) < 1e-6
+    lowest, highest = F.min("target").over(of_model()), F.max("target").over(of_model())
+    inside = F.col("prediction").between(lowest - 1e-6, highest + 1e-6)
+    facts = rows.withColumns({"same": close_to | (F.col("model") != "decision_tree"), "inside": inside | ~F.col("model").isin("decision_tree", "random_forest")})
+    return facts.groupBy("symbol", "model").agg(F.count("*").alias("rows"), F.min("same").alias("tree_repeats"), F.min("inside").alias("inside_train"))
 
 
 @query
 def u3_objective(spark, sf):
     """The search's objective at one parameter set. So strong a penalty leaves the train mean, whose score SQL knows too."""
     rows = supervised_frame(bars_flag(spark, sf).withColumn("today", F.col("close")))
-    score = search.validation_objective(rows, ["open", "high", "low", "volume"], "lasso")
-    return tidy(spark.createDataFrame([(1e12, score({"alpha": 1e12}))], "alpha double, score double"))
+    _, packed, chosen = search.by_validation(rows, ["open", "high", "low", "volume"])
+    asked = stage(panel.asked_models(chosen, {"lasso": {"alpha": 1e12}}), "asked")
+    return tidy(search.validation_scores(packed, asked).select("symbol", F.lit(1e12).alias("alpha"), "score"))
 
 
 def train_means(model_type: str) -> Query:
     """A model whose least-squares fit has free leaf values or a free intercept predicts its train rows right on average."""
     def run(spark: SparkSession, sf: str) -> DataFrame:
         prepared = prepared_panel(spark, sf)
-        panel = models.train_panel(prepared.frame, prepared.features_by_symbol(), [model_type])
-        rows = panel.predictions(prepared.frame.where(F.col("split") == "train"))
+        trained = panel.train_panel(prepared.frame, prepared.selected, [model_type])
+        rows = trained.predictions(prepared.frame.where(F.col("split") == "train"))
         return tidy(rows.groupBy("symbol", "model").agg(F.count("*").alias("rows"), F.avg("prediction").alias("mean_prediction")), mean_prediction=2)
     return run
 
