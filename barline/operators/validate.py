@@ -179,10 +179,13 @@ def _text(pattern: str, *args: Column) -> Column:
     return F.format_string(pattern, *args)
 
 
-def findings(raw: DataFrame, min_years: float = MIN_YEARS, expected: DataFrame | None = None) -> DataFrame:
+def findings(
+    raw: DataFrame, min_years: float = MIN_YEARS, expected: DataFrame | None = None, headers: DataFrame | None = None,
+) -> DataFrame:
     """dataset, check, column, severity (error / warning), n, message of every broken or reported rule.
 
-    `expected` lists datasets that should be there; those without rows are reported as empty.
+    `expected` lists datasets that should be there; those without rows are reported as empty. `headers` (dataset, columns) says which columns each
+    dataset has; without it all have those of the frame. A rule about a column is asked of the datasets that have it.
     """
     have = columns_of(raw)
     facts = profile(raw)
@@ -196,10 +199,11 @@ def findings(raw: DataFrame, min_years: float = MIN_YEARS, expected: DataFrame |
         return _finding(check, column, F.when(n > 0, F.lit(severity)), n, _text(text, n))
 
     rules = []
-    for c in missing_columns(raw):
-        rules.append(_finding("columns", c, F.lit("error"), F.lit(1), F.lit(f"Missing required column: {c}")))
-    for c in unexpected_columns(raw):
-        rules.append(_finding("columns", c, F.lit("warning"), F.lit(1), F.lit(f"Unexpected column: {c}")))
+    if headers is None:
+        for c in missing_columns(raw):
+            rules.append(_finding("columns", c, F.lit("error"), F.lit(1), F.lit(f"Missing required column: {c}")))
+        for c in unexpected_columns(raw):
+            rules.append(_finding("columns", c, F.lit("warning"), F.lit(1), F.lit(f"Unexpected column: {c}")))
     for c in have:
         if c in REQUIRED:
             rules.append(count_rule("type", c, f"{c}__uncastable", "error", f"Column '{c}': %d values of a wrong type"))
@@ -241,7 +245,12 @@ def findings(raw: DataFrame, min_years: float = MIN_YEARS, expected: DataFrame |
         for name, (a, b) in STRUCTURE.items():
             rules.append(count_rule(name, a, name, "error", f"%d rows with {a} < {b}"))
 
-    found = facts.select("dataset", F.inline(F.array(*rules))).where(F.col("severity").isNotNull())
+    rules = rules or [_finding("none", "", F.lit(None).cast("string"), F.lit(0), F.lit(""))]
+    if headers is None:
+        found = facts.select("dataset", F.inline(F.array(*rules))).where(F.col("severity").isNotNull())
+    else:
+        found = facts.join(headers, "dataset").select("dataset", "columns", F.inline(F.array(*rules))).where(
+            F.col("severity").isNotNull() & F.expr("array_contains(columns, `column`)")).drop("columns").unionByName(header_findings(headers))
     if expected is not None:
         empty = expected.select("dataset").distinct().join(raw.select("dataset").distinct(), "dataset", "left_anti")
         found = found.unionByName(empty.select(
@@ -251,6 +260,18 @@ def findings(raw: DataFrame, min_years: float = MIN_YEARS, expected: DataFrame |
     return found
 
 
+def header_findings(headers: DataFrame) -> DataFrame:
+    """Missing and unexpected columns of each dataset, from its own header."""
+    known = F.array(*[F.lit(c) for c in (*REQUIRED, *OPTIONAL)])
+    both = F.concat(
+        F.transform(F.array_except(F.array(*[F.lit(c) for c in REQUIRED]), "columns"), lambda c: F.struct(
+            c.alias("column"), F.lit("error").alias("severity"), F.concat(F.lit("Missing required column: "), c).alias("message"))),
+        F.transform(F.array_except("columns", known), lambda c: F.struct(
+            c.alias("column"), F.lit("warning").alias("severity"), F.concat(F.lit("Unexpected column: "), c).alias("message"))))
+    return headers.select("dataset", F.explode(both).alias("f")).select(
+        "dataset", F.lit("columns").alias("check"), "f.column", "f.severity", F.lit(1).cast("bigint").alias("n"), "f.message")
+
+
 def verdicts(raw: DataFrame, found: DataFrame, expected: DataFrame | None = None) -> DataFrame:
     """(dataset, errors, warnings, is_valid) for every dataset, also those without any finding."""
     datasets = (raw if expected is None else expected).select("dataset").distinct()

@@ -674,6 +674,22 @@ ORACLES["u2_model_factory"] = ctes(*SPLIT_ROWS) + f"""
 SELECT symbol, model, count(*) AS rows, TRUE AS tree_repeats, TRUE AS inside_train FROM rows_, {TYPES} WHERE split = 'train' GROUP BY ALL"""
 ORACLES["k8_importance_totals"] = ctes(FLAG) + f"""
 SELECT DISTINCT symbol, model, CAST(50 AS BIGINT) AS features, CASE model WHEN 'lasso' THEN 0.0 ELSE 1.0 END AS total, TRUE AS none_negative FROM bars, {TYPES}"""
+ORACLES["s2_files_of_three_headers"] = ctes(SUPP) + """
+SELECT symbol AS dataset, count(*) AS rows, count(*) AS n_date, CASE k WHEN 2 THEN 0 ELSE count(*) END AS n_open, count(*) AS n_close,
+  CASE k WHEN 1 THEN 0 ELSE count(*) END AS n_volume, CASE k WHEN 1 THEN count(*) ELSE 0 END AS n_note,
+  CASE k WHEN 0 THEN 'close,date,high,low,marketcap,name,open,sno,symbol,volume' WHEN 1 THEN 'close,date,high,low,name,note,open,sno,symbol'
+    ELSE 'close,date,high,low,marketcap,name,sno,symbol,volume' END AS columns
+FROM (SELECT *, CAST(symbol AS INTEGER) % 3 AS k FROM bars) GROUP BY symbol, k"""
+ORACLES["v2_columns_of_each_file"] = ctes(SUPP) + """
+SELECT symbol AS dataset, c AS "column", CASE c WHEN 'open' THEN 'error' ELSE 'warning' END AS severity,
+  CASE c WHEN 'open' THEN 'Missing required column: ' ELSE 'Unexpected column: ' END || c AS message
+FROM (SELECT DISTINCT symbol, CAST(symbol AS INTEGER) % 3 AS k FROM bars),
+  (VALUES ('sno', 0), ('sno', 1), ('sno', 2), ('name', 0), ('name', 1), ('name', 2), ('symbol', 0), ('symbol', 1), ('symbol', 2), ('marketcap', 0), ('marketcap', 2),
+    ('note', 1), ('open', 2)) v(c, of) WHERE of = k"""
+ORACLES["s11_import_of_three_headers"] = ctes(SUPP) + """
+SELECT symbol, CASE WHEN max(CAST(symbol AS INTEGER) % 3) = 2 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN max(CAST(symbol AS INTEGER) % 3) = 2 THEN 0 ELSE count(*) END AS records_processed,
+  nullif(CASE WHEN max(CAST(symbol AS INTEGER) % 3) = 2 THEN count_if(date < DATE '1996-01-01') ELSE count(*) END, 0) AS stored FROM bars GROUP BY symbol"""
 ORACLES["m12_trial_counts"] = ctes(FLAG) + f"""
 SELECT DISTINCT symbol, model, CAST(25 AS BIGINT) AS trials, CAST(25 AS BIGINT) AS numbers, CAST(25 AS BIGINT) AS scored, FALSE AS positive FROM bars, {TYPES}"""
 ORACLES["m11_defaults_and_boxes"] = ctes(FLAG) + """

@@ -127,16 +127,20 @@ class ImportReport:
 
 def import_bars(
     raw: DataFrame, target: store.BarTable, at: datetime, source: str = "csv_import", min_years: float = validate.MIN_YEARS,
-    version: str | None = None,
+    version: str | None = None, headers: DataFrame | None = None,
 ) -> ImportReport:
     """Validate all datasets at once, upsert the bars of those without an error, and log one job per dataset.
 
     Rows that become no bar (no price, no readable date, or an earlier version of the day) are counted as skipped; inserted
     and updated are counted by key. Of rows for the same day the one with the highest `version` (a column of
-    raw) wins, or else the last one read. The target table must exist (see BarTable.create).
+    raw) wins, or else the last one read. The target table must exist (see BarTable.create). `headers` (see read_by_header) lets every
+    dataset be judged by the columns of its own files: one with a wrong header is a failed job, the others go on.
     """
-    found = stage(validate.findings(raw, min_years), "findings")
-    verdict = validate.verdicts(raw, found)
+    every = raw.select("dataset").distinct() if headers is None else headers.select("dataset")
+    found = stage(validate.findings(raw, min_years, None if headers is None else every, headers), "findings")
+    verdict = validate.verdicts(raw, found, every)
+    absent = validate.missing_columns(raw)  # in no file at all
+    raw = raw.withColumns({c: F.lit(None).cast("string") for c in absent})
     # the rank is taken at the scan, before any shuffle
     ranked = raw.withColumn("version", F.col(version) if version else F.monotonically_increasing_id())
     good = ranked.join(verdict.where("is_valid"), "dataset", "left_semi")
@@ -148,7 +152,9 @@ def import_bars(
     messages = found.groupBy(F.upper("dataset").alias("symbol")).agg(
         *[F.sort_array(F.collect_list(F.when(F.col("severity") == s, F.col("message")))).alias(f"{s}s") for s in ("error", "warning")]
     )
-    processed = raw.groupBy(F.upper("dataset").alias("symbol")).agg(F.count("*").alias("records_processed"))
+    read = raw.groupBy("dataset").agg(F.count("*").alias("read"))
+    processed = every.join(read, "dataset", "left").groupBy(F.upper("dataset").alias("symbol")).agg(
+        F.coalesce(F.sum("read"), F.lit(0)).cast("bigint").alias("records_processed"))
     none = F.array().cast("array<string>")
     zero = F.lit(0).cast("bigint")
     counted = {"records_inserted": F.coalesce("inserted", zero), "records_updated": F.coalesce("updated", zero)}

@@ -106,6 +106,42 @@ def s2_read_directory(spark, sf):
     )
 
 
+def files_of_three_layouts(spark: SparkSession, sf: str) -> str:
+    """A file per supplier, in three layouts: all columns; an additional note and no volume; no opening price."""
+    path, raw = fresh_path(spark, "raw-layouts"), raw_layout(bars_supp(spark, sf)).withColumn("dataset", F.col("Symbol"))
+    kind = F.col("Symbol").cast("int") % 3
+    for k, part in enumerate((raw, raw.drop("Volume", "Marketcap").withColumn("Note", F.lit("x")), raw.drop("Open"))):
+        part.where(kind == k).repartition("dataset").write.option("header", True).partitionBy("dataset").csv(f"{path}/layout-{k}")
+    return path
+
+
+@query
+def s2_files_of_three_headers(spark, sf):
+    """One directory, three headers: rows and filled fields of each dataset."""
+    files = B.read_by_header(spark, files_of_three_layouts(spark, sf))
+    return files.rows.groupBy("dataset").agg(
+        F.count("*").alias("rows"), *[F.count(c).alias(f"n_{c}") for c in ("date", "open", "close", "volume", "note")]).join(
+        files.headers.select("dataset", F.array_join("columns", ",").alias("columns")), "dataset")
+
+
+@query
+def v2_columns_of_each_file(spark, sf):
+    """Missing and unexpected columns of each dataset."""
+    files = B.read_by_header(spark, files_of_three_layouts(spark, sf))
+    found = validate.findings(files.rows, headers=files.headers)
+    return found.where("check = 'columns'").select("dataset", "column", "severity", "message")
+
+
+@query
+def s11_import_of_three_headers(spark, sf):
+    """Files without an opening price are failed jobs; the others come in."""
+    files = B.read_by_header(spark, files_of_three_layouts(spark, sf))
+    target = bar_table(spark, bars_supp(spark, sf).where("date < '1996-01-01'"))
+    report = pipeline.import_bars(files.rows, target, T1, headers=files.headers)
+    stored = target.read().groupBy("symbol").agg(F.count("*").alias("stored"))
+    return report.jobs.select("symbol", "status", "records_processed").join(stored, "symbol", "left")
+
+
 def bar_table(spark: SparkSession, bars: DataFrame) -> store.BarTable:
     return store.BarTable(spark, fresh_path(spark, "bars"), buckets=8).create(bars, T0)
 

@@ -7,13 +7,16 @@ source is; every builder here enforces that with an aggregate that combines befo
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from barline.functions.columns import col, first_token, nan_to_null
+from barline.sources.scratch import stage
 
 RAW_SCHEMA = T.StructType([
     T.StructField("SNo", T.IntegerType()),
@@ -50,6 +53,59 @@ def read_text_bars(spark: SparkSession, path: str, columns: list[str]) -> DataFr
     )
 
 
+@dataclass
+class RawFiles:
+    """Rows of files with different headers: every field as text, columns united by plain name, `dataset` of each row; headers: dataset and the
+    columns (plain names) that its files have. Spark doesn't list files of 0 bytes: a list of expected datasets finds those."""
+
+    rows: DataFrame
+    headers: DataFrame
+
+
+def plain_name(name: str) -> str:
+    return name.strip().strip('"').lower().replace(" ", "_")
+
+
+def dataset_of(path: Column) -> Column:
+    """The value of a `dataset=` folder, or else the file name up to its first dot or blank."""
+    folder = F.regexp_extract(path, r"/dataset=([^/]+)/", 1)
+    return F.when(folder != "", F.url_decode(folder)).otherwise(first_token(F.regexp_extract(F.url_decode(path), r"([^/]+)$", 1)))
+
+
+def file_headers(spark: SparkSession, path: str) -> DataFrame:
+    """file, header (its first line). Only blocks at the start of a file are looked at."""
+    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    return lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+
+
+def read_by_header(spark: SparkSession, path: str) -> RawFiles:
+    """Every CSV file under `path`, whatever its header: files are grouped by header, and each group is one typed read.
+
+    A file with other columns neither fails the read nor moves values into wrong columns. The driver holds the file names, as for any read."""
+    found = stage(file_headers(spark, path), "headers")
+    groups: dict[str, list[str]] = {}
+    for row in found.toLocalIterator():
+        groups.setdefault(row.header, []).append(row.file)
+    parts, known = [], []
+    for header, files in sorted(groups.items()):
+        names: list[str] = []
+        for name in map(plain_name, next(csv.reader([header]))):
+            name = name or "unnamed"
+            names.append(name if name not in names else f"{name}_{len(names) + 1}")
+        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
+        part = spark.read.schema(schema).option("header", True).csv(files)
+        parts.append(part.withColumn("dataset", dataset_of(F.col("_metadata.file_path"))))
+        known.append((header, names))
+    columns = spark.createDataFrame(known, "header string, columns array<string>")
+    headers = found.join(F.broadcast(columns), "header").groupBy(dataset_of(F.col("file")).alias("dataset")).agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("columns"))
+    rows = spark.createDataFrame([], "dataset string")
+    for part in parts:
+        rows = rows.unionByName(part, allowMissingColumns=True)
+    return RawFiles(rows, headers)
+
+
 def normalise(raw: DataFrame, symbol: str | Column = "dataset", keep: Sequence[str] = ()) -> DataFrame:
     """Raw bars -> panel columns: upper-case symbol, calendar day, NULL for NaN, rows without a price dropped."""
     have = {c.lower().replace(" ", "").replace("_", ""): c for c in raw.columns}

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
+from functools import reduce
+from operator import or_
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,17 +18,26 @@ BAR_VALUES = ["open", "high", "low", "close", "volume", "market_cap"]
 AUDIT = ["created_at", "updated_at"]
 
 
+class ConcurrentWrite(RuntimeError):
+    """Another writer made the next version first; the table is as that writer left it."""
+
+
 class BarTable:
-    """Parquet table of bars, key (symbol, date), partitioned by a hash bucket of the symbol and the year.
+    """Parquet table of bars, key (symbol, date), in parts by a hash bucket of the symbol and the year, with versions.
+
+    A part per symbol would mean a file per symbol; buckets keep files large, and the year keeps an upsert from rewriting a symbol's
+    history. Rows are sorted by symbol and date inside a file, so a lookup reads one bucket and skips row groups.
 
-    A partition per symbol would mean a file per symbol; buckets keep files large, and the year keeps an upsert
-    from rewriting a symbol's history. Rows are sorted by symbol and date inside a file, so a lookup reads one
-    bucket and skips row groups. A partition that loses its last bar keeps one marker row without a date,
-    because an overwrite only replaces partitions it writes to; readers filter it.
+    Files are never changed. A write adds the changed parts under a name of its own, below `data`, and then, as its last step, a manifest: one row
+    per part that holds bars, with the write that has its files. Who reads takes the newest manifest, or a pinned one, and so sees whole versions
+    only: what stops before the manifest leaves the table as it was. A manifest that is there already is not replaced: of two writers
+    that started from one version, the second is refused. Old versions stay until they are cleared away from outside.
     """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    MANIFEST = "bucket int, year int, since string"
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64, version: int | None = None):
+        self.spark, self.path, self.buckets, self.pinned = spark, path, buckets, version
 
     def bucket(self, symbol: Column) -> Column:
         return F.pmod(F.xxhash64(symbol), F.lit(self.buckets)).cast("int")
@@ -37,50 +50,98 @@ class BarTable:
             {"bucket": self.bucket(F.col("symbol")), "year": F.year("date")}
         )
 
-    def _write(self, rows: DataFrame) -> None:
+    def current(self) -> int:
+        """The newest version, or the pinned one."""
+        if self.pinned is not None:
+            return self.pinned
+        return self.spark.read.schema(f"{self.MANIFEST}, version int").parquet(f"{self.path}/manifests").agg(F.max("version")).first()[0]
+
+    def at_version(self, version: int) -> "BarTable":
+        """The table as it was."""
+        return BarTable(self.spark, self.path, self.buckets, version)
+
+    def manifest(self, version: int | None = None) -> DataFrame:
+        """bucket, year, since: parts with bars, at most buckets * years rows."""
+        version = self.current() if version is None else version
+        return self.spark.read.schema(self.MANIFEST).parquet(f"{self.path}/manifests/version={version}")
+
+    def _write_parts(self, rows: DataFrame, write: str) -> None:
         # Rebalancing splits a (bucket, year) that is larger than the advisory size and merges small ones.
         (
             rows.hint("rebalance", "bucket", "year").sortWithinPartitions("bucket", "year", "symbol", "date")
-            .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-            .partitionBy("bucket", "year").parquet(self.path)
+            .write.partitionBy("bucket", "year").parquet(f"{self.path}/data/since={write}")
         )
 
+    def _commit(self, manifest: DataFrame, version: int) -> None:
+        """One row at least, so that an empty table has a manifest too."""
+        none = self.spark.createDataFrame([(None, None, None)], self.MANIFEST)
+        whole = manifest.select("bucket", "year", "since").unionByName(none).coalesce(1)
+        try:
+            whole.write.mode("errorifexists").parquet(f"{self.path}/manifests/version={version}")
+        except AnalysisException as e:
+            if "ALREADY_EXISTS" not in str(e):
+                raise
+            raise ConcurrentWrite(f"version {version} of {self.path} exists already") from e
+
+    def _parts_of(self, rows: DataFrame, write: str) -> DataFrame:
+        return stage(rows.select("bucket", "year").distinct().withColumn("since", F.lit(write)), "touched")
+
     def create(self, bars: DataFrame, at: datetime) -> "BarTable":
-        stamped = bars.withColumns({"created_at": F.lit(at), "updated_at": F.lit(at)})
-        self._write(self._placed(stamped))
+        stamped = stage(self._placed(bars.withColumns({"created_at": F.lit(at), "updated_at": F.lit(at)})), "placed")
+        write = uuid.uuid4().hex
+        if not stamped.isEmpty():
+            self._write_parts(stamped, write)
+        self._commit(self._parts_of(stamped, write), 0)
         return self
 
-    def _stored(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+    def _stored(self, version: int | None = None, bucket: int | None = None) -> DataFrame:
+        """Rows of the version's parts, with bucket and year. The manifest is a small list of partitions: broadcast, it prunes the others."""
+        schema = ", ".join(["symbol string", "date date", *[f"{c} double" for c in BAR_VALUES], *[f"{c} timestamp" for c in AUDIT], self.MANIFEST])
+        parts = self.manifest(version).where(F.col("bucket").isNotNull() if bucket is None else F.col("bucket") == bucket)
+        try:
+            data = self.spark.read.schema(schema).parquet(f"{self.path}/data")
+        except AnalysisException as e:
+            if "PATH_NOT_FOUND" not in str(e):
+                raise
+            data = self.spark.createDataFrame([], schema)  # created without bars
+        if bucket is not None:  # a bucket's parts are a handful: a filter that prunes at planning
+            held = parts.collect()
+            wanted = [(F.col("year") == p.year) & (F.col("since") == p.since) for p in held]
+            return data.where((F.col("bucket") == bucket) & (reduce(or_, wanted) if wanted else F.lit(False)))
+        return data.join(F.broadcast(parts), ["bucket", "year", "since"], "left_semi")
 
     def read(self) -> DataFrame:
-        return self._stored().where(F.col("date").isNotNull()).drop("bucket", "year")
+        return self._stored().drop("bucket", "year", "since")
+
+    def _home(self, symbol: str) -> int:
+        return self.spark.range(1).select(self.bucket(F.lit(symbol)).alias("b")).first().b
 
     def scan(self, symbol: str, start: str | None = None, end: str | None = None, limit: int | None = None) -> DataFrame:
         """Bars of one symbol in date order; prunes to its bucket and to the years asked for."""
-        stored = self._stored().where(
-            F.col("date").isNotNull() & (F.col("bucket") == self.bucket(F.lit(symbol.upper())))
-        )
+        stored = self._stored(bucket=self._home(symbol.upper()))
         if start:
             stored = stored.where(F.col("year") >= int(start[:4]))
         if end:
             stored = stored.where(F.col("year") <= int(end[:4]))
-        return bars_between(stored, symbol, start, end, limit).drop("bucket", "year", *AUDIT)
+        return bars_between(stored, symbol, start, end, limit).drop("bucket", "year", "since", *AUDIT)
 
     def upsert_counts(self, bars: DataFrame, at: datetime) -> DataFrame:
         """Replace the values of known (symbol, date) keys, add the others; returns symbol, inserted, updated.
 
-        Only partitions that receive rows are read and rewritten, and only they are asked for known keys. `bars` has a row
+        Only parts that receive rows are read and written anew, and only they are asked for known keys. `bars` has a row
         per key and is read several times: stage it.
         """
+        version, write = self.current(), uuid.uuid4().hex
         incoming = self._placed(bars.withColumns({"created_at": F.lit(at), "updated_at": F.lit(at)}))
-        touched = incoming.select("bucket", "year").distinct()  # at most buckets * years rows: bounded, so broadcast
-        kept = self._stored().join(F.broadcast(touched), ["bucket", "year"], "left_semi").where(F.col("date").isNotNull())
+        touched = self._parts_of(incoming, write)  # at most buckets * years rows: bounded, so broadcast
+        kept = self._stored(version).join(F.broadcast(touched.drop("since")), ["bucket", "year"], "left_semi").drop("since")
         known = incoming.select("bucket", "year", "symbol", "date").join(
             kept.select("bucket", "year", "symbol", "date", F.lit(1).alias("known")), ["bucket", "year", "symbol", "date"], "left")
         counts = stage(known.groupBy("symbol").agg(
             F.count_if(F.col("known").isNull()).alias("inserted"), F.count("known").alias("updated")), "upsert-counts")
-        self._write(merge_bars(kept, incoming))
+        self._write_parts(merge_bars(kept, incoming), write)
+        others = self.manifest(version).where("bucket IS NOT NULL").join(touched, ["bucket", "year"], "left_anti")
+        self._commit(others.unionByName(touched), version + 1)
         return counts
 
     def upsert(self, bars: DataFrame, at: datetime) -> int:
@@ -89,19 +150,16 @@ class BarTable:
 
     def delete(self, symbol: str) -> int:
         """Remove all bars of a symbol; returns how many there were."""
-        name = symbol.upper()
-        home = self._stored().where(F.col("bucket") == self.bucket(F.lit(name)))
-        gone = home.where((F.col("symbol") == name) & F.col("date").isNotNull())
+        version, name, write = self.current(), symbol.upper(), uuid.uuid4().hex
+        home = self._stored(version, self._home(name))
+        gone = home.where(F.col("symbol") == name)
         count = gone.count()
         if count:
-            years = gone.select("bucket", "year").distinct()
-            rest = home.where(F.col("symbol") != name).join(F.broadcast(years), ["bucket", "year"], "left_semi")
-            marker = years.select(
-                F.lit("").alias("symbol"), F.lit(None).cast("date").alias("date"),
-                *[F.lit(None).cast("double").alias(c) for c in BAR_VALUES],
-                *[F.lit(None).cast("timestamp").alias(c) for c in AUDIT], "bucket", "year",
-            )
-            self._write(rest.unionByName(marker))
+            years = stage(gone.select("bucket", "year").distinct(), "touched")
+            rest = stage(home.where(F.col("symbol") != name).drop("since").join(F.broadcast(years), ["bucket", "year"], "left_semi"), "rest")
+            self._write_parts(rest, write)
+            others = self.manifest(version).where("bucket IS NOT NULL").join(years, ["bucket", "year"], "left_anti")
+            self._commit(others.unionByName(self._parts_of(rest, write)), version + 1)
         return count
 
 

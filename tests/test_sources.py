@@ -63,6 +63,68 @@ def test_bar_table_round_trip(spark, make_bars):
     assert table.upsert(make_bars({"A": [9.0]}), T1) == 1
 
 
+def test_a_write_that_stops_before_its_manifest_changes_nothing(spark, make_bars, monkeypatch):
+    table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"A": [1.0, 2.0], "B": [5.0]}), T0)
+
+    def lost(*_):
+        raise RuntimeError("executor lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(store.BarTable, "_commit", lost)
+        for write in (lambda: table.upsert(make_bars({"A": [9.0, 9.0, 9.0]}), T1), lambda: table.delete("B")):
+            with pytest.raises(RuntimeError):
+                write()
+    assert sorted((r.symbol, r.close) for r in table.read().collect()) == [("A", 1.0), ("A", 2.0), ("B", 5.0)]
+    # what the stopped write left isn't taken for the next one's
+    assert table.upsert(make_bars({"A": [3.0]}), T1) == 0
+    assert sorted((r.symbol, r.close) for r in table.read().collect()) == [("A", 2.0), ("A", 3.0), ("B", 5.0)]
+
+
+def test_versions_and_concurrent_writers(spark, make_bars):
+    table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"A": [1.0]}), T0)
+    late = table.at_version(0)  # a writer that began before the next write
+    table.upsert(make_bars({"A": [2.0], "B": [5.0]}), T1)
+    with pytest.raises(store.ConcurrentWrite):
+        late.upsert(make_bars({"A": [7.0]}), T1)
+    assert sorted((r.symbol, r.close) for r in table.read().collect()) == [("A", 2.0), ("B", 5.0)]
+    assert [r.close for r in table.at_version(0).read().collect()] == [1.0] and table.current() == 1
+    table.delete("B")
+    assert [r.symbol for r in table.read().collect()] == ["A"] and table.at_version(1).read().count() == 2
+    table.delete("A")
+    assert table.read().count() == 0 and table.upsert(make_bars({"C": [1.0]}), T1) == 1
+    empty = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"A": [1.0]}).limit(0), T0)
+    assert empty.read().count() == 0 and empty.upsert(make_bars({"C": [1.0]}), T1) == 1
+
+
+def test_an_upsert_leaves_other_parts_alone(spark, make_bars):
+    table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"A": [1.0] * 800}), T0)
+    before = {(r.bucket, r.year): r.since for r in table.manifest().collect()}
+    table.upsert(make_bars({"A": [2.0]}), T1)
+    after = {(r.bucket, r.year): r.since for r in table.manifest().collect()}
+    assert before.keys() == after.keys() and sum(before[k] != after[k] for k in before) == 1
+    assert table.read().where("close = 2").count() == 1 and table.read().count() == 800
+
+
+def test_files_with_different_headers(spark, make_bars, tmp_path):
+    (tmp_path / "good.csv").write_text("Date,Open,High,Low,Close\n" + "".join(f"{2015 + i // 365}-{1 + i % 365 // 31:02d}-{1 + i % 365 % 28:02d},1,2,1,1\n" for i in range(3)))
+    (tmp_path / "other.csv").write_text('"Close",Low,"High",Open,Date,Note\n5,4,6,5,2015-01-01,"a, b"\n')
+    (tmp_path / "short.csv").write_text("Date,Close\n2015-01-01,7\n")
+    (tmp_path / "bare.csv").write_text("Date,Open,High,Low,Close\n")
+    (tmp_path / "nothing.csv").write_text("")
+    files = B.read_by_header(spark, str(tmp_path))
+    rows = {(r.dataset, r.date): (r.open, r.close, r.note) for r in files.rows.collect()}
+    assert rows["other", "2015-01-01"] == ("5", "5", "a, b") and rows["short", "2015-01-01"] == (None, "7", None) and len(rows) == 5
+    headers = {r.dataset: r.columns for r in files.headers.collect()}
+    assert headers["short"] == ["close", "date"] and "note" in headers["other"] and len(headers) == 4
+    expected = files.headers.select("dataset").unionByName(spark.createDataFrame([("nothing",)], "dataset string"))
+    found = {(r.dataset, r.check, r.column): r.severity for r in validate.findings(files.rows, expected=expected, headers=files.headers).collect()}
+    assert found["short", "columns", "open"] == "error" and found["other", "columns", "note"] == "warning" and found["nothing", "empty", ""] == "error"
+    assert found["bare", "empty", ""] == "error" and ("short", "missing", "open") not in found and ("good", "columns", "open") not in found
+    table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"Z": [1.0]}), T0)
+    jobs = {r.symbol: r.status for r in pipeline.import_bars(files.rows, table, T1, min_years=0, headers=files.headers).jobs.collect()}
+    assert jobs["OTHER"] == "completed" and jobs["GOOD"] == "completed" and {jobs[s] for s in ("SHORT", "BARE")} == {"failed"}
+
+
 def test_scan_prunes_partitions(spark, make_bars):
     table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=4).create(make_bars({"A": [1.0], "B": [2.0]}), T0)
     plan = table.scan("A", "2015-01-01", "2015-12-31")._jdf.queryExecution().executedPlan().toString()
