@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -165,6 +165,13 @@ def experiment_overview(comparison: DataFrame) -> DataFrame:
     )
 
 
+def model_performance(comparison: DataFrame) -> DataFrame:
+    """Test errors of every (symbol, model), with its place among the symbol's models by squared error (ties: by name)."""
+    order = Window.partitionBy("symbol").orderBy(F.col("test_mse").asc_nulls_last(), "model")  # a handful of models
+    return comparison.select(
+        "symbol", "model", *[f"test_{m}" for m in ("mse", "mae", "r2", "mape_pct")], F.row_number().over(order).alias("place"))
+
+
 def prediction_summary(predictions: DataFrame, total: bool = False) -> DataFrame:
     """Per symbol (with `total` also over all, symbol NULL): number, number with actual, mean, deviation, extremes; errors over
     the rows with an actual."""

@@ -32,7 +32,7 @@ def ensemble_weights(predictions: DataFrame, method: str = "performance_based")
     elif method == "equal":
         score = F.lit(1.0)
     else:
-        raise ValueError(f"Unknown ensemble method: {method}")
+        raise ValueError(f"no way to combine models is called {method}")
     scores = predictions.groupBy("symbol", "model").agg(F.count("*").alias("rows"), score.alias("score"))
     total = F.sum("score").over(Window.partitionBy("symbol"))
     return scores.select("symbol", "model", (F.col("score") / total).alias("weight"))
@@ -46,7 +46,7 @@ def combine(
 
     Models without a weight count nothing beside weighted ones; where no model has a weight, all count alike."""
     if method not in ("weighted_average", "simple_average"):
-        raise ValueError(f"Unknown ensemble method: {method}")
+        raise ValueError(f"no way to combine models is called {method}")
     p = F.col("prediction")
     if method == "weighted_average" and weights is not None:
         predictions = predictions.join(weights, ["symbol", "model"], "left")

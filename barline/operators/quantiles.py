@@ -1,87 +1,85 @@
-"""Exact quantiles of unbounded groups.
+"""Exact quantiles of unbounded groups by radix selection.
 
 `percentile` keeps every distinct value of a group in one task's memory, which is fine for a panel (a row per day)
-but not for raw input, where one source may hold a third of all rows. Here a mergeable sketch brackets each
-quantile, one aggregate counts what lies below the bracket, and the bracket is cut into CELLS ranges of equal width. Counts by
-range tell which range holds the place; only its values are ranked. A bracket that missed its place is an error, never a NULL.
+but not for raw input, where one source may hold a third of all rows. Here values become 64-bit numbers of the same order,
+and each is counted once with its frequency, whatever the number of fractions. Then, 16 bits a pass from the top, counts by cell tell which cell
+holds a wanted place; only cells that hold one go on. After four passes a cell is a value. A cell's place among others of its
+prefix is known from at most 65,536 counts, so no task ranks values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-SKETCH_ACCURACY = 10_000
-CELLS = 4096  # ranges of a bracket
-MARGIN = 3  # half width of a bracket in units of the sketch's rank error
+from barline.sources.scratch import stage
 
+BITS = 16
 
-def exact_quantiles(
-    df: DataFrame, key: str, columns: Sequence[str], fractions: Sequence[float], accuracy: int = SKETCH_ACCURACY
-) -> DataFrame:
-    """(key, column, fraction, quantile) with linear interpolation between neighbours, NULLs skipped."""
+
+def _ordered(values: np.ndarray) -> np.ndarray:
+    """64-bit numbers in the order of the doubles; -0.0 counts as 0.0."""
+    raw = (values + 0.0).view(np.int64)
+    return np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw)
+
+
+def order_code() -> Column:
+    @F.pandas_udf("long")
+    def code(values: pd.Series) -> pd.Series:
+        return pd.Series(_ordered(values.to_numpy(np.float64)))
+
+    return code("value")
+
+
+def value_of_code() -> Column:
+    @F.pandas_udf("double")
+    def value(codes: pd.Series) -> pd.Series:
+        raw = codes.to_numpy(np.int64)
+        return pd.Series(np.where(raw < 0, raw ^ np.int64(2**63 - 1), raw).view(np.float64))
+
+    return value("cell")
+
+
+def value_counts(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
+    """(key, column, value, held): how often each value stands in a column, NULLs skipped."""
     values = df.select(
-        key,
-        F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])),
+        key, F.inline(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns])),
     ).where(F.col("value").isNotNull())
-    freq = values.groupBy(key, "column", "value").agg(F.count("*").alias("held"))
-
-    margin = MARGIN / accuracy
-    # Below this size the bracket could miss the neighbour that interpolation needs, and ranking all values is cheap.
-    small = F.col("n") < 2 * accuracy
-    edges = []
-    for p in fractions:
-        edges += [max(p - margin, 0.0), min(p + margin, 1.0)]
-    sketch = values.groupBy(key, "column").agg(
-        F.count("*").alias("n"),
-        F.percentile_approx("value", [float(e) for e in edges], accuracy).alias("edges"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-    )
-    brackets = sketch.select(
-        key, "column", "n",
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(float(p)).alias("fraction"),
-                (F.lit(float(p)) * (F.col("n") - 1)).alias("place"),
-                F.when(small | F.lit(p <= margin), F.col("least")).otherwise(F.col("edges")[2 * i]).alias("low"),
-                F.when(small | F.lit(p >= 1 - margin), F.col("most")).otherwise(F.col("edges")[2 * i + 1]).alias("high"),
-            )
-            for i, p in enumerate(fractions)
-        ])),
-    )
-    hits = freq.join(brackets, [key, "column"]).where(F.col("value") <= F.col("high"))
-    # Everything below a bracket, and each of its ranges, collapses to one count before the shuffle.
-    share_of_width = F.try_divide(F.col("value") - F.col("low"), F.col("high") - F.col("low"))
-    cell = F.when(F.col("value") < F.col("low"), -1).otherwise(F.coalesce(F.floor(share_of_width * CELLS), F.lit(0)))
-    hits = hits.withColumn("cell", cell.cast("int"))
-    group = [key, "column", "fraction", "place"]
-    low, high = F.floor("place"), F.ceil("place")
-
-    def holds(place):
-        return (F.col("from") <= place) & (place < F.col("upto"))
-
-    by_cell = hits.groupBy(*group, "cell").agg(F.sum("held").alias("held"))
-    cells = Window.partitionBy(key, "column", "fraction").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0)
-    counted = by_cell.withColumn("upto", F.sum("held").over(cells)).withColumn("from", F.col("upto") - F.col("held"))
-    wanted = counted.where((F.col("cell") >= 0) & (holds(low) | holds(high))).select(
-        key, "column", "fraction", "cell", F.col("from").alias("before"))
-
-    ranked = hits.join(wanted, [key, "column", "fraction", "cell"]).groupBy(*group, "cell", "before", "value").agg(F.sum("held").alias("held"))
-    order = Window.partitionBy(key, "column", "fraction", "cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = ranked.withColumn("upto", F.col("before") + F.sum("held").over(order)).withColumn("from", F.col("upto") - F.col("held"))
-
-    def at(place):
-        return F.max(F.when(holds(place), F.col("value")))
-
-    found = ranked.groupBy(*group).agg(at(low).alias("a"), at(high).alias("b"))
-    missed = F.raise_error(F.concat(F.lit("The bracket of a quantile missed its place: "), F.to_json(F.struct(*group)))).cast("double")
-    # brackets without any hit are kept by the outer join, so that a miss can't vanish
-    picked = brackets.select(*group).join(found, group, "left").withColumns(
-        {c: F.coalesce(F.col(c), missed) for c in ("a", "b")})
+    return values.groupBy(key, "column", "value").agg(F.count("*").alias("held"))
+
+
+def exact_quantiles(df: DataFrame, key: str, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
+    """(key, column, fraction, quantile) with linear interpolation between neighbours, NULLs skipped."""
+    return quantiles_of_counts(value_counts(df, key, columns), key, fractions)
+
+
+def quantiles_of_counts(counts: DataFrame, key: str, fractions: Sequence[float]) -> DataFrame:
+    """As exact_quantiles, from key, column, value, held."""
+    group = [key, "column"]
+    codes = stage(counts.select(*group, order_code().alias("code"), "held"), "codes")
+    place = F.col("fraction") * (F.col("n") - 1)
+    asked = codes.groupBy(*group).agg(F.sum("held").alias("n")).withColumn(
+        "fraction", F.explode(F.array(*[F.lit(float(p)) for p in fractions]))).withColumn("place", place)
+    asked = stage(asked, "places")
+    # a place is a rank from 0; `before` counts what lies below the prefix that holds it
+    wanted = asked.select(*group, F.explode(F.array(F.floor("place"), F.ceil("place"))).alias("rank")).distinct()
+    wanted = wanted.withColumns({"prefix": F.lit(0).cast("long"), "before": F.lit(0).cast("long")})
+    for done in range(0, 64, BITS):
+        shift = 64 - BITS - done
+        prefix = F.shiftright("code", shift + BITS) if done else F.lit(0).cast("long")
+        codes_ = codes.withColumn("prefix", prefix).join(wanted.select(*group, "prefix").distinct(), [*group, "prefix"], "left_semi")
+        cells = codes_.groupBy(*group, "prefix", F.shiftright("code", shift).alias("cell")).agg(F.sum("held").alias("held"))
+        upto = F.sum("held").over(Window.partitionBy(*group, "prefix").orderBy("cell").rowsBetween(Window.unboundedPreceding, 0))
+        cells = cells.withColumn("upto", upto).withColumn("from", F.col("upto") - F.col("held"))
+        holds = (F.col("rank") - F.col("before") >= F.col("from")) & (F.col("rank") - F.col("before") < F.col("upto"))
+        wanted = stage(wanted.join(cells, [*group, "prefix"]).where(holds).select(
+            *group, "rank", F.col("cell").alias("prefix"), (F.col("before") + F.col("from")).alias("before")), "wanted")
+    found = wanted.withColumnRenamed("prefix", "cell").select(*group, "rank", value_of_code().alias("value"))
+    low, high = (found.select(*group, F.col("rank").alias(f"{side}_rank"), F.col("value").alias(side)) for side in ("low", "high"))
+    both = asked.withColumns({"low_rank": F.floor("place"), "high_rank": F.ceil("place")}).join(low, [*group, "low_rank"]).join(high, [*group, "high_rank"])
     share = F.col("place") - F.floor("place")
-    return picked.select(
-        key, "column", "fraction", (F.col("a") + (F.col("b") - F.col("a")) * share).alias("quantile")
-    )
+    return both.select(*group, "fraction", (F.col("low") + (F.col("high") - F.col("low")) * share).alias("quantile"))

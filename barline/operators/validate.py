@@ -8,11 +8,15 @@ spans raw rows.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barline.functions.columns import ratio
-from barline.operators.quantiles import exact_quantiles
+from barline.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from barline.sources.scratch import stage
 
 REQUIRED = ("date", "open", "high", "low", "close")
 OPTIONAL = ("volume", "market_cap")
@@ -26,6 +30,7 @@ STRUCTURE = {  # name -> (left, right): a row is inconsistent when left < right
     "close_below_low": ("close", "low"),
 }
 MIN_YEARS = 2
+BOUND_FRACTIONS = (0.01, 0.25, 0.75, 0.99)
 
 
 def _plain(name: str) -> str:
@@ -66,26 +71,28 @@ def columns_of(raw: DataFrame) -> list[str]:
     return [_plain(c) for c in raw.columns if _plain(c) != "dataset"]
 
 
-def profile(raw: DataFrame) -> DataFrame:
-    """Per dataset, in one aggregate: rows, missing / uncastable / negative / zero counts, broken price relations,
-    first and last day, span, repeated days."""
-    rows = _typed(raw)
-    have = columns_of(raw)
-    aggs = [F.count("*").alias("rows")]
+def _flags(raw: DataFrame) -> dict[str, Column]:
+    """What a row of typed columns is counted for, by name."""
+    have, out = columns_of(raw), {}
     for c in have:
-        aggs.append(F.count_if(F.col(f"{c}__raw").isNull()).alias(f"{c}__missing"))
+        out[f"{c}__missing"] = F.col(f"{c}__raw").isNull()
         if c in (*REQUIRED, *OPTIONAL):
-            aggs.append(F.count_if(F.col(f"{c}__raw").isNotNull() & F.col(c).isNull()).alias(f"{c}__uncastable"))
+            out[f"{c}__uncastable"] = F.col(f"{c}__raw").isNotNull() & F.col(c).isNull()
     for c in PRICES:
         if c in have:
-            aggs += [F.count_if(F.col(c) < 0).alias(f"{c}__negative"), F.count_if(F.col(c) == 0).alias(f"{c}__zero")]
+            out |= {f"{c}__negative": F.col(c) < 0, f"{c}__zero": F.col(c) == 0}
     if not missing_columns(raw, PRICES):
-        aggs += [F.count_if(F.col(a) < F.col(b)).alias(name) for name, (a, b) in STRUCTURE.items()]
-        inconsistent = F.lit(False)
-        for a, b in STRUCTURE.values():
-            inconsistent = inconsistent | F.coalesce(F.col(a) < F.col(b), F.lit(False))
-        aggs.append(F.count_if(inconsistent).alias("inconsistent"))
-    if "date" in have:
+        broken = {name: F.coalesce(F.col(a) < F.col(b), F.lit(False)) for name, (a, b) in STRUCTURE.items()}
+        out |= broken
+        out["inconsistent"] = reduce(or_, broken.values())
+    return {n: F.coalesce(f, F.lit(False)) for n, f in out.items()}
+
+
+def profile(raw: DataFrame) -> DataFrame:
+    """Per dataset, in one aggregate: rows, missing / uncastable / negative / zero counts, broken price relations,
+    first and last day, span, repeated days."""
+    aggs = [F.count("*").alias("rows"), *[F.count_if(f).alias(n) for n, f in _flags(raw).items()]]
+    if "date" in columns_of(raw):
         empty_days = (F.count_if(F.col("date").isNull()) > 0).cast("bigint")
         aggs += [
             F.min("date").alias("first_date"),
@@ -93,7 +100,18 @@ def profile(raw: DataFrame) -> DataFrame:
             F.datediff(F.max("date"), F.min("date")).alias("span_days"),
             (F.count("*") - F.count_distinct("date") - empty_days).alias("duplicates"),
         ]
-    return rows.groupBy("dataset").agg(*aggs)
+    return _typed(raw).groupBy("dataset").agg(*aggs)
+
+
+def profile_of_days(raw: DataFrame, days: DataFrame) -> DataFrame:
+    """As profile, from the day rows of one_scan."""
+    aggs = [F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in _flags(raw)]]
+    if "date" in columns_of(raw):
+        aggs += [
+            F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.datediff(F.max("day"), F.min("day")).alias("span_days"),
+            (F.sum("rows") - F.count("*")).alias("duplicates"),  # rows without a day are one row here, as one more day
+        ]
+    return days.groupBy("dataset").agg(*aggs)
 
 
 def dataset_info(raw: DataFrame) -> DataFrame:
@@ -111,7 +129,11 @@ def day_steps(raw: DataFrame) -> DataFrame:
     Works on one row per day (repeats of a day are steps of 0), so the ordered part is bounded by the calendar.
     """
     days = _typed(raw.select("dataset", *[c for c in raw.columns if _plain(c) == "date"]))
-    days = days.where(F.col("date").isNotNull()).groupBy("dataset", "date").agg(F.count("*").alias("held"))
+    return _steps(days.where(F.col("date").isNotNull()).groupBy("dataset", "date").agg(F.count("*").alias("held")))
+
+
+def _steps(days: DataFrame) -> DataFrame:
+    """Steps from dataset, date, held (rows of the day)."""
     series = Window.partitionBy("dataset").orderBy("date")
     steps = days.withColumn("step", F.datediff("date", F.lag("date").over(series)))
     both = F.array(
@@ -136,36 +158,58 @@ def large_gaps(raw: DataFrame) -> DataFrame:
 
     Ranks the distinct step lengths of a dataset (a handful), so the rows are scanned once.
     """
+    return _gaps(day_steps(raw))
+
+
+def _gaps(steps: DataFrame) -> DataFrame:
     ranked = Window.partitionBy("dataset").orderBy(F.desc("times"), "step")
-    steps = day_steps(raw).withColumn("usual_step", F.first("step").over(ranked))
+    steps = steps.withColumn("usual_step", F.first("step").over(ranked))
     wide = F.col("step") > 2 * F.col("usual_step")
     return steps.groupBy("dataset", "usual_step").agg(
         F.sum(F.when(wide, F.col("times")).otherwise(0)).alias("gaps")
     )
 
 
-def outlier_bounds(raw: DataFrame) -> DataFrame:
-    """Per dataset and price column q01 - 3 IQR and q99 + 3 IQR, from exact quantiles."""
-    quantiles = exact_quantiles(_typed(raw), "dataset", PRICES, (0.01, 0.25, 0.75, 0.99))
+def _bounds(quantiles: DataFrame) -> DataFrame:
+    """dataset, column, low, high: q01 - 3 IQR and q99 + 3 IQR."""
     def q(p: float) -> Column:
         return F.max(F.when(F.col("fraction") == p, F.col("quantile")))
 
     iqr = q(0.75) - q(0.25)
-    return quantiles.groupBy("dataset", "column").agg(
-        (q(0.01) - 3 * iqr).alias("low"), (q(0.99) + 3 * iqr).alias("high")
-    )
+    return quantiles.groupBy("dataset", "column").agg((q(0.01) - 3 * iqr).alias("low"), (q(0.99) + 3 * iqr).alias("high"))
 
 
-def outlier_counts(raw: DataFrame) -> DataFrame:
-    """(dataset, <price>__outliers ...): values outside the bounds, one pass over the rows."""
-    bounds = outlier_bounds(raw).groupBy("dataset").agg(
-        *[F.max(F.when(F.col("column") == c, F.col(side))).alias(f"{c}__{side}") for c in PRICES for side in ("low", "high")]
-    )
-    rows = _typed(raw).select("dataset", *PRICES).join(bounds, "dataset")
+def outlier_bounds(raw: DataFrame) -> DataFrame:
+    """Per dataset and price column q01 - 3 IQR and q99 + 3 IQR, from exact quantiles."""
+    return _bounds(exact_quantiles(_typed(raw), "dataset", PRICES, BOUND_FRACTIONS))
+
+
+def outliers_of_counts(counts: DataFrame) -> DataFrame:
+    """(dataset, <price>__outliers ...) from dataset, column, value, held: values outside the bounds."""
+    bounds = _bounds(quantiles_of_counts(counts, "dataset", BOUND_FRACTIONS))
+    outside = (F.col("value") > F.col("high")) | (F.col("value") < F.col("low"))
+    rows = counts.join(bounds, ["dataset", "column"])
     return rows.groupBy("dataset").agg(*[
-        F.count_if((F.col(c) > F.col(f"{c}__high")) | (F.col(c) < F.col(f"{c}__low"))).alias(f"{c}__outliers")
-        for c in PRICES
-    ])
+        F.sum(F.when((F.col("column") == c) & outside, F.col("held")).otherwise(0)).alias(f"{c}__outliers") for c in PRICES])
+
+
+def outlier_counts(raw: DataFrame) -> DataFrame:
+    """(dataset, <price>__outliers ...): values outside the bounds."""
+    return outliers_of_counts(stage(value_counts(_typed(raw), "dataset", PRICES), "value-counts"))
+
+
+def one_scan(raw: DataFrame) -> DataFrame:
+    """What all rules need, from one pass over the rows: per dataset and day the counts of a profile (column NULL), and per dataset, price column
+    and value how often it stands there (`rows`). Combined before the shuffle, so it is as long as there are days and different values."""
+    rows, flags = _typed(raw), _flags(raw)
+    day = F.col("date") if "date" in columns_of(raw) else F.lit(None).cast("date")
+    head = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("value"), day.alias("day"), *[
+        f.cast("int").alias(n) for n, f in flags.items()])
+    prices = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(None).cast("date").alias("day"), *[
+        F.lit(0).alias(n) for n in flags]) for c in PRICES if c in columns_of(raw)]
+    cells = rows.select("dataset", F.inline(F.array(head, *prices))).where("column IS NULL OR value IS NOT NULL")
+    return stage(cells.groupBy("dataset", "column", "value", "day").agg(
+        F.count("*").alias("rows"), *[F.sum(n).cast("bigint").alias(n) for n in flags]), "one-scan")
 
 
 def _finding(check: str, column: str, severity: Column, n: Column, message: Column) -> Column:
@@ -188,11 +232,15 @@ def findings(
     dataset has; without it all have those of the frame. A rule about a column is asked of the datasets that have it.
     """
     have = columns_of(raw)
-    facts = profile(raw)
+    seen = one_scan(raw)
+    days = seen.where(F.col("column").isNull())
+    facts = profile_of_days(raw, days)
     if "date" in have:
-        facts = facts.join(large_gaps(raw), "dataset", "left")
+        held = days.where(F.col("day").isNotNull()).select("dataset", F.col("day").alias("date"), F.col("rows").alias("held"))
+        facts = facts.join(_gaps(_steps(held)), "dataset", "left")
     if not missing_columns(raw, PRICES):
-        facts = facts.join(outlier_counts(raw), "dataset", "left")
+        counts = seen.where(F.col("column").isNotNull()).select("dataset", "column", "value", F.col("rows").alias("held"))
+        facts = facts.join(outliers_of_counts(counts), "dataset", "left")
 
     def count_rule(check: str, column: str, fact: str, severity: str, text: str) -> Column:
         n = F.col(fact)
@@ -252,7 +300,7 @@ def findings(
         found = facts.join(headers, "dataset").select("dataset", "columns", F.inline(F.array(*rules))).where(
             F.col("severity").isNotNull() & F.expr("array_contains(columns, `column`)")).drop("columns").unionByName(header_findings(headers))
     if expected is not None:
-        empty = expected.select("dataset").distinct().join(raw.select("dataset").distinct(), "dataset", "left_anti")
+        empty = expected.select("dataset").distinct().join(days.select("dataset").distinct(), "dataset", "left_anti")
         found = found.unionByName(empty.select(
             "dataset", F.lit("empty").alias("check"), F.lit("").alias("column"), F.lit("error").alias("severity"),
             F.lit(0).cast("bigint").alias("n"), F.lit("Dataset is empty").alias("message"),

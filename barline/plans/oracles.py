@@ -475,6 +475,16 @@ SELECT symbol, model, {r('test_mse', 2)}, {r('test_r2', 6)} FROM (
 ORACLES["a17_experiment_overview"] = ctes(*COMPARE) + f"""
 SELECT symbol, count(DISTINCT symbol) AS symbols, count(*) AS models, {r('avg(test_mse)', 2, 'avg_test_mse')}, {r('avg(test_mae)', 3, 'avg_test_mae')},
   {r('avg(test_r2)', 6, 'avg_test_r2')}, {r('avg(test_mape_pct)', 6, 'avg_test_mape_pct')} FROM wide GROUP BY ROLLUP (symbol)"""
+ORACLES["a17_model_performance"] = ctes(*COMPARE) + f"""
+SELECT symbol, model, {r('test_mse', 2)}, {r('test_mae', 3)}, {r('test_r2', 6)}, {r('test_mape_pct', 6)},
+  CAST(row_number() OVER (PARTITION BY symbol ORDER BY test_mse, model) AS INTEGER) AS place FROM wide"""
+ORACLES["j9_references"] = ctes(*FORECAST) + """
+SELECT 'job_source' AS relation, CAST(s_suppkey AS VARCHAR) AS symbol, count(*) AS rows, count_if(r_name <> 'ASIA') AS known, count_if(r_name = 'ASIA') AS orphans
+FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL
+UNION ALL SELECT 'prediction_model', symbol, count(*), count_if(model <> 'ma_10'), count_if(model = 'ma_10') FROM preds GROUP BY symbol
+UNION ALL SELECT 'prediction_bar', p.symbol, count(*), count(b.date), count_if(b.date IS NULL) FROM preds p LEFT JOIN bars b ON b.symbol = p.symbol AND b.date = p.date + 1 GROUP BY p.symbol
+UNION ALL SELECT 'metric_model', symbol, 5 * count(*), 5 * count_if(model <> 'ma_10'), 5 * count_if(model = 'ma_10')
+  FROM (SELECT DISTINCT symbol, model, split FROM preds) GROUP BY symbol"""
 SCORED = FEATURE_NAMES
 SCORES = (*feats(), EMA, F3, ROWS3, "scores AS (" + " UNION ALL ".join(
     f"""SELECT symbol, {i} AS position, '{c}' AS feature, x * x / (1 - x * x) * (c - 2) AS score FROM (

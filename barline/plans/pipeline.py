@@ -178,6 +178,7 @@ class ExperimentResults:
     weights: DataFrame
     predictions: DataFrame
     summary: DataFrame
+    performance: DataFrame
 
 
 def experiment_id(symbols: Sequence[str], model_types: Sequence[str], at: datetime, config: PipelineConfig | None = None) -> str:
@@ -227,17 +228,17 @@ def run_experiment(
     told = evaluate.prediction_summary(predictions, total=True).select(
         F.col("symbol").alias("of"), "total_predictions", "predictions_with_actuals", "mean_prediction", "mse", "mae")
     best = evaluate.best_models(comparison).select(F.col("symbol").alias("best_of"), F.col("model").alias("best_model"))
-    overview = evaluate.experiment_overview(comparison)
+    overview, performance = evaluate.experiment_overview(comparison), evaluate.model_performance(comparison)
     summary = overview.join(told, overview["symbol"].eqNullSafe(told["of"]), "left").drop("of")
     summary = summary.join(best, F.col("symbol") == F.col("best_of"), "left").drop("best_of")
     names = sorted(r.symbol for r in trained.fitted().select("symbol").distinct().toLocalIterator())
     eid = experiment_id(["panel" if s == "*" else s for s in names], list(config.model_types), started, config)
     if out_dir:
-        sinks.save_experiment(eid, comparison, summary, out_dir)
+        sinks.save_experiment(eid, comparison, summary, out_dir, performance)
         sinks.save_predictions(predictions, f"{out_dir}/forecasts/{eid}", weights, experiment_id=eid)
         runs.append(run_records(eid, config, comparison, started, trained, out_dir), f"{out_dir}/runs")
         trained.save(f"{out_dir}/models/{eid}")
-    return ExperimentResults(eid, prepared, trained, metrics, comparison, weights, predictions, summary)
+    return ExperimentResults(eid, prepared, trained, metrics, comparison, weights, predictions, summary, performance)
 
 
 def run_records(

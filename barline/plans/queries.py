@@ -20,7 +20,7 @@ from barline.operators.layout import drop_copies, lay_out, positions
 from barline.operators.quantiles import exact_quantiles
 from barline.plans import pipeline
 from barline.sources import bars as B
-from barline.sources import derived, lake, runs, sinks, store
+from barline.sources import derived, lake, relations, runs, sinks, store
 from barline.sources.derived import bars_events, bars_flag, bars_supp, table
 from barline.sources.scratch import fresh_path, stage
 
@@ -478,6 +478,21 @@ def j9_foreign_keys(spark, sf):
     )
 
 
+@query
+def j9_references(spark, sf):
+    """Import jobs and their sources, predictions with their models and bars, metrics and their models: what is known and what is an orphan."""
+    nations = table(spark, sf, "nation")
+    supplied = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey"))
+    told = forecasts(spark, sf)
+    tables = {
+        "jobs": supplied.select(F.col("s_suppkey").cast("string").alias("symbol"), F.col("n_name").alias("source")),
+        "sources": nations.join(table(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey")).where("r_name <> 'ASIA'").select(F.col("n_name").alias("name")),
+        "models": told.where("split = 'test' AND model <> 'ma_10'").select("symbol", "model"),
+        "predictions": told.select("symbol", "model", F.date_add("date", 1).alias("target_date")),
+        "metrics": evaluate.training_metrics(told).select("symbol", "model"), "bars": bars_flag(spark, sf)}
+    return relations.reference_report(tables)
+
+
 @query
 def j10_apply_statistics(spark, sf):
     bars = bars_supp(spark, sf)
@@ -647,6 +662,12 @@ def a17_experiment_overview(spark, sf):
     return tidy(evaluate.experiment_overview(comparison(spark, sf)), avg_test_mae=3)
 
 
+@query
+def a17_model_performance(spark, sf):
+    """Test errors and place of every (symbol, model)."""
+    return tidy(evaluate.model_performance(comparison(spark, sf)), test_mae=3)
+
+
 @query
 def a18_f_scores(spark, sf):
     rows = splits.split_by_fraction(training_rows(engineer_features(bars_flag(spark, sf))))

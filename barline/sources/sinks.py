@@ -29,9 +29,10 @@ def prediction_sidecar(predictions: DataFrame, weights: DataFrame | None = None,
     return side.withColumn("metadata", F.struct(*facts)) if facts else side
 
 
-def save_experiment(experiment_id: str, comparison: DataFrame, summary: DataFrame, path: str) -> None:
-    """Comparison as CSV and summary as JSON, both partitioned by experiment; saving an experiment again replaces it."""
-    for df, name in ((comparison, "comparison"), (summary, "summary")):
+def save_experiment(experiment_id: str, comparison: DataFrame, summary: DataFrame, path: str, performance: DataFrame | None = None) -> None:
+    """Comparison as CSV, summary and performance of each model as JSON, partitioned by experiment; saving an experiment again replaces it."""
+    tables = [(comparison, "comparison"), (summary, "summary"), *([] if performance is None else [(performance, "performance")])]
+    for df, name in tables:
         out = df.withColumn("experiment_id", F.lit(experiment_id)).write.mode("overwrite").option(
             "partitionOverwriteMode", "dynamic").partitionBy("experiment_id")
         out.option("header", True).csv(f"{path}/{name}") if name == "comparison" else out.json(f"{path}/{name}")

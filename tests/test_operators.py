@@ -104,13 +104,12 @@ def test_comparison_and_best_model(spark):
 # ---- quantiles ----------------------------------------------------------------------------------------------------
 
 
-@pytest.mark.parametrize("accuracy", [10_000, 60])
-def test_exact_quantiles_against_brute_force(spark, accuracy):
+def test_exact_quantiles_against_brute_force(spark):
     rng = np.random.default_rng(3)
     frame = pd.DataFrame({"k": np.where(rng.random(9000) < 0.6, "hot", "cold"), "v": rng.lognormal(size=9000).round(2)})
     frame.loc[frame.index % 50 == 0, "v"] = None
     got = exact_quantiles(spark.createDataFrame(frame).selectExpr("k", "nullif(v, double('NaN')) AS v"), "k", ["v"],
-                          [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0], accuracy).toPandas()
+                          [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]).toPandas()
     assert len(got) == 14
     for r in got.itertuples():
         want = frame[frame.k == r.k].v.quantile(r.fraction)
@@ -334,10 +333,31 @@ def test_the_first_of_several_faults_is_reported(spark):
         assert e.value.reason == "incompatible_lengths"
 
 
-def test_quantiles_of_one_large_group(spark):
-    """A group with nearly all rows and values that hardly repeat: the bracket is far wider than what gets ranked."""
+def test_quantiles_of_hot_constant_and_negative_groups(spark):
+    """A group with nearly all rows and values that hardly repeat, one value, negative values, zeros of both signs, values of any size."""
     rng = np.random.default_rng(8)
-    frame = pd.DataFrame({"k": ["big"] * 30000 + ["small"] * 50, "v": np.concatenate([rng.lognormal(size=30000), rng.normal(size=50)])})
-    got = exact_quantiles(spark.createDataFrame(frame), "k", ["v"], [0.01, 0.25, 0.5, 0.99], accuracy=500)
-    for r in got.collect():
-        assert r.quantile == pytest.approx(frame[frame.k == r.k].v.quantile(r.fraction), rel=1e-12)
+    groups = {"big": rng.lognormal(size=20000), "small": rng.normal(size=50), "constant": np.full(500, 3.25), "negative": -rng.lognormal(3, 4, size=400),
+              "zeros": np.array([-0.0, 0.0, -1e-300, 1e-300, 0.0]), "wide": rng.normal(size=300) * 10.0 ** rng.integers(-300, 300, 300), "one": np.array([-7.5])}
+    frame = pd.DataFrame({"k": np.repeat(list(groups), [len(v) for v in groups.values()]), "v": np.concatenate(list(groups.values()))})
+    fractions = [0.0, 0.01, 0.25, 0.5, 0.99, 1.0]
+    got = exact_quantiles(spark.createDataFrame(frame), "k", ["v"], fractions).collect()
+    assert len(got) == len(groups) * len(fractions)
+    for r in got:
+        assert r.quantile == pytest.approx(np.quantile(groups[r.k], r.fraction), rel=1e-12), (r.k, r.fraction)
+
+
+def test_findings_scan_the_rows_once(spark, make_bars, tmp_path):
+    make_bars({"a": [10.0 + i % 9 for i in range(800)], "b": [5.0] * 30}).withColumnRenamed("symbol", "dataset").write.parquet(str(tmp_path / "raw"))
+    rows = spark.read.parquet(str(tmp_path / "raw"))
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    counted = rows.mapInArrow(count, rows.schema)
+    found = validate.findings(counted)
+    found.collect()
+    assert seen.value == 830
+    assert validate.outlier_counts(rows).count() == 2
