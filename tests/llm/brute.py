@@ -77,12 +77,12 @@ def near_duplicates(docs, least=0.8):
 def top_products(vectors, every=20, k=20):
     import math
 
-    whole = {(i, tuple(math.floor(64 * x) for x in v)) for i, v in vectors
-             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)}
-    out = []
-    for q in {i for i, _ in whole if i % every == 0}:
-        scores = [(-sum(a * b for a, b in zip(mine, v)), i) for j, mine in whole if j == q for i, v in whole if i != q and len(v) == len(mine)]
-        out += [(q, r, i, -s) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
+    whole = [(i, tuple(math.floor(64 * x) if abs(x) < 1e300 else int(x) * 64 for x in v)) for i, v in vectors
+             if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    asked, out = {w for w in whole if w[0] % every == 0}, []
+    for q in {i for i, _ in asked}:
+        scores = [(-sum(a * b for a, b in zip(mine, v)), i) for j, mine in asked if j == q for i, v in whole if i != q and len(v) == len(mine)]
+        out += [(q, r, i, max(-(2**63), min(2**63 - 1, -s))) for r, (s, i) in enumerate(sorted(scores)[:k], 1)]
     return out
 
 
