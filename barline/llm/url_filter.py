@@ -5,8 +5,8 @@ an `add` to the day of the next `remove`, which is outside. A capture is looked
 host with path, against the entries valid on the day it was fetched. DataFrame operations only.
 
 Several events of an entry on one day: `remove` wins. Repeated adds or removes change nothing. Events with a null or unknown part are void.
-Captures without a readable host, or without a date, match nothing and pass; repeated captures are judged each. Host names beyond
-253 characters, the bound of DNS, are looked up whole, without parents. An empty list lets everything pass.
+Captures without a readable host, or without a date, match nothing and pass; repeated captures are judged each. Of very long hosts only
+parents no longer than the longest entry are looked up, as others can't match. An empty list lets everything pass.
 """
 
 from __future__ import annotations
@@ -14,9 +14,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from barline.llm.common import staged
+
 HOST = r"^[a-z][a-z0-9+.-]*://(?:[^/?#]*@)?([^/?#:]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)"
-LONGEST_HOST = 253
 
 
 def host_of(url: str | Column) -> Column:
@@ -41,33 +42,36 @@ def validity_intervals(events: DataFrame) -> DataFrame:
 
 
 def lookup_keys() -> Column:
-    """Keys of `_host` and `_page`: the host, its parents, and host with path."""
-    labels = F.split("_host", r"\.")
-    parents = F.when(
-        F.length("_host") <= LONGEST_HOST,
-        F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    ).otherwise(F.array("_host"))
-    return F.when(F.col("_host").isNull(), F.array(F.lit(None).cast("string"))).otherwise(F.array_append(parents, F.col("_page")))
+    """Keys of `_host` and `_page`, no longer than `_longest`: the host, its parents, and host with path."""
+    # the last `_longest` characters and one before them hold every parent that can match, and the host itself if it is no longer
+    tail = F.when(F.length("_host") > F.col("_longest"), F.right("_host", F.col("_longest") + 1)).otherwise(F.col("_host"))
+    labels = F.split(tail, r"\.")
+    cut = F.when(F.length("_host") > F.col("_longest"), 2).otherwise(1)  # the first label of a tail is no whole label
+    parents = F.when(F.size(labels) >= cut, F.transform(
+        F.sequence(cut, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
+    page = F.when(F.length("_page") <= F.col("_longest"), F.array("_page")).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(parents, page))
 
 
 def filter_captures(captures: DataFrame, events: DataFrame, url: str = "url", fetched: str = "fetched") -> DataFrame:
     """All columns of the captures as struct `capture`, with host, blocked, n_entries, entries (sorted "list:entry").
 
-    Keys are exploded and joined as they are: a hot host is a skewed join of a large side with one row per interval, which Spark
-    splits; verdicts are then combined by capture, so nothing else meets in one task.
+    Captures are numbered and written once. Only number, key and day are exploded and joined: a hot host is a skewed join of a large side with
+    one row per interval, which Spark splits. Entries found are gathered by number, and the few captures that have any get them back.
     """
-    rows = captures.select(
-        F.struct("*").alias("capture"), F.monotonically_increasing_id().alias("_id"), host_of(url).alias("_host"), page_of(url).alias("_page"),
-        F.col(fetched).cast("date").alias("_day"))
-    keyed = rows.select("capture", "_id", "_host", "_day", F.explode(F.array_distinct(lookup_keys())).alias("_key"))
-    valid = validity_intervals(events)
+    valid = staged(validity_intervals(events), "intervals")
+    longest = valid.agg(F.coalesce(F.max(F.length("entry")), F.lit(0)).alias("n")).first()["n"]
+    rows = staged(captures.select(F.struct("*").alias("capture"), host_of(url).alias("_host"), page_of(url).alias("_page"), F.col(fetched).cast(
+        "date").alias("_day")).withColumn("_id", F.monotonically_increasing_id()), "captures")
+    asked = rows.filter(F.col("_host").isNotNull() & F.col("_day").isNotNull()).withColumn("_longest", F.lit(longest))
+    keyed = asked.select("_id", "_day", F.explode(lookup_keys()).alias("_key"))
     active = (keyed["_key"] == valid["entry"]) & (keyed["_day"] >= valid["valid_from"]) & (
         valid["valid_to"].isNull() | (keyed["_day"] < valid["valid_to"]))
-    judged = keyed.join(valid, active, "left").groupBy("_id").agg(
-        F.first("capture").alias("capture"), F.first("_host").alias("host"),
-        F.sort_array(F.collect_set(F.concat_ws(":", "list", "entry"))).alias("found"))
-    entries = F.array_remove("found", "")
-    return judged.select("capture", "host", (F.size(entries) > 0).alias("blocked"), F.size(entries).alias("n_entries"), entries.alias("entries"))
+    found = keyed.join(valid, active).groupBy("_id").agg(F.sort_array(F.collect_set(F.concat_ws(":", "list", "entry"))).alias("entries"))
+    judged = rows.join(staged(found, "found"), "_id", "left")
+    entries = F.coalesce("entries", F.array().cast("array<string>"))
+    return judged.select(
+        "capture", F.col("_host").alias("host"), (F.size(entries) > 0).alias("blocked"), F.size(entries).alias("n_entries"), entries.alias("entries"))
 
 
 def derived_fetches(pages: DataFrame) -> DataFrame:

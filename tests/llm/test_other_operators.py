@@ -23,6 +23,28 @@ def test_top_products(spark, bucket, block):
     same(got, top_products(vectors))
 
 
+@pytest.mark.parametrize("bucket,block", [(8192, 512), (7, 2)])
+def test_top_products_of_huge_finite_vectors(spark, bucket, block):
+    """Components of any finite size, beside small ones, as queries and as candidates."""
+    r = random.Random(9)
+    vectors = [(20, [1.0, 1.0]), (21, [6e7, 1.0]), (22, [2.0, 3.0])]
+    vectors += [(i, [r.choice([-1, 1]) * r.choice([1.5, 3e7, 4e9, 1e20, 1e300]) * r.random(), r.gauss(0, 2)]) for i in range(40, 100)]
+    vectors += [(200, [1.7e308, -1.7e308]), (201, [1.7e308, 1.7e308]), (202, [-1.7e308, 1e-300]), (220, [5e7, 1.0]), (221, [5e7, 1.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    same(topk.top_inner_products(frame, bucket=bucket, block=block), top_products(vectors))
+    assert (20, 21, 245760004096) in {(x.query_id, x.vec_id, x.score) for x in topk.top_inner_products(frame.filter("vec_id < 23")).collect()}
+    assert sorted(topk.order_key(s) for s in (-(10**30), -12, -2, -1, 0, 1, 2, 12, 10**30)) == [topk.order_key(s) for s in (-(10**30), -12, -2, -1, 0, 1, 2, 12, 10**30)]
+
+
+@pytest.mark.parametrize("bucket", [8192, 16])
+def test_top_products_of_repeated_rows(spark, bucket):
+    r = random.Random(10)
+    vectors = [(i, [r.gauss(0, 1) for _ in range(3)]) for i in range(60)]
+    vectors += [vectors[7]] * 30 + [vectors[11]] * 2 + [vectors[20]] * 3 + [(20, [9.0, 9.0, 9.0])]
+    frame = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    same(topk.top_inner_products(frame, bucket=bucket, block=4), top_products(vectors))
+
+
 def test_top_products_prunes_and_stays_exact():
     import numpy as np
 
@@ -60,7 +82,8 @@ EVENTS = [("l", "bad.com", "add", 1), ("l", "bad.com", "add", 3), ("l", "bad.com
           ("m", "ok.org/p", "add", 0), ("m", "ok.org/", "remove", 4), ("l", "both.net", "add", 2), ("l", "both.net", "remove", 2),
           (None, "bad.com", "add", 0), ("l", None, "add", 0), ("l", "bad.com", None, 0), ("l", "bad.com", "other", 0)]
 URLS = ["http://bad.com", "https://u:p@X.Bad.com:80/a?b#c", "http://notbad.com/", "ftp://a.x.bad.com/z", "http://ok.org/p?q=1", "http://ok.org/p/q", "http://ok.org",
-        "nothing", "", None, "http://both.net/", "http:///x", "http://" + "a." * 5000 + "bad.com/", "http://bad.com/" + "x/" * 50_000]
+        "nothing", "", None, "http://both.net/", "http:///x", "http://" + "a." * 5000 + "bad.com/", "http://bad.com/" + "x/" * 50_000,
+        "http://" + "b" * 247 + ".bad.com/", "http://" + "c" * 245 + ".bad.com", "http://xbad.com", "http://" + "d" * 300 + "bad.com/"]
 
 
 def active(url_keys, day):
@@ -83,8 +106,7 @@ def keys_of(url):
     if not m:
         return set()
     host = m[2].lower()
-    parents = {".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)} if len(host) <= 253 else {host}
-    return parents | {host + (m[3] or "/")}
+    return {".".join(host.split(".")[i:]) for i in range(host.count(".") + 1)} | {host + (m[3] or "/")}
 
 
 def test_url_filter(spark):
