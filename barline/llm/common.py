@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from barline.sources.scratch import stage
 
 #: UTF-8 bytes of text that are taken apart at a time inside a task; longer texts are taken alone.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 #: Lower-cases A-Z, keeps digits, letters and bytes of other alphabets, turns every other byte into a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
