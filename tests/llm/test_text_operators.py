@@ -235,6 +235,42 @@ def test_repeats_of_one_passage_in_most_documents(spark):
     same(dedup.removal_report(spark.createDataFrame(docs, "doc_id long, text string")), repeats(docs))
 
 
+@pytest.mark.parametrize("patterns,streamed", [(1 << 15, 4 << 20), (3, 400)])
+def test_repeats_of_repeated_rows_and_shards(spark, patterns, streamed):
+    """Repeated rows inside a recurring passage, several automata, several parts of a shard's documents."""
+    passage, second = prose(70, 64), prose(71, 90)
+    docs = [(1, f"{prose(72, 30)} {passage}")] * 60 + [(2, f"{passage} {prose(73, 30)}")] * 80 + [(2, f"{second} {passage}")] * 3
+    docs += [(100 + i, f"{prose(100 + i, 20)} {passage if i % 2 else second} {prose(300 + i, i % 90)}") for i in range(40)]
+    docs += [(500, second)] * 5 + [(None, passage)] * 2 + [(501, second), (3, prose(74, 200)), (4, prose(74, 199))]
+    frame = spark.createDataFrame(docs, "doc_id long, text string").repartition(5)
+    same(dedup.removal_report(frame, patterns=patterns, streamed=streamed), repeats(docs))
+    found = dedup.Repeats(frame, patterns=patterns, streamed=streamed)
+    assert found.candidates.count() == found.candidates.select("row").distinct().count() < 50
+
+
+def test_phrase_automaton_locates_every_occurrence(monkeypatch):
+    r = np.random.default_rng(6)
+    codes = r.integers(0, 4, 3000).astype(np.uint32)
+    wanted = {tuple(codes[i:i + 5].tolist()) for i in range(0, 3000, 50)}
+    expected = [i for i in range(2996) if tuple(codes[i:i + 5].tolist()) in wanted]
+    for chunk in (1 << 16, 7):
+        monkeypatch.setattr(dedup, "CHUNK", chunk)
+        automaton = dedup.PhraseAutomaton(5)
+        assert not len(automaton.places(codes))
+        automaton.add(np.array(sorted(wanted), np.uint32).tobytes())
+        assert automaton.places(codes).tolist() == expected
+
+
+def test_kept_words():
+    r = np.random.default_rng(7)
+    for _ in range(300):
+        text = b"".join(r.choice([b"a", b"bc", b" ", b"\n", b"\t ", "é".encode()], r.integers(0, 30)).tolist())
+        words = text.split()
+        starts = sorted({int(x) for x in r.integers(0, max(len(words) - 2, 1), r.integers(0, 3))}) if len(words) >= 3 else []
+        gone = {i + k for i in starts for k in range(3)}
+        assert dedup.kept_words(text, starts, 3) == (len(gone), b" ".join(w for i, w in enumerate(words) if i not in gone))
+
+
 def test_remove_repeats(awkward):
     report = {}
     for d, n, removed, digest in repeats(DOCS):
