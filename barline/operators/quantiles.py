@@ -1,10 +1,10 @@
-"""Exact quantiles of unbounded groups by radix selection.
+"""Exact quantiles of groups of any size.
 
-`percentile` keeps every distinct value of a group in one task's memory, which is fine for a panel (a row per day)
-but not for raw input, where one source may hold a third of all rows. Here values become 64-bit numbers of the same order,
-and each is counted once with its frequency, whatever the number of fractions. Then, 16 bits a pass from the top, counts by cell tell which cell
-holds a wanted place; only cells that hold one go on. After four passes a cell is a value. A cell's place among others of its
-prefix is known from at most 65,536 counts, so no task ranks values.
+Groups of at most SORTED_AT_ONCE rows cross one shuffle and are sorted by one task each. `percentile` and sorting keep a group in one task's memory,
+which is fine for these but not for raw input, where one source may hold a third of all rows: larger groups go by radix selection. Their values become
+64-bit numbers of the same order, and each is counted once with its frequency, whatever the number of fractions. Then, 16 bits a pass from the
+top, counts by cell tell which cell holds a wanted place; only cells that hold one go on. After four passes a cell is a value. A cell's place among
+others of its prefix is known from at most 65,536 counts, so no task ranks the values of a large group.
 """
 
 from __future__ import annotations
@@ -13,12 +13,38 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.sources.scratch import stage
 
 BITS = 16
+#: Rows of a group that one task may sort.
+SORTED_AT_ONCE = 65_536
+
+
+def by_size(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame | None]:
+    """Rows of groups that one task may sort, and rows of larger groups (None: there are none). Rows without a key are in no group."""
+    df = df.where(F.col(key).isNotNull())
+    large = stage(df.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > SORTED_AT_ONCE).select(key), "large-groups")
+    if large.isEmpty():
+        return df, None
+    return df.join(large, key, "left_anti"), df.join(large, key, "left_semi")
+
+
+def known_values(column: pa.ChunkedArray) -> np.ndarray:
+    """Values in order, NULLs skipped; -0.0 counts as 0.0."""
+    return np.sort(column.drop_null().to_numpy() + 0.0)
+
+
+def at_fractions(ordered: np.ndarray, fractions: np.ndarray) -> np.ndarray:
+    """Quantiles of sorted values with linear interpolation between neighbours."""
+    place = fractions * (len(ordered) - 1)
+    low, high = (ordered[side(place).astype(np.int64)] for side in (np.floor, np.ceil))
+    with np.errstate(invalid="ignore"):
+        return low + (high - low) * (place - np.floor(place))
 
 
 def _ordered(values: np.ndarray) -> np.ndarray:
@@ -53,8 +79,22 @@ def value_counts(df: DataFrame, key: str, columns: Sequence[str]) -> DataFrame:
 
 
 def exact_quantiles(df: DataFrame, key: str, columns: Sequence[str], fractions: Sequence[float]) -> DataFrame:
-    """(key, column, fraction, quantile) with linear interpolation between neighbours, NULLs skipped."""
-    return quantiles_of_counts(value_counts(df, key, columns), key, fractions)
+    """(key, column, fraction, quantile) with linear interpolation between neighbours, NULLs skipped. Reads df twice: group sizes first."""
+    asked = np.array(fractions, float)
+
+    def sort(own: pa.Table) -> pa.Table:
+        found = {c: known_values(own.column(c)) for c in columns}
+        found = {c: at_fractions(v, asked) for c, v in found.items() if len(v)}
+        names, size = np.repeat(list(found), len(asked)), len(found) * len(asked)
+        return pa.table({
+            key: own.column(key).slice(0, 1).take(pa.array(np.zeros(size, np.int64))), "column": pa.array(names.tolist(), pa.string()),
+            "fraction": np.tile(asked, len(found)), "quantile": np.concatenate([np.empty(0), *found.values()])})
+
+    few, many = by_size(df.select(key, *[F.col(c).cast("double").alias(c) for c in columns]), key)
+    schema = T.StructType([few.schema[key], *[T.StructField(n, t) for n, t in (
+        ("column", T.StringType()), ("fraction", T.DoubleType()), ("quantile", T.DoubleType()))]])
+    out = few.groupBy(key).applyInArrow(sort, schema)
+    return out if many is None else out.unionByName(quantiles_of_counts(value_counts(many, key, columns), key, fractions))
 
 
 def quantiles_of_counts(counts: DataFrame, key: str, fractions: Sequence[float]) -> DataFrame:

@@ -361,3 +361,14 @@ def test_findings_scan_the_rows_once(spark, make_bars, tmp_path):
     found.collect()
     assert seen.value == 830
     assert validate.outlier_counts(rows).count() == 2
+
+
+def test_quantiles_of_small_groups_cross_one_shuffle(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = spark.createDataFrame(pd.DataFrame({"k": np.repeat(["a", "b", "c"], [400, 40, 1]), "v": rng.normal(size=441).round(1), "u": 1.5}))
+    fractions = [0.01, 0.25, 0.99]
+    few = exact_quantiles(rows, "k", ["v", "u"], fractions)
+    assert few._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    monkeypatch.setattr("barline.operators.quantiles.SORTED_AT_ONCE", 39)  # a and b by radix, c by sorting
+    mixed = exact_quantiles(rows, "k", ["v", "u"], fractions)
+    assert sorted(few.collect()) == sorted(mixed.collect())
