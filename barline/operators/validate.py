@@ -11,11 +11,14 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from barline.functions.columns import ratio
-from barline.operators.quantiles import exact_quantiles, quantiles_of_counts, value_counts
+from barline.operators.quantiles import at_fractions, by_size, exact_quantiles, known_values, quantiles_of_counts, value_counts
 from barline.sources.scratch import stage
 
 REQUIRED = ("date", "open", "high", "low", "close")
@@ -103,15 +106,18 @@ def profile(raw: DataFrame) -> DataFrame:
     return _typed(raw).groupBy("dataset").agg(*aggs)
 
 
-def profile_of_days(raw: DataFrame, days: DataFrame) -> DataFrame:
-    """As profile, from the day rows of one_scan."""
-    aggs = [F.sum("rows").alias("rows"), *[F.sum(n).alias(n) for n in _flags(raw)]]
-    if "date" in columns_of(raw):
-        aggs += [
-            F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.datediff(F.max("day"), F.min("day")).alias("span_days"),
-            (F.sum("rows") - F.count("*")).alias("duplicates"),  # rows without a day are one row here, as one more day
-        ]
-    return days.groupBy("dataset").agg(*aggs)
+def profile_of_scan(raw: DataFrame, seen: DataFrame) -> DataFrame:
+    """As profile, and the gaps, from the rows of one_scan. Days are counted before they are put in order, so that part is bounded by the calendar."""
+    aggs = [F.count("*").alias("rows"), *[F.count_if(n).alias(n) for n in _flags(raw)]]
+    if "date" not in columns_of(raw):
+        return seen.groupBy("dataset").agg(*aggs)
+    facts = seen.groupBy("dataset").agg(
+        *aggs, F.min("day").alias("first_date"), F.max("day").alias("last_date"), F.datediff(F.max("day"), F.min("day")).alias("span_days"),
+        F.greatest(F.count_if(F.col("day").isNull()) - 1, F.lit(0)).alias("dayless"))  # rows without a day are one row, as one more day
+    held = seen.where(F.col("day").isNotNull()).groupBy("dataset", F.col("day").alias("date")).agg(F.count("*").alias("held"))
+    steps = _gaps(_steps(held)).withColumnRenamed("dataset", "_of")
+    return facts.join(steps, F.col("dataset").eqNullSafe(F.col("_of")), "left").withColumn(
+        "duplicates", F.col("dayless") + F.coalesce("repeated", F.lit(0))).drop("_of", "dayless", "repeated")
 
 
 def dataset_info(raw: DataFrame) -> DataFrame:
@@ -158,7 +164,7 @@ def large_gaps(raw: DataFrame) -> DataFrame:
 
     Ranks the distinct step lengths of a dataset (a handful), so the rows are scanned once.
     """
-    return _gaps(day_steps(raw))
+    return _gaps(day_steps(raw)).drop("repeated")
 
 
 def _gaps(steps: DataFrame) -> DataFrame:
@@ -166,7 +172,7 @@ def _gaps(steps: DataFrame) -> DataFrame:
     steps = steps.withColumn("usual_step", F.first("step").over(ranked))
     wide = F.col("step") > 2 * F.col("usual_step")
     return steps.groupBy("dataset", "usual_step").agg(
-        F.sum(F.when(wide, F.col("times")).otherwise(0)).alias("gaps")
+        F.sum(F.when(wide, F.col("times")).otherwise(0)).alias("gaps"), F.sum(F.when(F.col("step") == 0, F.col("times")).otherwise(0)).alias("repeated")
     )
 
 
@@ -193,23 +199,38 @@ def outliers_of_counts(counts: DataFrame) -> DataFrame:
         F.sum(F.when((F.col("column") == c) & outside, F.col("held")).otherwise(0)).alias(f"{c}__outliers") for c in PRICES])
 
 
+def _outliers_of_few(own: pa.Table) -> pa.Table:
+    """outliers_of_counts of one dataset that a task may sort."""
+    fractions, out, known = np.array(BOUND_FRACTIONS), {}, 0
+    for c in PRICES:
+        values = known_values(own.column(c))
+        known += len(values)
+        q01, q25, q75, q99 = at_fractions(values, fractions) if len(values) else np.zeros(4)
+        with np.errstate(invalid="ignore"):
+            low, high = q01 - 3 * (q75 - q25), q99 + 3 * (q75 - q25)
+        # as in SQL, every number is less than a bound that is none
+        out[f"{c}__outliers"] = [int(((values > high) | (values < low) | np.isnan(low)).sum())]
+    return pa.table({"dataset": own.column("dataset").slice(0, 1), **out}).slice(0, min(known, 1))
+
+
+def _outliers(rows: DataFrame) -> DataFrame:
+    few, many = by_size(rows.select("dataset", *PRICES), "dataset")
+    schema = T.StructType([few.schema["dataset"], *[T.StructField(f"{c}__outliers", T.LongType()) for c in PRICES]])
+    out = few.groupBy("dataset").applyInArrow(_outliers_of_few, schema)
+    return out if many is None else out.unionByName(outliers_of_counts(stage(value_counts(many, "dataset", PRICES), "value-counts")))
+
+
 def outlier_counts(raw: DataFrame) -> DataFrame:
-    """(dataset, <price>__outliers ...): values outside the bounds."""
-    return outliers_of_counts(stage(value_counts(_typed(raw), "dataset", PRICES), "value-counts"))
+    """(dataset, <price>__outliers ...): values outside the bounds. Reads raw twice: sizes of datasets first."""
+    return _outliers(_typed(raw))
 
 
 def one_scan(raw: DataFrame) -> DataFrame:
-    """What all rules need, from one pass over the rows: per dataset and day the counts of a profile (column NULL), and per dataset, price column
-    and value how often it stands there (`rows`). Combined before the shuffle, so it is as long as there are days and different values."""
-    rows, flags = _typed(raw), _flags(raw)
+    """What all rules need of a row, from one pass over the raw rows: dataset, day, prices, and for each count of a profile whether the row is counted.
+    Nothing is shuffled; each rule reads its few columns of this table."""
     day = F.col("date") if "date" in columns_of(raw) else F.lit(None).cast("date")
-    head = F.struct(F.lit(None).cast("string").alias("column"), F.lit(None).cast("double").alias("value"), day.alias("day"), *[
-        f.cast("int").alias(n) for n, f in flags.items()])
-    prices = [F.struct(F.lit(c).alias("column"), F.col(c).alias("value"), F.lit(None).cast("date").alias("day"), *[
-        F.lit(0).alias(n) for n in flags]) for c in PRICES if c in columns_of(raw)]
-    cells = rows.select("dataset", F.inline(F.array(head, *prices))).where("column IS NULL OR value IS NOT NULL")
-    return stage(cells.groupBy("dataset", "column", "value", "day").agg(
-        F.count("*").alias("rows"), *[F.sum(n).cast("bigint").alias(n) for n in flags]), "one-scan")
+    prices = [c for c in PRICES if c in columns_of(raw)]
+    return stage(_typed(raw).select("dataset", day.alias("day"), *prices, *[f.alias(n) for n, f in _flags(raw).items()]), "one-scan")
 
 
 def _finding(check: str, column: str, severity: Column, n: Column, message: Column) -> Column:
@@ -233,14 +254,9 @@ def findings(
     """
     have = columns_of(raw)
     seen = one_scan(raw)
-    days = seen.where(F.col("column").isNull())
-    facts = profile_of_days(raw, days)
-    if "date" in have:
-        held = days.where(F.col("day").isNotNull()).select("dataset", F.col("day").alias("date"), F.col("rows").alias("held"))
-        facts = facts.join(_gaps(_steps(held)), "dataset", "left")
+    facts = profile_of_scan(raw, seen)
     if not missing_columns(raw, PRICES):
-        counts = seen.where(F.col("column").isNotNull()).select("dataset", "column", "value", F.col("rows").alias("held"))
-        facts = facts.join(outliers_of_counts(counts), "dataset", "left")
+        facts = facts.join(_outliers(seen), "dataset", "left")
 
     def count_rule(check: str, column: str, fact: str, severity: str, text: str) -> Column:
         n = F.col(fact)
@@ -300,7 +316,7 @@ def findings(
         found = facts.join(headers, "dataset").select("dataset", "columns", F.inline(F.array(*rules))).where(
             F.col("severity").isNotNull() & F.expr("array_contains(columns, `column`)")).drop("columns").unionByName(header_findings(headers))
     if expected is not None:
-        empty = expected.select("dataset").distinct().join(days.select("dataset").distinct(), "dataset", "left_anti")
+        empty = expected.select("dataset").distinct().join(seen.select("dataset").distinct(), "dataset", "left_anti")
         found = found.unionByName(empty.select(
             "dataset", F.lit("empty").alias("check"), F.lit("").alias("column"), F.lit("error").alias("severity"),
             F.lit(0).cast("bigint").alias("n"), F.lit("Dataset is empty").alias("message"),

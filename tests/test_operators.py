@@ -372,3 +372,16 @@ def test_quantiles_of_small_groups_cross_one_shuffle(spark, monkeypatch):
     monkeypatch.setattr("barline.operators.quantiles.SORTED_AT_ONCE", 39)  # a and b by radix, c by sorting
     mixed = exact_quantiles(rows, "k", ["v", "u"], fractions)
     assert sorted(few.collect()) == sorted(mixed.collect())
+
+
+def test_findings_of_large_and_small_datasets_agree(spark, make_bars, monkeypatch):
+    """One row of the scan per raw row, and the same findings whichever way the outliers are counted."""
+    closes = {"a": [10.0 + i % 9 for i in range(800)] + [900.0], "b": [5.0] * 30, "c": [7.0] * 2}
+    raw = make_bars(closes).withColumnRenamed("symbol", "dataset")
+    raw = raw.unionByName(raw.where("dataset = 'c'")).unionByName(raw.where("dataset = 'c'").withColumn("date", F.lit(None).cast("date")))
+    assert validate.one_scan(raw).count() == raw.count()
+    few = sorted(validate.findings(raw).collect())
+    assert {(r.dataset, r.n) for r in few if r.check == "duplicates"} >= {("c", 3)}
+    assert {(r.dataset, r.column) for r in few if r.check == "outliers"} >= {("a", "close")}
+    monkeypatch.setattr("barline.operators.quantiles.SORTED_AT_ONCE", 35)
+    assert sorted(validate.findings(raw).collect()) == few
