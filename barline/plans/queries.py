@@ -1182,8 +1182,9 @@ def m22_chart_series(spark, sf):
 def m23_split_rule(spark, sf):
     shares = splits.split_ratios(70, 20, 20)
     shorter = splits.split_ratios(50, 20, 10)
+    rows = stage(positions(bars_supp(spark, sf)).select("pos", "n"), "positions")  # both rules read it
     parts = [
-        splits.split_by_ratio(positions(bars_supp(spark, sf)), s).groupBy("split").agg(F.count("*").alias("rows")).withColumn("rule", F.lit(name))
+        splits.split_by_ratio(rows, s).groupBy("split").agg(F.count("*").alias("rows")).withColumn("rule", F.lit(name))
         for name, s in (("over", shares), ("under", shorter))
     ]
     return parts[0].unionByName(parts[1])

@@ -53,3 +53,12 @@ def test_query_equals_sql(spark, duck, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_both_split_rules_read_one_set_of_bars(spark, monkeypatch):
+    from barline.plans import queries
+
+    asked, bars = [], queries.bars_supp
+    monkeypatch.setattr(queries, "bars_supp", lambda *a: asked.append(1) or bars(*a))
+    queries.m23_split_rule(spark, SF)
+    assert len(asked) == 1
