@@ -157,6 +157,21 @@ def test_import_keeps_valid_datasets_only(spark, make_bars):
     assert jobs["G"].records_skipped == 0 and str(jobs["G"].data_start_date) == "2015-01-01" and jobs["B"].data_end_date is None
 
 
+def test_import_reads_its_rows_once(spark, make_bars):
+    rows = make_bars({"a": [10.0 + i % 9 for i in range(800)]}).withColumnRenamed("symbol", "dataset")
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=2).create(make_bars({"G": [1.0]}), T0)
+    job = pipeline.import_bars(rows.mapInArrow(count, rows.schema), table, T1).jobs.first()
+    assert (job.status, job.records_processed, job.records_inserted) == ("completed", 800, 800)
+    assert seen.value == 800
+
+
 def test_import_counts_rows_without_a_price_as_skipped(spark, make_bars):
     raw = make_bars({"g": [10.0] * 900}).withColumnRenamed("symbol", "dataset")
     raw = raw.withColumn("open", F.when(F.dayofyear("date") % 20 != 0, F.col("open")))
