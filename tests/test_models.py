@@ -109,6 +109,21 @@ def test_boosting_of_one_round_by_hand():
     assert trees.leaf_values(made, x).sum(axis=0)[order] == pytest.approx(expected)
 
 
+def test_boosted_models_grown_together_are_what_they_are_alone():
+    """Models of other series, rows, scales and parameters share numpy calls, and nothing else: every bit is the same."""
+    rng, asked = np.random.default_rng(5), []
+    for i in range(12):
+        x, n = rng.normal(size=(3, 20 + 15 * i)), 20 + 15 * i
+        own = {"n_estimators": 1 + 2 * (i % 4), "max_depth": (None, 2, 6)[i % 3], "learning_rate": 0.1 + i / 100, "subsample": (1.0, 0.7)[i % 2],
+               "colsample_bytree": (1.0, 0.8)[i % 2]}
+        asked.append((x, (x[0] - x[1]) * 10.0 ** (i - 4), own))
+    for (x, y, own), nodes in zip(asked, trees.boosted_together(asked, 7)):
+        alone = trees.boosted_together([(x, y, own)], 7)[0]
+        assert nodes.tree.max() == own["n_estimators"]
+        for c in ("tree", *trees.COLUMNS[2:]):
+            np.testing.assert_array_equal(getattr(nodes, c), getattr(alone, c))
+
+
 def test_constant_features_and_targets():
     x = np.ones((2, 10))
     assert len(trees.decision_tree(x, np.arange(10.0)).tree) == 1
