@@ -296,6 +296,17 @@ def test_pooled_mode_trains_one_model_per_type(spark, make_bars, tmp_path):
 
 # searches
 
+def test_pooled_rows_are_dealt_evenly(spark, rows):
+    """Parts of the train table hold as many rows, however uneven the parts are that they come from; a fit reads them once written."""
+    from barline.operators import pooled
+
+    uneven = rows.coalesce(1)
+    dealt = pooled.dealt(uneven, NAMES)
+    sizes = [r["count"] for r in dealt.groupBy(F.col("_metadata.file_path")).count().collect()]
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(sizes) < 2 * min(sizes) and sum(sizes) == rows.count()
+    assert set(dealt.columns) == {"symbol", "date", "pos", "n", "target", *NAMES}
+
+
 def test_candidates_fill_the_box():
     points = search.candidates(models.SEARCH_BOUNDS["random_forest"], 50)
     assert points == search.candidates(models.SEARCH_BOUNDS["random_forest"], 50)
