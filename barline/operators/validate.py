@@ -34,6 +34,7 @@ STRUCTURE = {  # name -> (left, right): a row is inconsistent when left < right
 }
 MIN_YEARS = 2
 BOUND_FRACTIONS = (0.01, 0.25, 0.75, 0.99)
+BESIDE = ("dataset", "_rank")  # columns of a raw frame that say where a row is from
 
 
 def _plain(name: str) -> str:
@@ -46,7 +47,7 @@ def missing_columns(raw: DataFrame, required=REQUIRED) -> list[str]:
 
 
 def unexpected_columns(raw: DataFrame) -> list[str]:
-    expected = {*REQUIRED, *OPTIONAL, "dataset"}
+    expected = {*REQUIRED, *OPTIONAL, *BESIDE}
     return [c for c in raw.columns if _plain(c) not in expected]
 
 
@@ -55,7 +56,7 @@ def _typed(raw: DataFrame) -> DataFrame:
     out = [F.col("dataset")]
     for c in raw.columns:
         name = _plain(c)
-        if name == "dataset":
+        if name in BESIDE:
             continue
         source = F.col(f"`{c}`")
         if name == "date":
@@ -71,7 +72,7 @@ def _typed(raw: DataFrame) -> DataFrame:
 
 
 def columns_of(raw: DataFrame) -> list[str]:
-    return [_plain(c) for c in raw.columns if _plain(c) != "dataset"]
+    return [_plain(c) for c in raw.columns if _plain(c) not in BESIDE]
 
 
 def _flags(raw: DataFrame) -> dict[str, Column]:
@@ -122,7 +123,7 @@ def profile_of_scan(raw: DataFrame, seen: DataFrame) -> DataFrame:
 
 def dataset_info(raw: DataFrame) -> DataFrame:
     """Rows, columns, column names and covered period of each dataset."""
-    names = [c for c in raw.columns if c != "dataset"]
+    names = [c for c in raw.columns if c not in BESIDE]
     return profile(raw).select(
         "dataset", "rows", F.lit(len(names)).alias("columns"), F.lit(",".join(names)).alias("column_names"),
         "first_date", "last_date", "span_days", (F.col("span_days") / 365.25).alias("span_years"),

@@ -8,7 +8,8 @@ source is; every builder here enforces that with an aggregate that combines befo
 from __future__ import annotations
 
 import csv
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -33,6 +34,7 @@ RAW_SCHEMA = T.StructType([
 
 BAR_COLUMNS = ["symbol", "date", "open", "high", "low", "close", "volume", "market_cap"]
 PRICES = ["open", "high", "low", "close"]
+RANK = "_rank"  # of a raw row: which of two rows of a day was read last
 
 
 def read_raw(spark: SparkSession, path: str) -> DataFrame:
@@ -55,8 +57,8 @@ def read_text_bars(spark: SparkSession, path: str, columns: list[str]) -> DataFr
 
 @dataclass
 class RawFiles:
-    """Rows of files with different headers: every field as text, columns united by plain name, `dataset` of each row; headers: dataset and the
-    columns (plain names) that its files have. Spark doesn't list files of 0 bytes: a list of expected datasets finds those."""
+    """Rows of files with different headers: every field as text, columns united by plain name, `dataset` and `_rank` (rises inside a file) of each row;
+    headers: dataset and the columns (plain names) that its files have. Spark doesn't list files of 0 bytes: a list of expected datasets finds those."""
 
     rows: DataFrame
     headers: DataFrame
@@ -72,38 +74,66 @@ def dataset_of(path: Column) -> Column:
     return F.when(folder != "", F.url_decode(folder)).otherwise(first_token(F.regexp_extract(F.url_decode(path), r"([^/]+)$", 1)))
 
 
-def file_headers(spark: SparkSession, path: str) -> DataFrame:
-    """file, header (its first line). Only blocks at the start of a file are looked at."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
-    return lines.where("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+@contextmanager
+def _listed_by_cores(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed in a few tasks a core. By default Spark makes a task of each folder, up to 10,000, which costs more than the listing."""
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(max(64, 4 * spark.sparkContext.defaultParallelism)))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def file_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, at (number of the line, rising inside a part of a file), in_first (in the part at the start of its file), blank, line of every line
+    under `path`. Staged: the files are listed and opened once."""
+    with _listed_by_cores(spark):
+        text = spark.read.option("recursiveFileLookup", True).text(path)
+    return stage(text.select(
+        F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"), (F.col("_metadata.file_block_start") == 0).alias("in_first"),
+        (~F.col("value").rlike(r"[^\x00-\x20]")).alias("blank"), F.col("value").alias("line")), "lines")
+
+
+def headers_of(lines: DataFrame) -> DataFrame:
+    """file, at, header: the first line of each file that isn't blank, or an empty one where a file has none. `at` is found without the texts, so that
+    the aggregate is of fixed width."""
+    firsts = lines.where("in_first").groupBy("file").agg(F.coalesce(F.min(F.when(~F.col("blank"), F.col("at"))), F.min("at")).alias("at"))
+    return lines.join(F.broadcast(firsts.select("at")), "at", "left_semi").select(
+        "file", "at", F.when(~F.col("blank"), F.col("line")).otherwise("").alias("header"))
 
 
 def read_by_header(spark: SparkSession, path: str) -> RawFiles:
-    """Every CSV file under `path`, whatever its header: files are grouped by header, and each group is one typed read.
-
-    A file with other columns neither fails the read nor moves values into wrong columns. The driver holds the file names, as for any read."""
-    found = stage(file_headers(spark, path), "headers")
-    groups: dict[str, list[str]] = {}
-    for row in found.toLocalIterator():
-        groups.setdefault(row.header, []).append(row.file)
-    parts, known = [], []
-    for header, files in sorted(groups.items()):
+    """Every CSV file under `path`, whatever its header, from one scan: each line is parsed by the header of its file.
+
+    A file with other columns neither fails the read nor moves values into wrong columns. What the lines are joined with is a row per file, broadcast:
+    less than the list of files that the driver holds, as for any read."""
+    lines = file_lines(spark, path)
+    found = stage(headers_of(lines), "headers")
+    known = []
+    for layout, (header,) in enumerate(sorted(found.select("header").distinct().toLocalIterator())):
         names: list[str] = []
         for name in map(plain_name, next(csv.reader([header]))):
             name = name or "unnamed"
             names.append(name if name not in names else f"{name}_{len(names) + 1}")
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        part = spark.read.schema(schema).option("header", True).csv(files)
-        parts.append(part.withColumn("dataset", dataset_of(F.col("_metadata.file_path"))))
-        known.append((header, names))
-    columns = spark.createDataFrame(known, "header string, columns array<string>")
-    headers = found.join(F.broadcast(columns), "header").groupBy(dataset_of(F.col("file")).alias("dataset")).agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("columns"))
-    rows = spark.createDataFrame([], "dataset string")
-    for part in parts:
-        rows = rows.unionByName(part, allowMissingColumns=True)
-    return RawFiles(rows, headers)
+        known.append((header, layout, names))
+    columns = spark.createDataFrame(known, "header string, layout int, columns array<string>")
+    files = found.join(F.broadcast(columns), "header").withColumn("dataset", dataset_of(F.col("file")))
+    headers = files.groupBy("dataset").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("columns")))).alias("columns"))
+
+    fields: dict[str, list[tuple[int, int]]] = {}
+    for _, layout, names in known:
+        for place, name in enumerate(names):
+            fields.setdefault(name, []).append((layout, place))
+    fields.pop("dataset", None)
+    rows = lines.where("NOT blank").join(F.broadcast(files.select("file", F.col("at").alias("header_at"), "layout", "dataset")), "file").where(
+        "at != header_at").select("dataset", "at", "layout", *[
+            F.when(F.col("layout") == layout, F.from_csv("line", ", ".join(f"_{i} string" for i in range(len(names))))).alias(f"_fields_{layout}")
+            for _, layout, names in known if names])
+    return RawFiles(rows.select("dataset", *[
+        F.coalesce(*[F.col(f"_fields_{layout}._{place}") for layout, place in places]).alias(name) for name, places in fields.items()],
+        F.col("at").alias(RANK)), headers)
 
 
 def normalise(raw: DataFrame, symbol: str | Column = "dataset", keep: Sequence[str] = ()) -> DataFrame:

@@ -125,6 +125,43 @@ def test_files_with_different_headers(spark, make_bars, tmp_path):
     assert jobs["OTHER"] == "completed" and jobs["GOOD"] == "completed" and {jobs[s] for s in ("SHORT", "BARE")} == {"failed"}
 
 
+def test_files_of_headers_are_listed_in_few_tasks_and_opened_once(spark, tmp_path):
+    for i in range(300):
+        folder = tmp_path / f"dataset={i} b"
+        folder.mkdir()
+        (folder / "one two.csv").write_text(f"\n \nDate,Close\n2015-01-01,{i}\n\nDate,Close\n" if i % 2 else f"Close,Note\n{i},x\n")
+    (tmp_path / "blank.csv").write_text("\n\n")
+    before, key = spark.sparkContext.statusTracker(), "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    default = spark.conf.get(key)
+    spark.sparkContext.setJobGroup("listing", "listing")
+    files = B.read_by_header(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = [before.getStageInfo(s) for j in before.getJobIdsForGroup("listing") for s in before.getJobInfo(j).stageIds]
+    assert max(s.numTasks for s in stages if s) < 300 and spark.conf.get(key) == default
+    for file in tmp_path.glob("dataset=*/*.csv"):
+        file.write_text("gone\n")
+    rows = [(r.dataset, r.date, r.close, r.note) for r in files.rows.collect()]
+    assert sorted(rows, key=str) == sorted([
+        r for i in range(300) for r in ([(f"{i} b", "2015-01-01", str(i), None), (f"{i} b", "Date", "Close", None)] if i % 2 else [(f"{i} b", None, str(i), "x")])
+    ], key=str)
+    headers = {r.dataset: r.columns for r in files.headers.collect()}
+    assert headers["blank"] == [] and headers["1 b"] == ["close", "date"] and len(headers) == 301
+
+
+def test_the_last_row_of_a_file_in_parts_wins(spark, tmp_path):
+    (tmp_path / "A.csv").write_text("Date,Open,High,Low,Close\n" + "".join(f"2015-01-01,{i},{i},{i},{i}\n" for i in range(100, 400)))
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300b")
+    try:
+        files = B.read_by_header(spark, str(tmp_path))
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    ranked = [int(r.close) for r in files.rows.orderBy("_rank").collect()]
+    assert ranked == list(range(100, 400)) and "_rank" not in validate.columns_of(files.rows)
+    bars = B.latest_bars(B.normalise(files.rows.withColumn("version", F.col("_rank")), keep=("version",)), "version")
+    assert [r.close for r in bars.collect()] == [399.0]
+
+
 def test_scan_prunes_partitions(spark, make_bars):
     table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=4).create(make_bars({"A": [1.0], "B": [2.0]}), T0)
     plan = table.scan("A", "2015-01-01", "2015-12-31")._jdf.queryExecution().executedPlan().toString()
