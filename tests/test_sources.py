@@ -162,6 +162,17 @@ def test_the_last_row_of_a_file_in_parts_wins(spark, tmp_path):
     assert [r.close for r in bars.collect()] == [399.0]
 
 
+def test_checks_of_columns_scan_no_row(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("Date,Close,Note\n2015-01-01,1,x\n")
+    files = B.read_by_header(spark, str(tmp_path))
+    unread = files.rows.withColumn("date", F.raise_error(F.lit("scanned")).cast("string"))
+    some = {(r.dataset, r.column, r.severity, r.message) for r in validate.findings(unread, headers=files.headers, checks=["columns"]).collect()}
+    every = validate.findings(files.rows, headers=files.headers)
+    assert some == {(r.dataset, r.column, r.severity, r.message) for r in every.where("check = 'columns'").collect()} and len(some) == 4
+    both = validate.findings(files.rows, headers=files.headers, checks=["columns", "length"])
+    assert sorted(both.collect()) == sorted(every.where("check IN ('columns', 'length')").collect())
+
+
 def test_scan_prunes_partitions(spark, make_bars):
     table = store.BarTable(spark, fresh_path(spark, "bars"), buckets=4).create(make_bars({"A": [1.0], "B": [2.0]}), T0)
     plan = table.scan("A", "2015-01-01", "2015-12-31")._jdf.queryExecution().executedPlan().toString()
