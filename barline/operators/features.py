@@ -98,35 +98,39 @@ def engineer_features(bars: DataFrame, spec: FeatureSpec = FeatureSpec()) -> Dat
     columns = [*KEYS, "open", "high", "low", "close", *(["volume"] if spec.volume else [])]
     laid = lay_out(bars.select(*columns), back, ahead)
 
+    # Two window layers: over the bars, and over what the first one gave. Columns are derived as late as they can be where
+    # that lets a reader of only their NULLs do without their frames, else between the layers: generated code for all of
+    # them at once is longer than the 8,000 bytes up to which the JVM compiles a method.
     one = WindowLayer()
-    first = one.apply(laid, {
-        "_row": one.row(),
+    spread = ind.rolling_spread(one, "close", stats)
+    first = one.apply(laid.withColumn("_row", F.col("seg_row")), {
         "target": one.lead(spec.target, spec.horizon),
         **ind.price_moves(one),
+        **ind.exponential_moving_averages(one, "close", sorted({*spec.spans, fast, slow}), back, ahead),
         **ind.moving_averages(one, windows=ma),
         **ind.bollinger_bands(one, window=spec.bollinger[0], num_std=spec.bollinger[1]),
-        **ind.rolling_spread(one, "close", stats),
         **ind.lags(one, "close", spec.feature_window),
-        "Stoch_K": ind.stochastic_k(one, spec.stochastic[0]),
+        **ind.lagged_returns(one, "close", spec.feature_window),
         **(volume_features(one, spec) if spec.volume else {}),
         **ind.bar_shape(),
+        "Stoch_K": ind.stochastic_k(one, spec.stochastic[0]),
+    }).withColumns({
+        "MACD": F.col(f"EMA_{fast}") - F.col(f"EMA_{slow}"),
+        **{f"EMA_{s}_ratio": ratio("close", f"EMA_{s}") for s in spec.spans},
     })
-    two = WindowLayer()
+    two = WindowLayer(below=one)
+    signal_line = ind.ema(two, "MACD", signal, back, ahead)
     second = two.apply(first, {
-        **ind.exponential_moving_averages(two, "close", sorted({*spec.spans, fast, slow}), back, ahead),
+        **spread,
         **ind.rolling_spread(two, "returns", stats, extremes=False),
-        **ind.lags(two, "returns", spec.feature_window),
         "RSI": ind.rsi(two, spec.rsi_window),
         "Stoch_D": two.full("Stoch_K", spec.stochastic[1], "avg"),
-    }).withColumn("MACD", F.col(f"EMA_{fast}") - F.col(f"EMA_{slow}"))
-    three = WindowLayer()
-    third = three.apply(second, {
-        "MACD_signal": ind.ema(three, "MACD", signal, back, ahead),
-        **{f"EMA_{s}_ratio": ratio("close", f"EMA_{s}") for s in spec.spans},
-    }).withColumn("MACD_histogram", F.col("MACD") - F.col("MACD_signal"))
+        "MACD_signal": signal_line,
+        "MACD_histogram": F.col("MACD") - signal_line,
+    })
 
     gated = [f"CASE WHEN {spec.gate(c)} THEN `{c}` END AS `{c}`" for c in spec.names]
-    return drop_copies(third).selectExpr(*KEYS, "close", *gated, "target", "pos", "n", "segment")
+    return drop_copies(second).selectExpr(*KEYS, "close", *gated, "target", "pos", "n", "segment")
 
 
 def training_rows(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
@@ -176,8 +180,10 @@ def supervised_frame(bars: DataFrame, target: str = "close", horizon: int = 1) -
 def null_budget(features: DataFrame, spec: FeatureSpec = FeatureSpec()) -> DataFrame:
     """Per symbol: rows, NULLs over all features that exist for the series, NULL targets."""
     blanks = F.expr(" + ".join(f"int({spec.gate(c)} AND `{c}` IS NULL)" for c in spec.names))
-    return features.groupBy("symbol").agg(
+    # Told apart row by row before they are summed: in a projection the optimizer sees what makes a feature NULL.
+    rows = features.select("symbol", blanks.alias("blanks"), F.col("target").isNull().alias("no_target"))
+    return rows.groupBy("symbol").agg(
         F.count("*").alias("rows"),
-        F.sum(blanks).alias("feature_nulls"),
-        F.count_if(F.col("target").isNull()).alias("target_nulls"),
+        F.sum("blanks").alias("feature_nulls"),
+        F.count_if("no_target").alias("target_nulls"),
     )

@@ -120,6 +120,11 @@ def lags(layer: WindowLayer, c: str, upto: int) -> dict[str, Column]:
     return {f"{c}_lag_{k}": layer.lag(c, k) for k in range(1, upto + 1)}
 
 
+def lagged_returns(layer: WindowLayer, c: str, upto: int) -> dict[str, Column]:
+    """Lags of the returns, taken from the lags of their prices: no second pass."""
+    return {f"returns_lag_{k}": ratio(layer.lag(c, k), layer.lag(c, k + 1)) - 1 for k in range(1, upto + 1)}
+
+
 def volume_features(layer: WindowLayer, window: int = 20) -> dict[str, Column]:
     return {
         "volume_ma_ratio": ratio("volume", layer.full("volume", window, "avg")),

@@ -63,7 +63,8 @@ def segment_plan(bars: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
 
 
 def lay_out(bars: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
-    """Add `segment`, `core` (False on copies), `n` (rows of the symbol) and `pos` (1-based place in the series).
+    """Add `segment`, `core` (False on copies), `n` (rows of the symbol), `pos` (1-based place in the series) and
+    `seg_row` (the same in the segment, copies included).
 
     `bars` must be unique on (symbol, date): that bounds a chunk at 64 rows. `back` and `ahead` are the numbers
     of neighbouring rows the caller's windows reach for; `drop_copies` removes the copies afterwards.
@@ -73,15 +74,16 @@ def lay_out(bars: DataFrame, back: int = 0, ahead: int = 0) -> DataFrame:
         .join(segment_plan(bars, back, ahead), ["symbol", "chunk"])
         .withColumn("segment", F.explode("targets"))
     )
-    return planned.withColumn(
-        "pos", F.first("before").over(so_far()) + F.row_number().over(series())
-    ).withColumn("core", F.col("segment") == F.col("home")).drop("chunk", "before", "home", "targets")
+    numbered = planned.withColumns({"seg_row": F.row_number().over(series()), "first_before": F.first("before").over(so_far())})
+    return numbered.withColumns(
+        {"pos": F.col("first_before") + F.col("seg_row"), "core": F.col("segment") == F.col("home")}
+    ).drop("chunk", "before", "home", "targets", "first_before")
 
 
 def drop_copies(df: DataFrame) -> DataFrame:
-    return df.where("core").drop("core")
+    return df.where("core").drop("core", "seg_row")
 
 
 def positions(bars: DataFrame) -> DataFrame:
     """Bars with `pos` and `n` only."""
-    return lay_out(bars).drop("segment", "core")
+    return lay_out(bars).drop("segment", "core", "seg_row")

@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -152,3 +154,32 @@ def test_one_shuffle_serves_all_windows(make_bars):
     plan = engineer_features(bars)._jdf.queryExecution().executedPlan().toString()
     wide = [line for line in plan.splitlines() if "Exchange hashpartitioning(symbol" in line and "segment" in line]
     assert len(wide) == 1
+
+
+def test_null_budget_leaves_out_frames_of_unread_values(make_bars):
+    plan = null_budget(engineer_features(make_bars({"A": walk(50)})))._jdf.queryExecution().optimizedPlan().toString()
+    assert "stddev_samp(close" in plan  # the place in the band is NULL for an empty band
+    assert "stddev_samp(returns" not in plan and "min(close" not in plan and "max(close" not in plan
+
+
+@pytest.mark.parametrize("build", [engineer_features, lambda bars: null_budget(engineer_features(bars))])
+def test_generated_methods_are_small_enough_to_be_compiled(spark, make_bars, build, capsys):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # adaptive plans generate their code as they run
+    try:
+        build(make_bars({"A": walk(50)})).explain("codegen")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    sizes = [int(s) for s in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000
+
+
+def test_frames_with_gaps_match_pandas(make_bars):
+    bars = make_bars({"A": walk(2500)}).withColumn("volume", F.when(F.dayofyear("date") % 37 != 0, F.dayofmonth("date") + 0.0))
+    features = engineer_features(bars)
+    got, src = by_symbol(features, "A"), by_symbol(bars, "A")
+    want = src.volume / src.volume.rolling(20).mean()
+    np.testing.assert_allclose(got.volume_ma_ratio.astype(float), want, rtol=1e-9)
+    for k in (1, 7):
+        np.testing.assert_allclose(got[f"returns_lag_{k}"].astype(float), src.close.pct_change().shift(k), rtol=1e-12, atol=1e-15)
+    names = [c for c in FeatureSpec().names]
+    assert null_budget(features).first().feature_nulls == got[names].isna().sum().sum()
