@@ -367,6 +367,74 @@ def test_validation_search(make_bars):
     assert tuned.search.trials.count() == 16 and tuned.search.trials.filter("score > 0").isEmpty()
 
 
+def test_search_inside_tasks_is_the_search_of_rounds(spark, rows, monkeypatch):
+    """Small series go through their search inside a task, in as many jobs whatever the trials are; larger ones in rounds. Both find the same models; one without
+    rows to learn from or with a value that is no number has trials without a score."""
+    long = some_rows("B", 3, 150).assign(target=lambda f: f.target + 20)
+    odd = some_rows("C", 5, 40).assign(a=float("nan"))
+    frame = rows.withColumn("target", F.col("target") + 20).unionByName(spark.createDataFrame(pd.concat([long, odd, some_rows("D", 4, 1)])))
+
+    boxes = {k: b | ({"n_estimators": (5, 30)} if "n_estimators" in b else {}) for k, b in models.VALIDATION_SEARCH_BOUNDS.items()}
+
+    def tuned(iterations=5):
+        return search.tune_on_validation(frame.drop("split"), NAMES, models.MODEL_TYPES, init_points=2, iterations=iterations, bounds=boxes)
+
+    def jobs(iterations):
+        spark.sparkContext.setJobGroup(f"search-{iterations}", "jobs are counted")
+        try:
+            return tuned(iterations), len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"search-{iterations}"))
+        finally:
+            spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+    (small, many), (_, few) = jobs(5), jobs(1)
+    assert many == few
+    monkeypatch.setattr(search, "SMALL_SERIES", 400)  # B stays small
+    mixed = tuned()
+    key, kinds = ["symbol", "model", "trial"], sorted(models.MODEL_TYPES)
+    trials = [t.search.trials.select(*key, "params", "share", "score").toPandas().sort_values(key, ignore_index=True) for t in (small, mixed)]
+    assert trials[0].groupby("symbol").score.count().to_dict() == {"A": 28, "B": 28, "C": 0, "D": 0} and len(trials[0]) == 4 * 28
+    before = [t[t.trial < 6].reset_index(drop=True) for t in trials]  # the last set may hang on scores that are equal but for rounding
+    pd.testing.assert_frame_equal(before[0], before[1], rtol=1e-9)
+    assert (trials[0].params == trials[1].params).mean() > 0.95
+    assert sorted((r.symbol, r.model) for r in small.search.failures.collect()) == [(s, m) for s in "CD" for m in kinds]
+    best = [{(r.symbol, r.model): r.params for r in t.search.best.collect()} for t in (small, mixed)]
+    alike = [k for k in best[0] if best[0][k] == best[1][k]]
+    assert len(best[0]) == 8 and len(alike) >= 6
+    said = [t.predictions.select("symbol", "model", "pos", "prediction").toPandas().sort_values(["symbol", "model", "pos"], ignore_index=True) for t in (small, mixed)]
+    assert len(said[0]) == 4 * (240 + 150)
+    nodes = [t.nodes.groupBy("symbol", "model").agg(F.count("*").alias("n"), F.count("feature").alias("inner"), F.sum("rows").alias("rows"), F.sum("low").alias("low")).toPandas()
+             .sort_values(["symbol", "model"], ignore_index=True) for t in (small, mixed)]
+    for a, b in (said, nodes):
+        some = [t[[k in alike for k in zip(t.symbol, t.model)]].reset_index(drop=True) for t in (a, b)]
+        pd.testing.assert_frame_equal(*some, rtol=1e-9)
+
+
+def test_trees_of_limits_are_those_of_a_smaller_fit():
+    rng = np.random.default_rng(4)
+    x, y = rng.normal(size=(3, 120)).round(1), rng.normal(size=120)
+    whole = trees.forest(x, y, range(30), 12, 2, 2)
+    limits = [(12, 2, 30), (3, 2, 30), (12, 9, 17), (None, 40, 5), (1, 2, 0)]
+    for (depth, least, count), (said, told) in zip(limits, trees.sums_of_limits(whole, x[:, :50], limits)):
+        assert told == count
+        if count:
+            own, cut = trees.forest(x, y, range(count), depth or 12, least, 2), trees.stopped(whole, depth, least, count)
+            assert said == pytest.approx(trees.leaf_values(own, x[:, :50]).sum(axis=0))
+            for c in ("tree", "depth", "feature", "threshold", "low", "high", "value", "rows", "gain"):
+                np.testing.assert_allclose(getattr(cut, c), getattr(own, c), rtol=1e-9, atol=1e-9, err_msg=c)
+
+
+def test_linear_models_solved_together_are_what_they_are_alone():
+    rng = np.random.default_rng(8)
+    problems = []
+    for k, width in enumerate((3, 4, 3, 4, 4)):
+        x = rng.normal(size=(width, 60)) * 10.0 ** rng.integers(-2, 3, size=(width, 1))
+        x[k % width] = 5.0 if k == 1 else x[k % width]  # a constant feature
+        problems += [(panel.moments_of(x, x.sum(axis=0) + rng.normal(size=60)), alpha, most, tol) for alpha, most, tol in ((0.001, 5000, 1e-9), (0.5, 3, 1e-9), (1e9, 10, 1e-4))]
+    for (sums, alpha, most, tol), (w, b) in zip(problems, lasso.descend_together(problems)):
+        alone = lasso.descend(sums, [alpha], most, tol)
+        assert (w == alone[0][0]).all() and b == alone[1][0]
+
+
 # forecasts
 
 def test_single_model_path_and_equal_weights(spark):
