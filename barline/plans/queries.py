@@ -22,7 +22,7 @@ from barline.plans import pipeline
 from barline.sources import bars as B
 from barline.sources import derived, lake, relations, runs, sinks, store
 from barline.sources.derived import bars_events, bars_flag, bars_supp, table
-from barline.sources.scratch import fresh_path, stage
+from barline.sources.scratch import MANY_FILES, fresh_path, stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -111,7 +111,7 @@ def files_of_three_layouts(spark: SparkSession, sf: str) -> str:
     path, raw = fresh_path(spark, "raw-layouts"), raw_layout(bars_supp(spark, sf)).withColumn("dataset", F.col("Symbol"))
     kind = F.col("Symbol").cast("int") % 3
     for k, part in enumerate((raw, raw.drop("Volume", "Marketcap").withColumn("Note", F.lit("x")), raw.drop("Open"))):
-        part.where(kind == k).repartition("dataset").write.option("header", True).partitionBy("dataset").csv(f"{path}/layout-{k}")
+        part.where(kind == k).repartition("dataset").write.options(**MANY_FILES).option("header", True).partitionBy("dataset").csv(f"{path}/layout-{k}")
     return path
 
 

@@ -8,6 +8,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Write options where tasks leave a file in each of many folders. On a local disk, Hadoop's checksummed file system starts `chmod` for each folder, file
+#: and checksum where its native library is absent; the plain one does without checksums. Other file systems are not affected.
+MANY_FILES = {"fs.file.impl": "org.apache.hadoop.fs.RawLocalFileSystem", "fs.file.impl.disable.cache": "true"}
+
+
 def shared_dir(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:

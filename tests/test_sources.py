@@ -1,13 +1,14 @@
 from datetime import date, datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from barline.operators import validate
-from barline.plans import pipeline
+from barline.plans import pipeline, queries
 from barline.sources import bars as B
 from barline.sources import lake, runs, sinks, store
-from barline.sources.scratch import fresh_path, shared_dir, stage
+from barline.sources.scratch import MANY_FILES, fresh_path, shared_dir, stage
 
 T0, T1 = datetime(2024, 1, 1), datetime(2024, 1, 2)
 
@@ -270,3 +271,24 @@ def test_stage_uses_the_shared_folder(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir")
     df = stage(spark.range(10), "numbers")
     assert df.count() == 10 and shared_dir(spark) in df.inputFiles()[0]
+
+
+def test_many_files_are_written_without_checksums(spark, tmp_path):
+    """A file per dataset costs no checksum file beside it; files are those of a plain write."""
+    rows = spark.createDataFrame([(s, i, f"{s} {i}") for s in ("A", "b c", "d") for i in range(3)], "dataset string, i int, text string")
+    for name, options in (("plain", {}), ("many", MANY_FILES)):
+        rows.repartition("dataset").write.options(**options).option("header", True).partitionBy("dataset").csv(str(tmp_path / name))
+    kept = {name: sorted(p.name for p in (tmp_path / name).rglob("*.crc")) for name in ("plain", "many")}
+    assert kept["plain"] and not kept["many"]
+    files = {name: sorted((p.parent.name, p.read_text()) for p in (tmp_path / name).rglob("*.csv")) for name in ("plain", "many")}
+    assert files["plain"] == files["many"] and len(files["many"]) == 3
+    read = B.read_by_header(spark, str(tmp_path / "many")).rows.groupBy("dataset").count()
+    assert {(r.dataset, r["count"]) for r in read.collect()} == {("A", 3), ("b c", 3), ("d", 3)}
+
+
+def test_files_of_a_supplier_come_without_checksums(spark, tmp_path):
+    lines = [(k, 1, s, 1, 1.0, 10.0 + k, datetime(1995, 1, 1 + k)) for k in range(5) for s in range(4)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_shipdate timestamp").write.parquet(
+        str(tmp_path / "lineitem.parquet"))
+    path = Path(queries.files_of_three_layouts(spark, str(tmp_path)))
+    assert len([*path.rglob("*.csv")]) == 4 and not [*path.rglob("*.crc")]
